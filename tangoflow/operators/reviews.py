@@ -33,7 +33,9 @@ _RUN = (Window.unboundedPreceding, Window.currentRow)
 def _prepared(reviews: DataFrame, params: Params) -> DataFrame:
     """Key columns, order columns, correct flag (missing = wrong) and bucket."""
     unit = params.replay_bucket
-    bucket = F.date_trunc(unit, "reviewed_at") if unit else F.lit(0)
+    # Non-nullable bucket: keeps the optimizer from adding a null filter on one
+    # branch only, so both consumers of the shuffled rows share one exchange.
+    bucket = F.coalesce(F.date_trunc(unit, "reviewed_at"), F.lit(0).cast("timestamp")) if unit else F.lit(0)
     return reviews.select(*KEYS, "reviewed_at", "seq",
                           F.coalesce(F.col("correct"), F.lit(False)).alias("correct"),
                           bucket.alias("bucket"))
