@@ -141,3 +141,15 @@ def with_fixtures(sql: str, *names: str, extra: dict | None = None) -> str:
     ctes = [f"{n} AS ({FIX[n]}\n)" for n in _order(names)]
     ctes += [f"{n} AS ({b}\n)" for n, b in (extra or {}).items()]
     return "WITH " + ",\n".join(ctes) + "\n" + sql
+
+
+def word_state_ctes(src: str, suffix: str) -> dict:
+    """replay0/replay/word_state over another reviews-shaped CTE ``src``; CTE
+    names get ``suffix``."""
+    out = {}
+    for name in ("replay0", "replay", "word_state"):
+        body = FIX[name]
+        body = body.replace("FROM reviews", f"FROM {src}").replace("FROM replay0", f"FROM replay0{suffix}")
+        body = body.replace("FROM replay)", f"FROM replay{suffix})")
+        out[name + suffix] = body
+    return out
