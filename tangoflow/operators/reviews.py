@@ -130,25 +130,30 @@ def word_state(reviews: DataFrame, params: Params = DEFAULT) -> DataFrame:
                       "next_review")
 
 
-def apply_review_updates(words: DataFrame, new_reviews: DataFrame, params: Params = DEFAULT) -> DataFrame:
+def apply_review_updates(words: DataFrame, new_reviews: DataFrame, params: Params = DEFAULT,
+                         how: str = "left") -> DataFrame:
     """J2 — continue each stored word's state with a batch of new reviews.
 
     ``words`` carries (user_id, word, review_count, correct_count, streak,
     last_reviewed, next_review, ...).  Stored state plays the part of the
     "prior buckets" of the replay, so the batch is replayed per key on top of
     it; keys without new reviews keep their stored values (left join), keys
-    without stored state are not words of the learner and are ignored.
+    without stored state are not words of the learner and are ignored
+    (``how="full"`` adds them with the batch's own state — the streaming
+    merge).
     """
     batch = word_state(new_reviews, params)
     b = batch.select(*KEYS, F.col("review_count").alias("b_cnt"), F.col("correct_count").alias("b_ok"),
-                     F.col("streak").alias("b_streak"), F.col("last_reviewed").alias("b_last"))
+                     F.col("streak").alias("b_streak"), F.col("last_reviewed").alias("b_last"),
+                     F.col("first_reviewed").alias("b_first"))
     # Per-key: the batch's trailing run covers the whole batch iff it had no miss.
-    j = words.join(b, list(KEYS), "left")
+    j = words.join(b, list(KEYS), how)
     has = F.col("b_cnt").isNotNull()
-    n = F.col("review_count") + F.coalesce(F.col("b_cnt"), F.lit(0))
-    ok = F.col("correct_count") + F.coalesce(F.col("b_ok"), F.lit(0))
+    n = F.coalesce(F.col("review_count"), F.lit(0)) + F.coalesce(F.col("b_cnt"), F.lit(0))
+    ok = F.coalesce(F.col("correct_count"), F.lit(0)) + F.coalesce(F.col("b_ok"), F.lit(0))
+    stored_streak = F.coalesce(F.col("streak"), F.lit(0))
     streak = F.when(~has, F.col("streak")).when(F.col("b_streak") == F.col("b_cnt"),
-                                                F.col("streak") + F.col("b_cnt")).otherwise(F.col("b_streak"))
+                                                stored_streak + F.col("b_cnt")).otherwise(F.col("b_streak"))
     j = j.select("*", n.alias("_n"), ok.alias("_ok"), streak.cast("int").alias("_streak"))
     j = (j.withColumn("review_count", F.col("_n")).withColumn("correct_count", F.col("_ok"))
           .withColumn("success_rate", F.when(F.col("_n") > 0, F.col("_ok").cast("double") / F.col("_n").cast("double"))
@@ -158,7 +163,9 @@ def apply_review_updates(words: DataFrame, new_reviews: DataFrame, params: Param
     return (j.withColumn("interval_days", F.when(has, interval).otherwise(F.col("interval_days")))
              .withColumn("next_review", F.when(has, F.date_add(F.col("b_last"), interval)).otherwise(F.col("next_review")))
              .withColumn("last_reviewed", F.coalesce(F.col("b_last"), F.col("last_reviewed")))
-             .drop("b_cnt", "b_ok", "b_streak", "b_last", "_n", "_ok", "_streak"))
+             .transform(lambda d: d.withColumn("first_reviewed", F.coalesce(F.col("first_reviewed"), F.col("b_first")))
+                        if "first_reviewed" in words.columns else d)
+             .drop("b_cnt", "b_ok", "b_streak", "b_last", "b_first", "_n", "_ok", "_streak"))
 
 
 def success_rate(reviews: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tangoflow.plans import conversation, corpus, learning, vocabulary  # noqa: F401  (registers queries)
+from tangoflow.plans import conversation, corpus, learning, streams, vocabulary  # noqa: F401  (registers queries)
 from tangoflow.plans.registry import ORACLE, QUERIES
 
 

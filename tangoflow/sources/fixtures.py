@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tangoflow import params as P
+from tangoflow.functions.text import sentences_of
 from tangoflow.params import DEFAULT, Params
 
 # Fixed fixture rules: words per user are k % WORDS_PER_USER; chats join part
@@ -175,7 +176,7 @@ SENTENCE_PATTERN = r"[^.!?\n]+[.!?]"
 def sentences(spark: SparkSession, sf_dir: str, lang: str = "en") -> DataFrame:
     """Corpus sentences with their position in the document (whole texts)."""
     docs = table(spark, sf_dir, "documents").where(F.col("lang") == lang).select("doc_id", "text")
-    return docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(SENTENCE_PATTERN), F.lit(0)))
+    return docs.select("doc_id", F.posexplode(sentences_of(F.col("text")))
                        .alias("pos", "sentence")).select("doc_id", F.col("pos").cast("int").alias("pos"), "sentence")
 
 
