@@ -143,7 +143,10 @@ def backup_words(valid: DataFrame) -> DataFrame:
     w = e.select("user_id", "w.japanese", "w.english", F.to_date("w.added_date").alias("added_date"),
                  F.col("w.practice_count").cast("int").alias("practice_count"),
                  F.to_date("w.last_reviewed").alias("last_reviewed"), "w.next_review")
-    return w.dropDuplicates(["user_id", "japanese"])
+    # Chunk entries of one word carry the same attributes: keep one per key.
+    rest = [c for c in w.columns if c not in ("user_id", "japanese")]
+    return (w.groupBy("user_id", "japanese").agg(F.first(F.struct(*rest)).alias("_w"))
+             .select("user_id", "japanese", "_w.*"))
 
 
 def backup_reviews(valid: DataFrame) -> DataFrame:
