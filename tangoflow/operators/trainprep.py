@@ -93,40 +93,44 @@ def fit_vocab(pairs: DataFrame, size: int, cols=("input_text", "target_text")) -
     return top.withColumn("id", F.row_number().over(w).cast("int")).select("token", "id", "count")
 
 
-def _encode(pairs: DataFrame, vocab: DataFrame, col: str, size: int, max_len: int, id_col: str) -> DataFrame:
-    t = pairs.select(id_col, F.posexplode(tokens(F.col(col))).alias("pos", "token")).where(F.col("pos") < max_len)
-    # The vocabulary is at most ``size`` rows (a limit), a proven bound.
-    j = t.join(F.broadcast(vocab.select("token", "id")), "token", "left")
-    ids = j.select(id_col, "pos", F.coalesce(F.col("id"), F.lit(size + 1)).alias("id"))
-    g = ids.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("s"))
-    return g.select(id_col, F.transform("s", lambda x: x["id"]).alias("ids"))
-
-
 def encode_pairs(pairs: DataFrame, vocab: DataFrame, size: int, max_len: int = P.MAX_SEQ_LEN,
                  id_col: str = "pair_id") -> DataFrame:
     """M3 — input ids / attention mask / labels, each exactly ``max_len`` long:
-    truncated, padded with 0; labels use −100 where padded.  Tokens past
-    ``max_len`` are dropped before the regroup, so each group is bounded."""
-    src = _encode(pairs, vocab, "input_text", size, max_len, id_col).withColumnRenamed("ids", "src")
-    tgt = _encode(pairs, vocab, "target_text", size, max_len, id_col).withColumnRenamed("ids", "tgt")
-    base = pairs.select(id_col)
-    j = base.join(src, id_col, "left").join(tgt, id_col, "left")
-    empty = F.array().cast("array<int>")
-    pad = F.array_repeat(F.lit(0), max_len)
-
-    def padded(c):
-        return F.slice(F.concat(F.coalesce(F.col(c), empty), pad), 1, max_len)
-
-    n_src = F.size(F.coalesce(F.col("src"), empty))
-    n_tgt = F.size(F.coalesce(F.col("tgt"), empty))
-    return j.select(
+    truncated, padded with 0; labels use −100 where padded.
+
+    Both texts of a pair are exploded together (side-tagged), looked up in
+    the broadcast vocabulary (at most ``size`` rows — a limit, so a proven
+    bound), and regrouped on the pair id — the only shuffle moves the pairs'
+    text, not the (many more) token rows.  Tokens past
+    ``max_len`` are dropped before the regroup, so every group is bounded;
+    ``posexplode_outer`` keeps pairs whose texts have no token.
+    """
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("input_text").alias("text")),
+                    F.struct(F.lit(1).alias("side"), F.col("target_text").alias("text")))
+    # Shuffle the pairs (text) by id once, before the explode: the regroup
+    # below then reuses this partitioning instead of shuffling token rows.
+    t = (pairs.repartition(id_col).select(id_col, F.inline(sides))
+         .select(id_col, "side", F.posexplode_outer(tokens(F.col("text"))).alias("pos", "token"))
+         .where(F.col("pos").isNull() | (F.col("pos") < max_len)))
+    j = t.join(F.broadcast(vocab.select("token", F.col("id").alias("_id"))), "token", "left")
+    tok = F.struct("pos", F.coalesce(F.col("_id"), F.lit(size + 1)).alias("id"))
+    has = F.col("pos").isNotNull()
+    g = j.groupBy(id_col).agg(
+        F.sort_array(F.collect_list(F.when(has & (F.col("side") == 0), tok))).alias("_s"),
+        F.sort_array(F.collect_list(F.when(has & (F.col("side") == 1), tok))).alias("_t"))
+    src = F.col("_s.id")
+    tgt = F.col("_t.id")
+    ns, nt = F.size("_s"), F.size("_t")
+
+    def fill(v, k):
+        return F.array_repeat(F.lit(v), F.lit(max_len) - k)
+
+    # Plain array functions (no per-position lambdas): ids ≤ max_len already.
+    return g.select(
         id_col,
-        padded("src").alias("input_ids"),
-        F.transform(F.sequence(F.lit(0), F.lit(max_len - 1)), lambda i: F.when(i < n_src, 1).otherwise(0))
-        .alias("attention_mask"),
-        F.transform(F.sequence(F.lit(0), F.lit(max_len - 1)),
-                    lambda i: F.when(i < n_tgt, F.element_at(padded("tgt"), i + 1)).otherwise(P.LABEL_IGNORE))
-        .alias("labels"))
+        F.concat(src, fill(0, ns)).alias("input_ids"),
+        F.concat(F.array_repeat(F.lit(1), ns), fill(0, ns)).alias("attention_mask"),
+        F.concat(tgt, fill(P.LABEL_IGNORE, nt)).alias("labels"))
 
 
 def assign_batches(pairs: DataFrame, batch_size: int = P.TRAIN_BATCH, shards: int = DEFAULT.shards,

@@ -28,6 +28,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def ensure_parallelism(df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer splits than the session's default
+    parallelism (e.g. one big Parquet row group) before CPU-heavy per-row
+    work.  A well-partitioned large table has far more splits than cores, so
+    on a cluster this adds no shuffle; it only fixes under-split inputs."""
+    sc = df.sparkSession.sparkContext
+    want = sc.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
+
 def _k() -> F.Column:
     return F.get_json_object("props", "$.k").cast("int")
 
@@ -175,7 +187,7 @@ SENTENCE_PATTERN = r"[^.!?\n]+[.!?]"
 
 def sentences(spark: SparkSession, sf_dir: str, lang: str = "en") -> DataFrame:
     """Corpus sentences with their position in the document (whole texts)."""
-    docs = table(spark, sf_dir, "documents").where(F.col("lang") == lang).select("doc_id", "text")
+    docs = ensure_parallelism(table(spark, sf_dir, "documents").where(F.col("lang") == lang).select("doc_id", "text"))
     return docs.select("doc_id", F.posexplode(sentences_of(F.col("text")))
                        .alias("pos", "sentence")).select("doc_id", F.col("pos").cast("int").alias("pos"), "sentence")
 

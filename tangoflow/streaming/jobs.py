@@ -33,10 +33,13 @@ REVIEW_SCHEMA = T.StructType([
     T.StructField("wn", T.IntegerType()), T.StructField("reviewed_at", T.TimestampNTZType()),
     T.StructField("seq", T.LongType()), T.StructField("correct", T.BooleanType()),
 ])
+# State per learner: one array entry per word (parallel arrays).  A learner's
+# vocabulary bounds the state; a micro-batch bounds the rows of one call.
 STATE_SCHEMA = T.StructType([
-    T.StructField("n", T.LongType()), T.StructField("ok", T.LongType()), T.StructField("streak", T.LongType()),
-    T.StructField("last_ts", T.TimestampType()), T.StructField("last_seq", T.LongType()),
-    T.StructField("first_ts", T.TimestampType()),
+    T.StructField("words", T.ArrayType(T.StringType())), T.StructField("n", T.ArrayType(T.LongType())),
+    T.StructField("ok", T.ArrayType(T.LongType())), T.StructField("streak", T.ArrayType(T.LongType())),
+    T.StructField("last_ts", T.ArrayType(T.TimestampType())), T.StructField("last_seq", T.ArrayType(T.LongType())),
+    T.StructField("first_ts", T.ArrayType(T.TimestampType())),
 ])
 STATE_OUT = T.StructType([
     T.StructField("user_id", T.LongType()), T.StructField("word", T.StringType()),
@@ -44,45 +47,62 @@ STATE_OUT = T.StructType([
     T.StructField("streak", T.LongType()), T.StructField("last_ts", T.TimestampType()),
     T.StructField("first_ts", T.TimestampType()), T.StructField("late_rows", T.LongType()),
 ])
+_STATE_COLS = ("n", "ok", "streak", "last_ts", "last_seq", "first_ts")
 
 
 def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State update of one (user, word) for one micro-batch (vectorised per
-    batch: counts by sum, the streak from the position of the last miss)."""
-    if state.exists:
-        n, ok, streak, last_ts, last_seq, first_ts = state.get
-        last_ts = pd.Timestamp(last_ts)
-        first_ts = pd.Timestamp(first_ts)
-    else:
-        n, ok, streak, last_ts, last_seq, first_ts = 0, 0, 0, None, None, None
+    """One learner, one micro-batch: continue every touched word's state.
+
+    Vectorised over the batch rows (pandas group-by over words): counts are
+    sums, the streak is the run after the last miss (or the stored streak plus
+    the batch when the batch has no miss).  Rows not newer than a word's
+    stored (time, seq) are counted in ``late_rows`` and not applied.
+    """
     pdf = pd.concat(list(batches), ignore_index=True)
-    pdf = pdf.sort_values(["event_time", "seq"], kind="mergesort")
-    ts = pd.to_datetime(pdf["event_time"])
-    if last_ts is not None:
-        newer = (ts > last_ts) | ((ts == last_ts) & (pdf["seq"] > last_seq))
+    if state.exists:
+        st = pd.DataFrame(dict(zip(("word",) + _STATE_COLS, state.get)))
+        st["last_ts"] = pd.to_datetime(st["last_ts"])
+        st["first_ts"] = pd.to_datetime(st["first_ts"])
     else:
-        newer = pd.Series(True, index=pdf.index)
-    late = int((~newer).sum())
-    fresh = pdf[newer.values]
-    if len(fresh):
-        flags = fresh["correct"].fillna(False).astype(bool).to_numpy()
-        misses = (~flags).nonzero()[0]
-        if len(misses):
-            streak = int(len(flags) - 1 - misses[-1])
-        else:
-            streak = int(streak) + len(flags)
-        n = int(n) + len(flags)
-        ok = int(ok) + int(flags.sum())
-        tail = fresh.iloc[-1]
-        last_ts, last_seq = pd.Timestamp(tail["event_time"]), int(tail["seq"])
-        head_ts = pd.Timestamp(fresh.iloc[0]["event_time"])
-        first_ts = head_ts if first_ts is None else min(first_ts, head_ts)
-    if last_ts is not None:
-        state.update((int(n), int(ok), int(streak), last_ts.to_pydatetime(), int(last_seq),
-                      first_ts.to_pydatetime()))
-    yield pd.DataFrame({"user_id": [key[0]], "word": [key[1]], "review_count": [int(n)], "correct_count": [int(ok)],
-                        "streak": [int(streak)], "last_ts": [last_ts], "first_ts": [first_ts],
-                        "late_rows": [late]})
+        st = pd.DataFrame({"word": pd.Series(dtype=object), "n": pd.Series(dtype="int64"),
+                           "ok": pd.Series(dtype="int64"), "streak": pd.Series(dtype="int64"),
+                           "last_ts": pd.Series(dtype="datetime64[ns]"), "last_seq": pd.Series(dtype="int64"),
+                           "first_ts": pd.Series(dtype="datetime64[ns]")})
+    pdf["event_time"] = pd.to_datetime(pdf["event_time"])
+    pdf = pdf.sort_values(["word", "event_time", "seq"], kind="mergesort").reset_index(drop=True)
+    m = pdf.merge(st[["word", "last_ts", "last_seq"]], on="word", how="left")
+    newer = m["last_ts"].isna() | (m["event_time"] > m["last_ts"]) | (
+        (m["event_time"] == m["last_ts"]) & (m["seq"] > m["last_seq"]))
+    late = (~newer).groupby(m["word"]).sum()
+    fresh = pdf[newer.to_numpy()].copy()
+    fresh["ok"] = fresh["correct"].fillna(False).astype(bool)
+    fresh["pos"] = fresh.groupby("word").cumcount()
+    g = fresh.groupby("word")
+    b = pd.DataFrame({"cnt": g.size(), "oks": g["ok"].sum(), "b_last_ts": g["event_time"].last(),
+                      "b_last_seq": g["seq"].last(), "b_first_ts": g["event_time"].first()})
+    miss = fresh.loc[~fresh["ok"], ["word", "pos"]].groupby("word")["pos"].max()
+    b["last_miss"] = miss
+    b = b.reset_index()
+    cur = st.merge(b, on="word", how="outer")
+    touched = cur["cnt"].notna()
+    cnt = cur["cnt"].fillna(0).astype("int64")
+    base_streak = cur["streak"].fillna(0).astype("int64")
+    run = (cnt - 1 - cur["last_miss"]).where(cur["last_miss"].notna(), base_streak + cnt)
+    cur["streak"] = run.where(touched, base_streak).astype("int64")
+    cur["n"] = cur["n"].fillna(0).astype("int64") + cnt
+    cur["ok"] = cur["ok"].fillna(0).astype("int64") + cur["oks"].fillna(0).astype("int64")
+    cur["last_ts"] = cur["b_last_ts"].where(touched, cur["last_ts"])
+    cur["last_seq"] = cur["b_last_seq"].where(touched, cur["last_seq"]).astype("int64")
+    cur["first_ts"] = cur[["first_ts", "b_first_ts"]].min(axis=1)
+    cur = cur[cur["n"] > 0]
+    state.update(tuple([cur["word"].tolist()] + [
+        [x.to_pydatetime() for x in cur[c]] if c.endswith("_ts") else cur[c].astype("int64").tolist()
+        for c in _STATE_COLS]))
+    out = cur[touched.loc[cur.index] | cur["word"].isin(late.index[late > 0])]
+    yield pd.DataFrame({"user_id": key[0], "word": out["word"], "review_count": out["n"],
+                        "correct_count": out["ok"], "streak": out["streak"], "last_ts": out["last_ts"],
+                        "first_ts": out["first_ts"],
+                        "late_rows": out["word"].map(late).fillna(0).astype("int64")})
 
 
 def review_events(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
@@ -92,10 +112,12 @@ def review_events(spark: SparkSession, path: str, files_per_trigger: int = 1) ->
 
 
 def stream_word_state(events: DataFrame, redelivery_delay: str = "1 day") -> DataFrame:
-    """T1 — running state per (user, word), update mode."""
+    """T1 — running state per (user, word), update mode; the state of a
+    learner's words lives in one group so each micro-batch costs one Python
+    call per active learner, not one per word."""
     dedup = events.withWatermark("event_time", redelivery_delay).dropDuplicatesWithinWatermark(["seq"])
     return (dedup.select("user_id", "word", "event_time", "seq", "correct")
-            .groupBy("user_id", "word")
+            .groupBy("user_id")
             .applyInPandasWithState(_advance, STATE_OUT, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout))
 
 
