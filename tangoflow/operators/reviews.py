@@ -45,9 +45,9 @@ def _local_scan(r: DataFrame) -> DataFrame:
     """Running state inside each (user, word, bucket)."""
     w = Window.partitionBy(*KEYS, "bucket").orderBy("reviewed_at", "seq")
     run = w.rowsBetween(*_RUN)
-    return (r.withColumn("ln", F.row_number().over(w).cast("bigint"))
-             .withColumn("lok", F.sum(F.col("correct").cast("bigint")).over(run))
-             .withColumn("llw", F.max(F.when(~F.col("correct"), F.col("ln"))).over(run)))
+    c = r.select("*", F.row_number().over(w).cast("bigint").alias("ln"),
+                 F.sum(F.col("correct").cast("bigint")).over(run).alias("lok"))
+    return c.select("*", F.max(F.when(~F.col("correct"), F.col("ln"))).over(run).alias("llw"))
 
 
 def _bucket_summary(local: DataFrame) -> DataFrame:
@@ -63,24 +63,25 @@ def _bucket_summary(local: DataFrame) -> DataFrame:
     ws = Window.partitionBy(*KEYS).orderBy("bucket")
     run = ws.rowsBetween(*_RUN)
     trail = F.col("cnt") - F.coalesce(F.col("lw"), F.lit(0))
-    s = (s.withColumn("cum_cnt", F.sum("cnt").over(run))
-          .withColumn("cum_ok", F.sum("ok").over(run)))
-    last_wrong = F.last(F.when(F.col("lw").isNotNull(), F.struct(F.col("cum_cnt").alias("c"), trail.alias("t"))),
-                        ignorenulls=True).over(run)
-    s = s.withColumn("lwb", last_wrong)
+    cum_cnt = F.sum("cnt").over(run)
+    s = s.select("*", cum_cnt.alias("cum_cnt"), F.sum("ok").over(run).alias("cum_ok"),
+                 # last bucket (so far) that had a miss: its cumulative count and trailing run
+                 F.last(F.when(F.col("lw").isNotNull(), F.struct(cum_cnt.alias("c"), trail.alias("t"))),
+                        ignorenulls=True).over(run).alias("lwb"))
     streak_end = F.when(F.col("lwb").isNull(), F.col("cum_cnt")).otherwise(
         F.col("lwb.t") + F.col("cum_cnt") - F.col("lwb.c"))
-    return (s.withColumn("streak_end", streak_end)
-             .withColumn("prior_streak", F.coalesce(F.lag("streak_end").over(ws), F.lit(0)))
-             .drop("lwb"))
+    s = s.select(*[c for c in s.columns if c != "lwb"], streak_end.alias("streak_end"))
+    return s.select("*", F.coalesce(F.lag("streak_end").over(ws), F.lit(0)).alias("prior_streak"))
 
 
-def _finish(df: DataFrame, n: Column, ok: Column, streak: Column, at: Column) -> DataFrame:
-    out = df.withColumn("review_no", n).withColumn("correct_count", ok) \
-            .withColumn("success_rate", ok.cast("double") / n.cast("double")) \
-            .withColumn("streak", streak.cast("int"))
-    out = out.withColumn("interval_days", review_interval(F.col("success_rate"), F.col("streak")))
-    return out.withColumn("next_review", next_review_date(at, F.col("interval_days")))
+def _finish(df: DataFrame, n: Column, ok: Column, streak: Column, at: Column, keep) -> DataFrame:
+    """Rate, interval and next review from (n, ok, streak) in two projections."""
+    out = df.select(*keep, n.alias("review_no"), ok.alias("correct_count"),
+                    (ok.cast("double") / n.cast("double")).alias("success_rate"),
+                    streak.cast("int").alias("streak"), at.alias("_at"))
+    interval = review_interval(F.col("success_rate"), F.col("streak"))
+    return out.select(*[c for c in out.columns if c != "_at"], interval.alias("interval_days"),
+                      next_review_date(F.col("_at"), interval).alias("next_review"))
 
 
 def review_replay(reviews: DataFrame, params: Params = DEFAULT) -> DataFrame:
@@ -93,8 +94,7 @@ def review_replay(reviews: DataFrame, params: Params = DEFAULT) -> DataFrame:
     local = _local_scan(r)
     if not params.replay_bucket:
         # Single-bucket form: the local scan already is the whole scan.
-        rows = local.withColumn("prior_cnt", F.lit(0).cast("bigint")).withColumn("prior_ok", F.lit(0).cast("bigint")) \
-                    .withColumn("prior_streak", F.lit(0).cast("bigint"))
+        rows = local.select("*", *[F.lit(0).cast("bigint").alias(c) for c in ("prior_cnt", "prior_ok", "prior_streak")])
     else:
         summary = _bucket_summary(local).select(
             *KEYS, "bucket",
@@ -105,9 +105,7 @@ def review_replay(reviews: DataFrame, params: Params = DEFAULT) -> DataFrame:
     n = F.col("prior_cnt") + F.col("ln")
     ok = F.col("prior_ok") + F.col("lok")
     streak = F.when(F.col("llw").isNotNull(), F.col("ln") - F.col("llw")).otherwise(F.col("prior_streak") + F.col("ln"))
-    out = _finish(rows, n, ok, streak, F.col("reviewed_at"))
-    return out.select(*KEYS, "seq", "reviewed_at", "correct", "review_no", "correct_count", "success_rate",
-                      "streak", "interval_days", "next_review")
+    return _finish(rows, n, ok, streak, F.col("reviewed_at"), (*KEYS, "seq", "reviewed_at", "correct"))
 
 
 def word_state(reviews: DataFrame, params: Params = DEFAULT) -> DataFrame:
@@ -121,13 +119,11 @@ def word_state(reviews: DataFrame, params: Params = DEFAULT) -> DataFrame:
     last = s.groupBy(*KEYS).agg(
         F.max_by(F.struct("cum_cnt", "cum_ok", "streak_end", "last_ts"), F.col("bucket")).alias("e"),
         F.min("first_ts").alias("first_ts"))
-    out = _finish(last, F.col("e.cum_cnt"), F.col("e.cum_ok"), F.col("e.streak_end"), F.col("e.last_ts"))
-    return out.select(*KEYS,
-                      F.col("review_no").alias("review_count"), "correct_count", "success_rate", "streak",
-                      "interval_days",
-                      F.to_date("first_ts").alias("first_reviewed"),
-                      F.to_date("e.last_ts").alias("last_reviewed"),
-                      "next_review")
+    out = _finish(last, F.col("e.cum_cnt"), F.col("e.cum_ok"), F.col("e.streak_end"), F.col("e.last_ts"),
+                  (*KEYS, F.to_date("first_ts").alias("first_reviewed"),
+                   F.to_date("e.last_ts").alias("last_reviewed")))
+    return out.select(*KEYS, F.col("review_no").alias("review_count"), "correct_count", "success_rate", "streak",
+                      "interval_days", "first_reviewed", "last_reviewed", "next_review")
 
 
 def apply_review_updates(words: DataFrame, new_reviews: DataFrame, params: Params = DEFAULT,

@@ -24,8 +24,20 @@ NEW_WORD_ADDED = "2024-01-01"
 NEW_WORD_NEXT = "2024-02-15"
 
 
+_TABLES: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """The given table (read-only input).  The lazy DataFrame is kept per
+    session and path so a query that uses a table twice lists and reads its
+    footers once."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    df = _TABLES.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(path)
+        _TABLES[key] = df
+    return df
 
 
 def ensure_parallelism(df: DataFrame) -> DataFrame:
@@ -41,7 +53,7 @@ def ensure_parallelism(df: DataFrame) -> DataFrame:
 
 
 def _k() -> F.Column:
-    return F.get_json_object("props", "$.k").cast("int")
+    return F.from_json(F.col("props"), "k int")["k"]
 
 
 def part_keys(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
