@@ -127,7 +127,7 @@ def q_daily_counts(spark, sf_dir):
 
 
 def _pivot_sql(col, values):
-    cells = ", ".join(f"count_if({col} = '{v}') AS \"{v}\"" for v in values)
+    cells = ", ".join(f"CAST(count_if({col} = '{v}') AS BIGINT) AS \"{v}\"" for v in values)
     return f"SELECT user_id, {DAY} AS day, {cells} FROM chats WHERE {col} IS NOT NULL GROUP BY ALL"
 
 

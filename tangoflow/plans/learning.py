@@ -28,7 +28,7 @@ def q_word_state(spark, sf_dir):
 
 
 @query("success_rate", with_fixtures(
-    "SELECT user_id, word, count(*) AS review_count, count_if(correct) AS correct_count, "
+    "SELECT user_id, word, count(*) AS review_count, CAST(count_if(correct) AS BIGINT) AS correct_count, "
     "count_if(correct) / count(*) AS success_rate FROM reviews GROUP BY user_id, word", "reviews"))
 def q_success_rate(spark, sf_dir):
     return rv.success_rate(fx.reviews(spark, sf_dir))
@@ -88,7 +88,7 @@ def q_quiz_session(spark, sf_dir):
 
 
 @query("review_stats", with_fixtures(
-    "SELECT user_id, count(*) AS total_words, count_if(review_count > 0) AS words_with_reviews, "
+    "SELECT user_id, count(*) AS total_words, CAST(count_if(review_count > 0) AS BIGINT) AS words_with_reviews, "
     "round(COALESCE(avg(CASE WHEN review_count > 0 THEN success_rate END), 0.0), 9) AS average_success_rate, "
     "CAST(sum(review_count) AS BIGINT) AS total_reviews FROM words GROUP BY user_id", "words"))
 def q_review_stats(spark, sf_dir):

@@ -61,7 +61,7 @@ _CAND = {
 }
 _DEFAULTS = (f"{TODAY} AS added_date, 0 AS practice_count, CAST(NULL AS DATE) AS last_reviewed, "
              "'2024-01-30' AS next_review, CAST(0 AS BIGINT) AS review_count, CAST(0 AS BIGINT) AS correct_count, "
-             "0.0 AS success_rate, 0 AS streak")
+             "CAST(0.0 AS DOUBLE) AS success_rate, 0 AS streak")
 
 
 def _candidates(chats):
@@ -116,7 +116,7 @@ _MIXED = "(('0x' || substr(md5(concat_ws('|', '42', CAST(user_id AS VARCHAR), ja
 
 
 @query("quiz_question", with_fixtures(
-    f"SELECT user_id, japanese, position, {_MIXED} AS jp_to_en, "
+    f"SELECT user_id, japanese, CAST(position AS INTEGER) AS position, {_MIXED} AS jp_to_en, "
     f"CASE WHEN {_MIXED} THEN japanese ELSE english END AS prompt, "
     f"CASE WHEN {_MIXED} THEN english ELSE japanese END AS expected FROM ("
     "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY added_date DESC NULLS LAST, japanese) AS position "
