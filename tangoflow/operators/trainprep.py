@@ -45,28 +45,33 @@ def sample_pairs(pairs: DataFrame, n: int = 3) -> DataFrame:
 SPLIT_BUCKET_HEX = 4
 
 
-def train_val_split(pairs: DataFrame, fraction: float = P.VALIDATION_FRACTION, seed: str = P.SPLIT_SEED,
-                    id_col: str = "pair_id") -> DataFrame:
-    """M1 — exact-size random split: the ceil(fraction·n) pairs with the
-    smallest md5(seed|id) (ties by id) are 'val', the rest 'train'.
-
-    Distributed: rank = (rows in earlier md5 buckets) + (rank inside the
-    bucket).  The bucket counts are a fixed-size table (≤ 65,536 rows), so
-    their prefix sum and broadcast are bounded whatever n is.
+def md5_rank(pairs: DataFrame, seed: str = P.SPLIT_SEED, id_col: str = "pair_id") -> DataFrame:
+    """Exact global rank (1..n) of every row by (md5(seed|id), id), plus n.
+
+    Distributed: rank = (rows in earlier md5-prefix buckets) + (rank inside
+    the bucket).  The bucket count table has at most 16**SPLIT_BUCKET_HEX rows
+    whatever n is, so its prefix sum (a bounded single-partition window) and
+    its broadcast are bounded; the in-bucket window holds ~n/65,536 uniformly
+    spread rows.  No global sort, no unbounded top-k.
     """
     key = seeded_key(seed, F.col(id_col))
-    keyed = pairs.withColumn("_h", key).withColumn("_b", F.substring("_h", 1, SPLIT_BUCKET_HEX))
+    keyed = pairs.select("*", key.alias("_h"), F.substring(key, 1, SPLIT_BUCKET_HEX).alias("_b"))
     counts = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
     w_all = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # Bounded single-partition window: at most 16**SPLIT_BUCKET_HEX rows.
-    offsets = (counts.withColumn("_before", F.sum("_c").over(w_all) - F.col("_c"))
-               .withColumn("_n", F.sum("_c").over(Window.partitionBy())))
-    ranked = keyed.join(F.broadcast(offsets.select("_b", "_before", "_n")), "_b")
+    offsets = counts.select("_b", (F.sum("_c").over(w_all) - F.col("_c")).alias("_before"),
+                            F.sum("_c").over(Window.partitionBy()).alias("_n"))
+    ranked = keyed.join(F.broadcast(offsets), "_b")
     inner = Window.partitionBy("_b").orderBy("_h", id_col)
-    ranked = ranked.withColumn("_rank", F.col("_before") + F.row_number().over(inner))
+    return ranked.select(*pairs.columns, (F.col("_before") + F.row_number().over(inner)).alias("_rank"), "_n")
+
+
+def train_val_split(pairs: DataFrame, fraction: float = P.VALIDATION_FRACTION, seed: str = P.SPLIT_SEED,
+                    id_col: str = "pair_id") -> DataFrame:
+    """M1 — exact-size random split: the ceil(fraction·n) pairs with the
+    smallest md5(seed|id) (ties by id) are 'val', the rest 'train'."""
+    r = md5_rank(pairs, seed, id_col)
     k = F.ceil(F.col("_n") * F.lit(fraction))
-    return (ranked.withColumn("split", F.when(F.col("_rank") <= k, F.lit("val")).otherwise(F.lit("train")))
-                  .drop("_h", "_b", "_before", "_n", "_rank"))
+    return r.select(*pairs.columns, F.when(F.col("_rank") <= k, F.lit("val")).otherwise(F.lit("train")).alias("split"))
 
 
 TOKEN_PATTERN = r"[A-Za-z0-9]+|[^\sA-Za-z0-9]"
@@ -133,24 +138,24 @@ def encode_pairs(pairs: DataFrame, vocab: DataFrame, size: int, max_len: int = P
         F.concat(tgt, fill(P.LABEL_IGNORE, nt)).alias("labels"))
 
 
-def assign_batches(pairs: DataFrame, batch_size: int = P.TRAIN_BATCH, shards: int = DEFAULT.shards,
+def assign_batches(pairs: DataFrame, batch_size: int = P.TRAIN_BATCH, shard_rows: int = 1 << 20,
                    seed: str = P.SPLIT_SEED, id_col: str = "pair_id") -> DataFrame:
-    """M4 — seeded shuffle into batches *within* md5-spread shards: batch_no =
-    (rank in shard − 1) div batch_size.  Shards are uniform by construction, so
-    no window ever holds more than ~n/shards rows."""
-    shard = (seeded_bucket(seed, F.lit("shard"), F.col(id_col)) % F.lit(shards)).cast("int")
-    w = Window.partitionBy("shard").orderBy("_k", id_col)
-    return (pairs.withColumn("shard", shard).withColumn("_k", seeded_key(seed, F.col(id_col)))
-            .withColumn("_rn", F.row_number().over(w))
-            .withColumn("batch_no", ((F.col("_rn") - 1) / F.lit(batch_size)).cast("int"))
-            .withColumn("pos_in_batch", ((F.col("_rn") - 1) % F.lit(batch_size)).cast("int"))
-            .drop("_k", "_rn"))
+    """M4 — seeded shuffle into batches: pairs in md5(seed|id) order (the
+    exact distributed rank of ``md5_rank``), cut into shards of ``shard_rows``
+    consecutive pairs (one data-loader stream each) and batches of
+    ``batch_size`` inside a shard.  Shards grow in number, not size, with n."""
+    r = md5_rank(pairs, seed, id_col)
+    i = F.col("_rank") - 1
+    in_shard = i % F.lit(shard_rows)
+    return r.select(*pairs.columns, (i / F.lit(shard_rows)).cast("int").alias("shard"),
+                    (in_shard / F.lit(batch_size)).cast("int").alias("batch_no"),
+                    (in_shard % F.lit(batch_size)).cast("int").alias("pos_in_batch"))
 
 
 def steps_per_epoch(batches: DataFrame) -> DataFrame:
-    """Optimizer steps per epoch: Σ over shards of ceil(n_shard / batch)."""
-    per = batches.groupBy("shard").agg(F.countDistinct("batch_no").alias("b"))
-    return per.agg(F.sum("b").cast("bigint").alias("steps_per_epoch"))
+    """Optimizer steps per epoch: Σ over shards of ceil(n_shard / batch) —
+    the number of distinct (shard, batch) pairs (partially aggregated)."""
+    return batches.select("shard", "batch_no").distinct().agg(F.count(F.lit(1)).alias("steps_per_epoch"))
 
 
 # Losses are summed as integer micro-units: integer sums are associative, so a

@@ -89,7 +89,6 @@ class Params:
     max_seq_len: int = MAX_SEQ_LEN
     vocab_size: int = 5000
     batch_size: int = DEFAULT_BATCH
-    shards: int = 64
     extra: dict = field(default_factory=dict, compare=False, hash=False)
 
 

@@ -206,13 +206,16 @@ def q_encode_pairs(spark, sf_dir):
     return enc.select("pair_id", *[F.array_join(c, " ").alias(c) for c in ("input_ids", "attention_mask", "labels")])
 
 
+SHARD_ROWS = 4096
+
+
 @query("assign_batches", _corpus_sql(
-    "SELECT pair_id, shard, CAST((rn - 1) // 2 AS INTEGER) AS batch_no, CAST((rn - 1) % 2 AS INTEGER) AS pos_in_batch "
-    f"FROM (SELECT pair_id, shard, row_number() OVER (PARTITION BY shard ORDER BY {_MD5}, pair_id) AS rn FROM "
-    "(SELECT pair_id, CAST(('0x' || substr(md5(concat_ws('|', '42', 'shard', pair_id)), 1, 8))::BIGINT % 64 "
-    "AS INTEGER) AS shard FROM processed))"))
+    f"SELECT pair_id, CAST((rn - 1) // {SHARD_ROWS} AS INTEGER) AS shard, "
+    f"CAST(((rn - 1) % {SHARD_ROWS}) // 2 AS INTEGER) AS batch_no, "
+    f"CAST(((rn - 1) % {SHARD_ROWS}) % 2 AS INTEGER) AS pos_in_batch "
+    f"FROM (SELECT pair_id, row_number() OVER (ORDER BY {_MD5}, pair_id) AS rn FROM processed)"))
 def q_assign_batches(spark, sf_dir):
-    return tp.assign_batches(_processed(spark, sf_dir), P.TRAIN_BATCH, DEFAULT.shards).select(
+    return tp.assign_batches(_processed(spark, sf_dir), P.TRAIN_BATCH, SHARD_ROWS).select(
         "pair_id", "shard", "batch_no", "pos_in_batch")
 
 
