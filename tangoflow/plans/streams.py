@@ -20,6 +20,7 @@ def _deliver(df, ts_col: str, path: str, redeliver_every: int | None = None):
     """Write ``df`` as one file per slice, in time order; optionally repeat
     every k-th row of a slice in the next slice (at-least-once re-delivery)."""
     day = F.dayofmonth(ts_col)
+    df = df.persist()  # one frame feeds the three slice writes
     prev = None
     for lo, hi in SLICES:
         part = df.where(day.between(lo, hi))
@@ -27,6 +28,7 @@ def _deliver(df, ts_col: str, path: str, redeliver_every: int | None = None):
         out.coalesce(1).write.mode("append").parquet(path)
         if redeliver_every is not None:
             prev = part.where(F.col("seq") % redeliver_every == 0)
+    df.unpersist()
     return path
 
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,13 +34,14 @@ REVIEW_SCHEMA = T.StructType([
     T.StructField("wn", T.IntegerType()), T.StructField("reviewed_at", T.TimestampNTZType()),
     T.StructField("seq", T.LongType()), T.StructField("correct", T.BooleanType()),
 ])
-# State per learner: one array entry per word (parallel arrays).  A learner's
-# vocabulary bounds the state; a micro-batch bounds the rows of one call.
+# State per learner: one array entry per word (parallel arrays; times as
+# epoch microseconds).  A learner's vocabulary bounds the state; a micro-batch
+# bounds the rows of one call.
 STATE_SCHEMA = T.StructType([
     T.StructField("words", T.ArrayType(T.StringType())), T.StructField("n", T.ArrayType(T.LongType())),
     T.StructField("ok", T.ArrayType(T.LongType())), T.StructField("streak", T.ArrayType(T.LongType())),
-    T.StructField("last_ts", T.ArrayType(T.TimestampType())), T.StructField("last_seq", T.ArrayType(T.LongType())),
-    T.StructField("first_ts", T.ArrayType(T.TimestampType())),
+    T.StructField("last_us", T.ArrayType(T.LongType())), T.StructField("last_seq", T.ArrayType(T.LongType())),
+    T.StructField("first_us", T.ArrayType(T.LongType())),
 ])
 STATE_OUT = T.StructType([
     T.StructField("user_id", T.LongType()), T.StructField("word", T.StringType()),
@@ -47,62 +49,64 @@ STATE_OUT = T.StructType([
     T.StructField("streak", T.LongType()), T.StructField("last_ts", T.TimestampType()),
     T.StructField("first_ts", T.TimestampType()), T.StructField("late_rows", T.LongType()),
 ])
-_STATE_COLS = ("n", "ok", "streak", "last_ts", "last_seq", "first_ts")
 
 
 def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """One learner, one micro-batch: continue every touched word's state.
 
-    Vectorised over the batch rows (pandas group-by over words): counts are
-    sums, the streak is the run after the last miss (or the stored streak plus
-    the batch when the batch has no miss).  Rows not newer than a word's
-    stored (time, seq) are counted in ``late_rows`` and not applied.
+    numpy over the batch rows: one lexsort by (word, time, seq), then per
+    touched word the count, correct count and the run after the last miss
+    (or stored streak + batch when the batch has no miss).  Rows not newer
+    than a word's stored (time, seq) are counted in ``late_rows`` only.
     """
     pdf = pd.concat(list(batches), ignore_index=True)
-    if state.exists:
-        st = pd.DataFrame(dict(zip(("word",) + _STATE_COLS, state.get)))
-        st["last_ts"] = pd.to_datetime(st["last_ts"])
-        st["first_ts"] = pd.to_datetime(st["first_ts"])
-    else:
-        st = pd.DataFrame({"word": pd.Series(dtype=object), "n": pd.Series(dtype="int64"),
-                           "ok": pd.Series(dtype="int64"), "streak": pd.Series(dtype="int64"),
-                           "last_ts": pd.Series(dtype="datetime64[ns]"), "last_seq": pd.Series(dtype="int64"),
-                           "first_ts": pd.Series(dtype="datetime64[ns]")})
-    pdf["event_time"] = pd.to_datetime(pdf["event_time"])
-    pdf = pdf.sort_values(["word", "event_time", "seq"], kind="mergesort").reset_index(drop=True)
-    m = pdf.merge(st[["word", "last_ts", "last_seq"]], on="word", how="left")
-    newer = m["last_ts"].isna() | (m["event_time"] > m["last_ts"]) | (
-        (m["event_time"] == m["last_ts"]) & (m["seq"] > m["last_seq"]))
-    late = (~newer).groupby(m["word"]).sum()
-    fresh = pdf[newer.to_numpy()].copy()
-    fresh["ok"] = fresh["correct"].fillna(False).astype(bool)
-    fresh["pos"] = fresh.groupby("word").cumcount()
-    g = fresh.groupby("word")
-    b = pd.DataFrame({"cnt": g.size(), "oks": g["ok"].sum(), "b_last_ts": g["event_time"].last(),
-                      "b_last_seq": g["seq"].last(), "b_first_ts": g["event_time"].first()})
-    miss = fresh.loc[~fresh["ok"], ["word", "pos"]].groupby("word")["pos"].max()
-    b["last_miss"] = miss
-    b = b.reset_index()
-    cur = st.merge(b, on="word", how="outer")
-    touched = cur["cnt"].notna()
-    cnt = cur["cnt"].fillna(0).astype("int64")
-    base_streak = cur["streak"].fillna(0).astype("int64")
-    run = (cnt - 1 - cur["last_miss"]).where(cur["last_miss"].notna(), base_streak + cnt)
-    cur["streak"] = run.where(touched, base_streak).astype("int64")
-    cur["n"] = cur["n"].fillna(0).astype("int64") + cnt
-    cur["ok"] = cur["ok"].fillna(0).astype("int64") + cur["oks"].fillna(0).astype("int64")
-    cur["last_ts"] = cur["b_last_ts"].where(touched, cur["last_ts"])
-    cur["last_seq"] = cur["b_last_seq"].where(touched, cur["last_seq"]).astype("int64")
-    cur["first_ts"] = cur[["first_ts", "b_first_ts"]].min(axis=1)
-    cur = cur[cur["n"] > 0]
-    state.update(tuple([cur["word"].tolist()] + [
-        [x.to_pydatetime() for x in cur[c]] if c.endswith("_ts") else cur[c].astype("int64").tolist()
-        for c in _STATE_COLS]))
-    out = cur[touched.loc[cur.index] | cur["word"].isin(late.index[late > 0])]
-    yield pd.DataFrame({"user_id": key[0], "word": out["word"], "review_count": out["n"],
-                        "correct_count": out["ok"], "streak": out["streak"], "last_ts": out["last_ts"],
-                        "first_ts": out["first_ts"],
-                        "late_rows": out["word"].map(late).fillna(0).astype("int64")})
+    words = pdf["word"].to_numpy(dtype=object)
+    us = pdf["event_time"].to_numpy(dtype="datetime64[us]").astype(np.int64)
+    seq = pdf["seq"].to_numpy(dtype=np.int64)
+    ok = pdf["correct"].fillna(False).to_numpy(dtype=bool)
+    st = [list(x) for x in state.get] if state.exists else [[] for _ in range(7)]
+    where = {w: i for i, w in enumerate(st[0])}
+    uniq, inv = np.unique(words.astype(str), return_inverse=True)
+    order = np.lexsort((seq, us, inv))
+    inv, us, seq, ok = inv[order], us[order], seq[order], ok[order]
+    bounds = np.flatnonzero(np.diff(inv)) + 1
+    starts = np.concatenate(([0], bounds))
+    ends = np.concatenate((bounds, [len(inv)]))
+    out = []
+    for a, b in zip(starts, ends):
+        w = str(uniq[inv[a]])
+        i = where.get(w)
+        if i is None:
+            i = len(st[0])
+            where[w] = i
+            for col, v in zip(st, (w, 0, 0, 0, np.iinfo(np.int64).min, np.iinfo(np.int64).min, None)):
+                col.append(v)
+        lu, ls = st[4][i], st[5][i]
+        newer = (us[a:b] > lu) | ((us[a:b] == lu) & (seq[a:b] > ls))
+        late = int((~newer).sum())
+        f = ok[a:b][newer]
+        if len(f):
+            miss = np.flatnonzero(~f)
+            st[3][i] = int(len(f) - 1 - miss[-1]) if len(miss) else int(st[3][i]) + len(f)
+            st[1][i] = int(st[1][i]) + len(f)
+            st[2][i] = int(st[2][i]) + int(f.sum())
+            nu, ns = us[a:b][newer], seq[a:b][newer]
+            st[4][i], st[5][i] = int(nu[-1]), int(ns[-1])
+            st[6][i] = int(nu[0]) if st[6][i] is None else min(int(st[6][i]), int(nu[0]))
+        out.append((w, st[1][i], st[2][i], st[3][i], st[4][i], st[6][i], late))
+    keep = [j for j in range(len(st[0])) if st[1][j] > 0]
+    if keep:
+        state.update(tuple([col[j] for j in keep] for col in st))
+    rows = [r for r in out if r[1] > 0]
+    last = np.array([r[4] for r in rows], dtype=np.int64).astype("datetime64[us]")
+    first = np.array([r[5] for r in rows], dtype=np.int64).astype("datetime64[us]")
+    yield pd.DataFrame({"user_id": np.full(len(rows), key[0], dtype=np.int64),
+                        "word": [r[0] for r in rows],
+                        "review_count": np.array([r[1] for r in rows], dtype=np.int64),
+                        "correct_count": np.array([r[2] for r in rows], dtype=np.int64),
+                        "streak": np.array([r[3] for r in rows], dtype=np.int64),
+                        "last_ts": pd.to_datetime(last), "first_ts": pd.to_datetime(first),
+                        "late_rows": np.array([r[6] for r in rows], dtype=np.int64)})
 
 
 def review_events(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
