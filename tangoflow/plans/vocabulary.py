@@ -234,14 +234,23 @@ def q_clear_user_data(spark, sf_dir):
     return store.erase_users(_words(spark, sf_dir), gone)
 
 
+_EXPORTS: dict = {}
+
+
 def _export(spark, sf_dir, max_items=25, max_reviews=8):
-    """Write the backups of all learners; small part/chunk sizes so that the
-    sf0.01 data really is split over several parts and chunks."""
+    """Write the backups of all learners once per session and data folder
+    (export once, read many — later readers reuse the written folder); small
+    part/chunk sizes so that the sf0.01 data really is split over several
+    parts and chunks."""
+    key = (id(spark), sf_dir, max_items, max_reviews)
+    if key in _EXPORTS:
+        return _EXPORTS[key]
     words = fx.words(spark, sf_dir, DEFAULT)
     reviews = rv.review_replay(fx.reviews(spark, sf_dir), DEFAULT)
     env = bk.export_backups(words, reviews, fx.chats(spark, sf_dir), fx.settings_kv(spark, sf_dir),
                             EXPORT_AT, max_items=max_items, max_reviews=max_reviews)
-    return bk.write_backups(env, scratch_path(spark, "backups"))
+    _EXPORTS[key] = bk.write_backups(env, scratch_path(spark, "backups"))
+    return _EXPORTS[key]
 
 
 @query("export_backups", with_fixtures(
@@ -288,10 +297,11 @@ def q_validate_backups(spark, sf_dir):
     """Real envelopes plus one broken line and one envelope without its chat
     history: per envelope, valid or the reason it was quarantined."""
     path = _export(spark, sf_dir)
+    bad_path = scratch_path(spark, "bad-backups")
     bad = spark.createDataFrame([('{"user_id": 1, "learned_words": [',),
                                  ('{"user_id": 2, "part": 9, "learned_words": [], "user_settings": {}}',)], "value string")
-    bad.coalesce(1).write.mode("append").text(path)
-    valid, quarantine = bk.validate_backups(bk.read_envelopes(spark, path))
+    bad.coalesce(1).write.mode("overwrite").text(bad_path)
+    valid, quarantine = bk.validate_backups(bk.read_envelopes(spark, [path, bad_path]))
     return (valid.select("user_id", "part", F.lit("valid").alias("status"))
             .unionByName(quarantine.select("user_id", "part", F.col("reason").alias("status"))))
 

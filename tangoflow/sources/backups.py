@@ -114,11 +114,11 @@ def write_backups(envelopes: DataFrame, path: str) -> str:
     return path
 
 
-def read_envelopes(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+def read_envelopes(spark: SparkSession, path, multiline: bool = False) -> DataFrame:
     """S1/S2 raw read: explicit schema, PERMISSIVE, corrupt text kept; the
     learner id falls back to the number in the file name (single-user files)."""
     df = (spark.read.schema(ENVELOPE).option("mode", "PERMISSIVE").option("multiLine", multiline)
-          .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
+          .option("columnNameOfCorruptRecord", "_corrupt_record").json(path if isinstance(path, str) else list(path)))
     fname = F.col("_metadata.file_name")
     from_name = F.regexp_extract(fname, r"(\d+)", 1)
     uid = F.coalesce(F.col("user_id"), F.when(from_name != "", from_name.cast("bigint")))
