@@ -292,7 +292,28 @@ def q_read_backup_reviews(spark, sf_dir):
     return bk.backup_reviews(valid)
 
 
-@query("validate_backups")
+def _md5_part(key, n):
+    return (f"CAST(('0x' || substr(md5({key}), 1, 8))::BIGINT % CAST(greatest(1, ceil({n} / 25)) AS BIGINT) "
+            "AS INTEGER)")
+
+
+_PARTS = {
+    "wchunks": "SELECT DISTINCT user_id, word AS japanese, (review_no - 1) // 8 AS chunk FROM replay",
+    "wentries": "SELECT w.user_id, w.japanese, COALESCE(c.chunk, 0) AS chunk FROM words w LEFT JOIN wchunks c "
+                "ON c.user_id = w.user_id AND c.japanese = w.japanese",
+    "wparts": "SELECT DISTINCT e.user_id, "
+              + _md5_part("e.japanese || '|' || CAST(e.chunk AS VARCHAR)", "n.n") + " AS part FROM wentries e "
+              "JOIN (SELECT user_id, count(*) AS n FROM wentries GROUP BY user_id) n USING (user_id)",
+    "cparts": f"SELECT DISTINCT c.user_id, {_md5_part('CAST(c.conv_id AS VARCHAR)', 'n.n')} AS part FROM chats c "
+              "JOIN (SELECT user_id, count(*) AS n FROM chats GROUP BY user_id) n USING (user_id)",
+    "sparts": "SELECT DISTINCT user_id, 0 AS part FROM settings_kv",
+}
+
+
+@query("validate_backups", with_fixtures(
+    "SELECT user_id, part, 'valid' AS status FROM (SELECT * FROM wparts UNION SELECT * FROM cparts "
+    "UNION SELECT * FROM sparts) UNION ALL SELECT CAST(NULL AS BIGINT), 0, 'unparsable' "
+    "UNION ALL SELECT 2, 9, 'conversation_history'", "words", "replay", "chats", "settings_kv", extra=_PARTS))
 def q_validate_backups(spark, sf_dir):
     """Real envelopes plus one broken line and one envelope without its chat
     history: per envelope, valid or the reason it was quarantined."""

@@ -53,12 +53,14 @@ REQUIRED = ("learned_words", "conversation_history", "user_settings")
 
 
 def _parts(entries: DataFrame, key: F.Column, max_items: int) -> DataFrame:
-    """Spread a learner's entries over ceil(n / max_items) parts by a hash of
-    the entry key; n per learner is a partially aggregated count."""
+    """Spread a learner's entries over ceil(n / max_items) parts by an md5
+    bucket of the entry key (text); n per learner is a partially aggregated
+    count.  md5 keeps the assignment reproducible outside Spark."""
     n = entries.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
-    nparts = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(max_items))).cast("int")
+    nparts = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(max_items))).cast("bigint")
+    bucket = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
     return (entries.join(n, "user_id")
-            .withColumn("part", F.pmod(F.xxhash64(key), nparts).cast("int"))
+            .withColumn("part", F.pmod(bucket, nparts).cast("int"))
             .drop("_n"))
 
 
@@ -84,13 +86,14 @@ def export_backups(words: DataFrame, reviews: DataFrame, chats: DataFrame, setti
         F.date_format("last_reviewed", P.DAY_FORMAT).alias("last_reviewed"), F.col("next_review"),
         (F.coalesce(F.col("chunk"), F.lit(0)) * F.lit(max_reviews)).cast("bigint").alias("review_offset"))
     wparts = _parts(w.select("user_id", F.col("japanese").alias("_k"), F.coalesce("chunk", F.lit(0)).alias("_c"),
-                             entry.alias("e")), F.struct("_k", "_c"), max_items)
+                             entry.alias("e")), F.concat_ws("|", "_k", "_c"), max_items)
     wagg = wparts.groupBy("user_id", "part").agg(F.sort_array(F.collect_list(F.struct("_k", "_c", "e"))).alias("x"))
     wagg = wagg.select("user_id", "part", F.transform("x", lambda x: x["e"]).alias("learned_words"))
 
     centry = F.struct(F.col("user_message").alias("user"), F.col("ai_response").alias("ai"), "timestamp", "level",
                       "topic", "conv_id", F.date_format("created_at", P.SECOND_FORMAT).alias("created_at"))
-    cparts = _parts(chats.select("user_id", "conv_id", "created_at", centry.alias("e")), F.col("conv_id"), max_items)
+    cparts = _parts(chats.select("user_id", "conv_id", "created_at", centry.alias("e")),
+                    F.col("conv_id").cast("string"), max_items)
     cagg = cparts.groupBy("user_id", "part").agg(
         F.sort_array(F.collect_list(F.struct("created_at", "conv_id", "e"))).alias("x"))
     cagg = cagg.select("user_id", "part", F.transform("x", lambda x: x["e"]).alias("conversation_history"))
@@ -115,12 +118,13 @@ def write_backups(envelopes: DataFrame, path: str) -> str:
 
 
 def read_envelopes(spark: SparkSession, path, multiline: bool = False) -> DataFrame:
-    """S1/S2 raw read: explicit schema, PERMISSIVE, corrupt text kept; the
-    learner id falls back to the number in the file name (single-user files)."""
+    """S1/S2 raw read: explicit schema, PERMISSIVE, corrupt text kept; for
+    single-user files without a user_id field the id comes from a
+    ``user<digits>`` file name (e.g. ``user_42.json``), else stays NULL."""
     df = (spark.read.schema(ENVELOPE).option("mode", "PERMISSIVE").option("multiLine", multiline)
           .option("columnNameOfCorruptRecord", "_corrupt_record").json(path if isinstance(path, str) else list(path)))
     fname = F.col("_metadata.file_name")
-    from_name = F.regexp_extract(fname, r"(\d+)", 1)
+    from_name = F.regexp_extract(fname, r"(?i)user[_-]?(\d+)", 1)
     uid = F.coalesce(F.col("user_id"), F.when(from_name != "", from_name.cast("bigint")))
     return df.select(uid.alias("user_id"), F.coalesce("part", F.lit(0)).alias("part"), "export_date",
                      *REQUIRED, "_corrupt_record", fname.alias("file_name"))
