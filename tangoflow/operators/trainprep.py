@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tangoflow import params as P
-from tangoflow.functions.text import seeded_bucket, seeded_key
-from tangoflow.params import DEFAULT, Params
+from tangoflow.functions.text import seeded_key
 
 PAIR_JSON = T.StructType([
     T.StructField("input_text", T.StringType()), T.StructField("target_text", T.StringType()),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tangoflow.functions.schedule import ladder_interval, next_review_date, review_interval
+from tangoflow.functions.schedule import next_review_date, review_interval
 from tangoflow.operators import due, reviews as rv
 from tangoflow.params import DEFAULT
 from tangoflow.plans.oracle_fixtures import TODAY, interval_sql, with_fixtures

@@ -199,6 +199,8 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
 
 
+# The sentence definition (computed by the linear ``sentences_of``; the regex
+# form is what the SQL oracle and the equivalence test use).
 SENTENCE_PATTERN = r"[^.!?\n]+[.!?]"
 
 
