@@ -25,7 +25,8 @@ def _literal_pairs(spark: SparkSession, rows, source: str) -> DataFrame:
     data = [(f"{source}#{i}", inc, cor, et, lvl) for i, (inc, cor, et, lvl) in enumerate(rows)]
     df = spark.createDataFrame(data, "pair_id string, incorrect_text string, correct_text string, "
                                      "error_type string, difficulty_level int")
-    return df.withColumn("source", F.lit(source)).select(*RAW_COLS)
+    # Fixed reference data: one partition (no empty tasks per union branch).
+    return df.coalesce(1).withColumn("source", F.lit(source)).select(*RAW_COLS)
 
 
 def expert_pairs(spark: SparkSession, rows=seed.EXPERT_PAIRS) -> DataFrame:
@@ -50,8 +51,8 @@ def proficiency_pairs(spark: SparkSession, rows=seed.PROFICIENCY_PAIRS) -> DataF
     data = [(f"jlpt#{i}", inc, cor, et, lvl) for i, (inc, cor, et, lvl) in enumerate(rows)]
     df = spark.createDataFrame(data, "pair_id string, incorrect_text string, correct_text string, "
                                      "error_type string, level string")
-    return df.select("pair_id", "incorrect_text", "correct_text", "error_type",
-                     F.concat(F.lit(P.PROFICIENCY_SOURCE_PREFIX), F.col("level")).alias("source"),
+    return df.coalesce(1).select("pair_id", "incorrect_text", "correct_text", "error_type",
+                                 F.concat(F.lit(P.PROFICIENCY_SOURCE_PREFIX), F.col("level")).alias("source"),
                      proficiency_to_difficulty(F.col("level")).alias("difficulty_level"))
 
 
@@ -114,7 +115,7 @@ def fill_templates(spark: SparkSession, draws: int = P.TEMPLATE_DRAWS, templates
         idx = seeded_bucket(params.seed, ti, draw, F.lit(name)) % F.lit(len(options))
         values[name] = F.element_at(F.array(*[F.lit(x) for x in options]), (idx + 1).cast("int"))
     pos = (ti + 1).cast("int")
-    return spark.range(n * draws).select(
+    return spark.range(0, n * draws, 1, 1).select(
         ti.cast("int").alias("template_no"), draw.cast("int").alias("draw"),
         _fill(F.element_at(tpl_bad, pos), values).alias("incorrect_text"),
         _fill(F.element_at(tpl_ok, pos), values).alias("correct_text"),
