@@ -84,3 +84,53 @@ def test_backup_roundtrip_words_equal(spark):
     got = E.queries()["read_backups"](spark, SF_SMALL)
     src = fx.words(spark, SF_SMALL).select(*got.columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, src.collect()))
+
+
+# Queries whose only unpartitioned windows run over bounded inputs: the
+# ≤ 65,536-row md5 bucket-offset table (M1/M4) and the ≤ V-row vocabulary (M2).
+BOUNDED_GLOBAL_WINDOWS = {"train_val_split", "assign_batches", "fit_vocab", "encode_pairs"}
+
+
+def _bracket_groups(text: str) -> list[str]:
+    """Top-level [...] groups in a plan node's argument string."""
+    depth, groups, cur = 0, [], []
+    for ch in text:
+        if ch == "[":
+            depth += 1
+            if depth == 1:
+                cur = []
+                continue
+        elif ch == "]":
+            depth -= 1
+            if depth == 0:
+                groups.append("".join(cur))
+                continue
+        if depth >= 1:
+            cur.append(ch)
+    return groups
+
+
+def global_windows(plan: str) -> int:
+    """Window nodes without a partition spec.  A node prints
+    ``Window [exprs], [partition?], [order?]`` with empty groups omitted; a
+    partition group has no ASC/DESC, an order group has."""
+    n = 0
+    for ln in plan.split("\n"):
+        if "Window [" not in ln:
+            continue
+        rest = _bracket_groups(ln.split("Window ", 1)[1])[1:]
+        if not any(g.strip() and "ASC" not in g and "DESC" not in g for g in rest):
+            n += 1
+    return n
+
+
+def test_no_unbounded_global_windows(spark):
+    """SURVEY §5: no window without a partition key over unbounded data."""
+    offenders = []
+    for name, fn in sorted(E.queries().items()):
+        plan = plan_text(fn(spark, SF_SMALL))
+        global_windows_found = global_windows(plan)
+        if global_windows_found and name not in BOUNDED_GLOBAL_WINDOWS:
+            offenders.append(name)
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+    assert offenders == []
