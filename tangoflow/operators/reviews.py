@@ -53,10 +53,13 @@ def _local_scan(r: DataFrame) -> DataFrame:
 def _bucket_summary(local: DataFrame) -> DataFrame:
     """One row per (user, word, bucket) with the state at the bucket's end
     (cumulative over earlier buckets)."""
+    # Totals read off the running columns (max of a running count = the
+    # bucket total): both consumers of ``local`` then compute the same window
+    # columns, so their shuffle inputs are identical and can be reused.
     s = local.groupBy(*KEYS, "bucket").agg(
         F.count(F.lit(1)).alias("cnt"),
-        F.sum(F.col("correct").cast("bigint")).alias("ok"),
-        F.max(F.when(~F.col("correct"), F.col("ln"))).alias("lw"),
+        F.max("lok").alias("ok"),
+        F.max("llw").alias("lw"),
         F.min("reviewed_at").alias("first_ts"),
         F.max("reviewed_at").alias("last_ts"),
     )
