@@ -3,9 +3,11 @@ over whole tables; ``ORACLE`` holds the DuckDB twins where SQL can say it."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tangoflow.llm import rule_ledger, secrets
+from tangoflow.llm import mixing, packing, rule_ledger, secrets, warc
 from tangoflow.llm.common import materialise, table
 
 QUERIES = {}
@@ -22,6 +24,37 @@ def query(name: str, oracle: str | None = None):
     return deco
 
 
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+h AS (SELECT page_id, strlen(t)::BIGINT AS payload_bytes, sha1(t) AS x FROM p),
+d AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda k:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(x, 1 + 5 * (k // 4), 5))::BIGINT
+    >> (5 * (3 - k % 4))::INTEGER) & 31)::INTEGER, 1)), '') AS payload_digest FROM h),
+f AS (SELECT payload_digest, payload_bytes, min(page_id) AS first FROM d GROUP BY ALL)
+SELECT page_id, d.payload_bytes, d.payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to, true AS verified
+FROM d JOIN f ON f.payload_digest = d.payload_digest AND f.payload_bytes = d.payload_bytes
+"""
+
+
+@query("op1_warc", WARC_SQL)
+def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archive(table(spark, sf_dir, "pages"))
+    return read.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                       F.col("refers_to").cast("long").alias("refers_to"), "verified")
+
+
+@query("op3_mix_sources")
+def mix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op6_pack_tokens")
+def pack_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query("op9_secret_scan")
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = materialise(secrets.scan(table(spark, sf_dir, "documents"), ["doc_id"]), "secret-spans")
