@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tangoflow.llm import mixing, packing, rule_ledger, secrets, warc
+from tangoflow.llm import bagminhash, mixing, packing, rule_ledger, secrets, warc
 from tangoflow.llm.common import materialise, table
 
 QUERIES = {}
@@ -50,6 +50,12 @@ def mix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+@query("op5_bagminhash")
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bagminhash.classes(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+
+
 @query("op6_pack_tokens")
 def pack_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
