@@ -37,3 +37,25 @@ def shared_names(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns can't clash with the
     columns an operator makes."""
     return df.select(*[df[n] for n in names])
+
+
+def ordered_spans(spans) -> Column:
+    """Spans (start, stop, k) by start, then kind."""
+    return F.sort_array(F.transform(spans, lambda s: F.struct(
+        s["start"].alias("start"), s["k"].alias("k"), s["stop"].alias("stop"))))
+
+
+def spans_text(spans, kinds: tuple[str, ...]) -> Column:
+    """``kind:start:stop`` of each span, comma-joined."""
+    kind = F.array(*[F.lit(k) for k in kinds])
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+        ":", F.get(kind, s["k"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
+
+
+def span_digest(df: DataFrame, held: list[str], kinds: tuple[str, ...], base: str = "base", spans: str = "spans") -> DataFrame:
+    """``held``, the number of base spans of each kind, their SHA-256 and all
+    spans as text.  Both span columns are ordered."""
+    number = lambda k: F.size(F.filter(base, lambda s: s["k"] == k)).cast("long").alias(f"n_{kinds[k]}")
+    return df.select(*held, *[number(k) for k in range(len(kinds))],
+                     F.sha2(spans_text(base, kinds).cast("binary"), 256).alias("base_sha256"),
+                     spans_text(spans, kinds).alias("spans"))

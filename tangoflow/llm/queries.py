@@ -7,8 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tangoflow.llm import bagminhash, mixing, packing, rule_ledger, secrets, warc
-from tangoflow.llm.common import materialise, table
+from tangoflow.llm import bagminhash, mixing, packing, pii, rule_ledger, secrets, vector_dedup, warc
+from tangoflow.llm.common import materialise, span_digest, table
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -45,11 +45,36 @@ def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("refers_to").cast("long").alias("refers_to"), "verified")
 
 
+@query("op2_personal_data")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(pii.extract(table(spark, sf_dir, "documents")), ["doc_id"], pii.KINDS)
+
+
 @query("op3_mix_sources")
 def mix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+VECTOR_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+u AS (SELECT vec_id, label, v, len(v) AS dim, sqrt(list_inner_product(v, v)) AS norm FROM e WHERE label IS NOT NULL
+  AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(v, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.dim = b.dim AND a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.v, b.v) / (a.norm * b.norm) >= 0.93),
+r AS (SELECT vec_id AS a, vec_id AS b FROM e UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM e JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+
+@query("op4_near_vectors", VECTOR_SQL)
+def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query("op5_bagminhash")
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bagminhash.classes(table(spark, sf_dir, "documents"))

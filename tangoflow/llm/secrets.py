@@ -21,6 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tangoflow.llm.common import ordered_spans, span_digest
+
 # The base patterns, the value group and least length of each.
 ASSIGN = (r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -111,29 +113,16 @@ def judge(scanned: DataFrame, model: list[float], min_llr: float = MIN_LLR) -> D
     """``base`` and ``spans`` (base and accepted runs, by start, then kind)."""
     held = [c for c in scanned.columns if c not in ("base", "runs")]
     accepted = F.filter("runs", lambda r: llr(r["value"], model) >= min_llr)
-    return scanned.select(*held, _ordered("base").alias("base"), _ordered(F.concat("base", accepted)).alias("spans"))
-
-
-def _text_of(spans: str) -> Column:
-    kind = F.array(*[F.lit(k) for k in KINDS])
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(
-        ":", F.get(kind, s["k"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
-
-
-def _ordered(spans) -> Column:
-    """Spans by start, then kind (structs sort by their fields in order)."""
-    return F.sort_array(F.transform(spans, lambda s: F.struct(
-        s["start"].alias("start"), s["k"].alias("k"), s["stop"].alias("stop"))))
+    return scanned.select(*held, ordered_spans("base").alias("base"),
+                          ordered_spans(F.concat("base", accepted)).alias("spans"))
 
 
 def digest(judged: DataFrame) -> DataFrame:
     """Counts per kind, the base spans' digest and all spans as text."""
     held = [c for c in judged.columns if c not in ("base", "spans")]
-    number = lambda col, k: F.size(F.filter(col, lambda s: s["k"] == k)).cast("long")
-    return judged.select(*held, *[number("base", k).alias(f"n_{KINDS[k]}") for k in range(3)],
-                         number("spans", 3).alias("n_markov"),
-                         F.sha2(_text_of("base").cast("binary"), 256).alias("base_sha256"),
-                         _text_of("spans").alias("spans"))
+    found = F.size(F.filter("spans", lambda s: s["k"] == KINDS.index("markov"))).cast("long")
+    return span_digest(judged.withColumn("__n", found), [*held, "__n"], KINDS).drop("n_markov").withColumnRenamed(
+        "__n", "n_markov")
 
 
 def redacted(text: str, spans: str, mark: str = "[SECRET]") -> Column:
