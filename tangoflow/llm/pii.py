@@ -8,7 +8,8 @@ words before it; the word before and the word after).  Spark scores the
 bipartite graph iteratively:
 
 * a pattern's confidence for a kind is the score of its instances of the kind
-  over the number of all its instances, of whatever kind;
+  over the number of all its instances, of whatever kind, plus ``SMOOTH`` (so
+  that a few instances alike by chance don't make a pattern);
 * a seed's score is 1, a candidate's ``1 - prod(1 - confidence)`` over its
   patterns, starting at 0.
 
@@ -40,6 +41,7 @@ from tangoflow.llm.common import materialise, ordered_spans
 KINDS = ("email", "ip", "card", "phone")
 MIN_CONFIDENCE = 0.8
 MIN_SEEDS = 3
+SMOOTH = 2
 ROUNDS = 3
 CONTEXT = 240  # characters searched for the words beside an instance
 
@@ -191,13 +193,13 @@ def learn(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         f"s{k}" for k in range(len(KINDS))]).alias("seeds"))).alias("x")).select("pattern", "n", "x.k", "x.seeds")
     known = materialise(known.where(c("seeds") >= MIN_SEEDS), "pii-patterns")
     loose = edges.where(~c("seed")).select("pattern", "k", "value")
-    confidence = known.withColumn("confidence", c("seeds") / c("n"))
+    confidence = known.withColumn("confidence", c("seeds") / (c("n") + SMOOTH))
     for _ in range(rounds):
         score = loose.join(confidence, ["pattern", "k"]).groupBy("k", "value").agg(
             (1 - F.exp(F.sum(F.log(F.greatest(1 - c("confidence"), F.lit(1e-9)))))).alias("score"))
         gained = loose.join(score, ["k", "value"]).groupBy("pattern", "k").agg(F.sum("score").alias("gain"))
         confidence = materialise(known.join(gained, ["pattern", "k"], "left").withColumn(
-            "confidence", (c("seeds") + F.coalesce("gain", F.lit(0.0))) / c("n")).drop("gain"), "pii-confidence")
+            "confidence", (c("seeds") + F.coalesce("gain", F.lit(0.0))) / (c("n") + SMOOTH)).drop("gain"), "pii-confidence")
     return confidence.where(c("confidence") >= MIN_CONFIDENCE)
 
 

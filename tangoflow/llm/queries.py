@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tangoflow.llm import bagminhash, mixing, packing, pii, rule_ledger, secrets, vector_dedup, warc
+from tangoflow.llm import bagminhash, mixing, packing, pii, preference, rule_ensemble, rule_ledger, secrets, vector_dedup, warc
 from tangoflow.llm.common import materialise, span_digest, table
 
 QUERIES = {}
@@ -86,6 +86,31 @@ def pack_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op7_rule_ensemble")
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+PREFERENCE_SQL = r"""
+WITH t AS (SELECT DISTINCT conv_id // 2 AS pair_id, CASE WHEN conv_id % 2 = 1 THEN 'rejected' ELSE 'chosen' END AS side,
+  coalesce(turn, 9223372036854775807) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+s AS (SELECT pair_id, turn, role, text, bool_or(side = 'chosen') AS l, bool_or(side = 'rejected') AS r FROM t GROUP BY ALL),
+p AS (SELECT pair_id, min(CASE WHEN NOT (l AND r) THEN turn END) AS first,
+  bool_or(l) AND bool_or(r) AND pair_id IS NOT NULL AS paired FROM s GROUP BY pair_id),
+j AS (SELECT t.*, paired, (first IS NULL OR turn < first) AND paired AS prompt
+  FROM t JOIN p ON t.pair_id IS NOT DISTINCT FROM p.pair_id)
+SELECT pair_id, CASE WHEN prompt THEN 'prompt' ELSE side END AS part, nullif(turn, 9223372036854775807) AS turn, role,
+  '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS rendered,
+  NOT prompt AND role = 'assistant' AS loss, paired
+FROM j WHERE NOT prompt OR side = 'chosen'
+"""
+
+
+@query("op8_preference_format", PREFERENCE_SQL)
+def preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.preference_turns(preference.neighbours(table(spark, sf_dir, "conversations")))
+
+
 @query("op9_secret_scan")
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = materialise(secrets.scan(table(spark, sf_dir, "documents"), ["doc_id"]), "secret-spans")
