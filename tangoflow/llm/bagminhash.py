@@ -287,3 +287,20 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 def _repeats(rows: DataFrame) -> bool:
     return not rows.groupBy("id").count().where("count > 1").isEmpty()
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` (all columns) with one document of each class: the one with
+    the class's smallest id.  Of rows that repeat that id with the same text
+    the smallest stays."""
+    c = F.col
+    found = classes(docs, key, text)
+    kept = found.where(c(key).eqNullSafe(c("class_id"))).groupBy(c(key).alias("__k")).agg(F.count(F.lit(1)).alias("__n"))
+    kept = materialise(kept, "near-kept")
+    of = lambda ids: docs.join(ids, docs[key].eqNullSafe(ids["__k"]), "left_semi")
+    once = of(kept.where("__n = 1"))
+    repeated = kept.where("__n > 1")
+    if repeated.isEmpty():
+        return once
+    rows = of(repeated).groupBy(key, text).agg(F.min(F.struct(*[docs[x] for x in docs.columns])).alias("__row"))
+    return once.unionByName(rows.select("__row.*"))

@@ -33,10 +33,17 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def shared_names(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that extra columns can't clash with the
-    columns an operator makes."""
-    return df.select(*[df[n] for n in names])
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated once, also where ``body`` uses
+    it inside a lambda and the optimizer inlines columns."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def keep_after(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter that stays above the projection that made its columns: pushed
+    below, it would evaluate their expressions a second time."""
+    at = "__at"
+    return df.withColumn(at, F.monotonically_increasing_id()).where(condition & (F.col(at) >= 0)).drop(at)
 
 
 def ordered_spans(spans) -> Column:

@@ -207,5 +207,6 @@ def mix_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sour
     _, states = plan_mix(docs, key, text, source)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs[key].alias("__id"),
                        _source_key(docs[source]).alias("__s"), word_count(docs[text]).alias("size"))
-    taken = with_copies(rows, states, "__id").where("copies > 0")
-    return taken.select(F.explode(F.sequence(F.lit(1), F.col("copies"))), "__row").select("__row.*")
+    taken = with_copies(rows, states, "__id")
+    return taken.select(F.explode_outer(F.array_repeat(F.lit(1), F.col("copies"))).alias("__one"), "__row").where(
+        F.col("__one").isNotNull()).select("__row.*")

@@ -147,3 +147,10 @@ def rule_ledger_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "fail_bits",
                       rule_ledger.fails(rule_ledger.BASE_POLICY).alias("base_failed"),
                       (~rule_ledger.fails(rule_ledger.FULL_POLICY)).alias("kept"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

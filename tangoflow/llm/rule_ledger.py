@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tangoflow.llm.common import WORD, words_of
+from tangoflow.llm.common import WORD, keep_after, let, words_of
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_shouts")
 
@@ -73,8 +73,9 @@ def measure(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
         F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.regexp_count(t, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
         F.regexp_count(t, F.lit("!")).cast("long").alias("n_shouts"))
-    hashes = F.transform(F.slice("w", 1, F.greatest(F.size("w") - 2, F.lit(0))),
-                         lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2)))
+    hashes = let(F.col("w"), lambda w: F.transform(
+        F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))),
+        lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))))
     hashed = base.select(
         *keys, "n_symbols", "n_upper", "n_shouts", F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
@@ -82,8 +83,8 @@ def measure(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"), hashes.alias("h"))
     places = F.slice(F.sequence(F.lit(0), F.size("h")), 1, F.size("h")).alias("i")
     ordered = hashed.withColumn("s", F.sort_array(F.arrays_zip(F.col("h").alias("h"), places))).drop("h")
-    twice = F.filter("s", lambda x, k: F.coalesce(x["h"] == F.get("s", k + 1)["h"], F.lit(False))
-                     | F.coalesce(x["h"] == F.get("s", k - 1)["h"], F.lit(False)))
+    twice = let(F.col("s"), lambda s: F.filter(s, lambda x, k: F.coalesce(x["h"] == F.get(s, k + 1)["h"], F.lit(False))
+                                               | F.coalesce(x["h"] == F.get(s, k - 1)["h"], F.lit(False))))
     starts = ordered.withColumn("p", twice["i"]).drop("s")
     covered = F.array_distinct(F.concat("p", F.transform("p", lambda i: i + 1), F.transform("p", lambda i: i + 2)))
     return starts.withColumn("n_repeat_words", F.size(covered).cast("long")).select(*keys, *MEASURES)
@@ -130,4 +131,4 @@ def keep_good(docs: DataFrame, policy: Policy = FULL_POLICY, text: str = "text")
     row = "__row"
     led = ledger(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(row), docs[text].alias("__text")),
                  [row], "__text")
-    return led.where(~fails(policy)).select(f"{row}.*")
+    return keep_after(led, ~fails(policy)).select(f"{row}.*")

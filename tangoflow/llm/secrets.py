@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tangoflow.llm.common import ordered_spans, span_digest
+from tangoflow.llm.common import let, ordered_spans, span_digest
 
 # The base patterns, the value group and least length of each.
 ASSIGN = (r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -71,7 +71,8 @@ def scan(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
                      _located("__t", HEX, 2, 0, 24).alias("__h"), _located("__t", RUN, 3, 0, MIN_RUN).alias("__r"))
     based = found.select(*key, F.concat("__a", "__k", "__h").alias("base"),
                          F.filter("__r", lambda r: r["value"].rlike("[A-Za-z]")).alias("__r"))
-    apart = F.filter("__r", lambda r: ~F.exists("base", lambda b: (b["start"] < r["stop"]) & (r["start"] < b["stop"])))
+    apart = let(F.col("base"), lambda base: F.filter("__r", lambda r: ~F.exists(
+        base, lambda b: (b["start"] < r["stop"]) & (r["start"] < b["stop"]))))
     return based.select(*key, "base", F.when(F.size("base") == 0, F.col("__r")).otherwise(apart).alias("runs"))
 
 
@@ -81,10 +82,10 @@ def train(scanned: DataFrame, prior: float = 0.5) -> list[float]:
     Counts cover the distinct samples of the whole corpus; what reaches the
     driver is at most ``2 * STATES ** 2`` (under 10,000) counts, whatever the
     input's size."""
-    labelled = scanned.select(F.explode(F.concat(
+    labelled = scanned.select(F.explode_outer(F.concat(
         F.transform("base", lambda s: F.struct(s["value"].alias("value"), F.lit(1).alias("c"))),
         F.transform("runs", lambda s: F.struct(s["value"].alias("value"), F.lit(0).alias("c"))))).alias("s"))
-    samples = labelled.groupBy(F.col("s.value").alias("value")).agg(F.max("s.c").alias("c"))
+    samples = labelled.where(F.col("s").isNotNull()).groupBy(F.col("s.value").alias("value")).agg(F.max("s.c").alias("c"))
     chars = samples.select("c", F.posexplode(F.split("value", "")).alias("i", "to"), "value").where(F.col("to") != "")
     moved = chars.select("c", F.instr(F.lit(ALPHABET), F.col("to")).alias("to"),
                          F.when(F.col("i") == 0, F.lit(0))
