@@ -10,7 +10,7 @@ of the document is settled, so heavy weights and long texts cost no more than
 their first points.
 
 Documents with equal words are one text.  Registers are banded; in a bucket
-every text is compared with the bucket's smallest id, and, where that leaves
+every text is compared with the bucket's best-connected one, and, where that leaves
 the bucket in several classes, the texts outside the first class with all
 others (in blocks, after an estimate from the signatures).  All links are
 verified on the exact multisets, and classes are the connected components.
@@ -259,8 +259,13 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         F.any_value("keys").alias("keys"))
     reps = materialise(reps.where(c("id").isNotNull()), "near-texts")
     members = reps.select("id", F.posexplode("keys").alias("band", "key"))
-    firsts = members.groupBy("band", "key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = materialise(members.join(firsts, ["band", "key"]), "near-buckets")
+    shared = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = materialise(members.join(shared, ["band", "key"]), "near-met")
+    # a bucket's first text is the one that meets the most others in all buckets: the original of many near copies,
+    # which are each like it, though not like one another
+    known = met.groupBy("id").agg(F.sum("size").alias("known"))
+    firsts = met.join(known, "id").groupBy("band", "key").agg(F.min_by("id", F.struct(-c("known"), "id")).alias("first"))
+    buckets = materialise(met.join(firsts, ["band", "key"]), "near-buckets")
     stars = buckets.where("id <> first").select(c("first").alias("a"), c("id").alias("b")).distinct()
     stars = materialise(stars, "near-pairs")
     wanted = buckets.select("id").distinct()

@@ -24,10 +24,14 @@ from tangoflow.llm.common import WORD, keep_after, let, words_of
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_shouts")
 
 
+#: The rules in bit order.
+RULES = ("few_words", "repeated_windows", "symbols", "shouting", "exclamations", "duplicate_lines", "word_length")
+BIT = {name: 1 << k for k, name in enumerate(RULES)}
+
 
 def rules() -> dict[str, Column]:
-    """Rule name -> condition under which it FAILS, in bit order.  Conditions
-    compare integers, so every engine agrees on them."""
+    """Rule name -> condition under which it FAILS.  Conditions compare
+    integers, so every engine agrees on them."""
     c = F.col
     return {
         "few_words": c("n_words") < 50,
@@ -40,9 +44,6 @@ def rules() -> dict[str, Column]:
     }
 
 
-BIT = {name: 1 << k for k, name in enumerate(rules())}
-
-
 @dataclass(frozen=True)
 class Policy:
     """A versioned policy: the documents that fail any of ``names`` go."""

@@ -76,12 +76,15 @@ def scan(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     return based.select(*key, "base", F.when(F.size("base") == 0, F.col("__r")).otherwise(apart).alias("runs"))
 
 
-def train(scanned: DataFrame, prior: float = 0.5) -> list[float]:
+def train(scanned: DataFrame, backoff: float = 20.0) -> list[float]:
     """Log-likelihood ratios by transition code ``from * STATES + to``.
 
     Counts cover the distinct samples of the whole corpus; what reaches the
     driver is at most ``2 * STATES ** 2`` (under 10,000) counts, whatever the
-    input's size."""
+    input's size.  Random strings back off to the uniform distribution.
+    Ordinary identifiers back off to their character frequencies, and one is
+    taken off each of their counts: the runs that are judged are samples
+    themselves, and a run must not vouch for its own transitions."""
     labelled = scanned.select(F.explode_outer(F.concat(
         F.transform("base", lambda s: F.struct(s["value"].alias("value"), F.lit(1).alias("c"))),
         F.transform("runs", lambda s: F.struct(s["value"].alias("value"), F.lit(0).alias("c"))))).alias("s"))
@@ -92,12 +95,18 @@ def train(scanned: DataFrame, prior: float = 0.5) -> list[float]:
                          .otherwise(F.instr(F.lit(ALPHABET), F.substring("value", F.col("i"), F.lit(1)))).alias("frm"))
     counts = moved.groupBy("c", "frm", "to").count().collect()
     n = {(r["c"], r["frm"], r["to"]): r["count"] for r in counts}
-    total = {(c, f): sum(n.get((c, f, t), 0) for t in range(STATES)) for c in (0, 1) for f in range(STATES)}
-
-    def log_p(c: int, f: int, t: int) -> float:
-        return math.log((n.get((c, f, t), 0) + prior) / (total[c, f] + prior * STATES))
-
-    return [log_p(1, f, t) - log_p(0, f, t) for f in range(STATES) for t in range(STATES)]
+    states = range(STATES)
+    plain = {(f, t): max(0, n.get((0, f, t), 0) - 1) for f in states for t in states}
+    often = [max(0, sum(n.get((0, f, t), 0) for f in states) - 1) + 0.5 for t in states]
+    random_, ordinary = ([sum(n.get((1, f, t), 0) for t in states) for f in states],
+                         [sum(plain[f, t] for t in states) for f in states])
+
+    def ratio(f: int, t: int) -> float:
+        as_random = (n.get((1, f, t), 0) + backoff / STATES) / (random_[f] + backoff)
+        as_ordinary = (plain[f, t] + backoff * often[t] / sum(often)) / (ordinary[f] + backoff)
+        return math.log(as_random / as_ordinary)
+
+    return [ratio(f, t) for f in states for t in states]
 
 
 def llr(token: Column, model: list[float]) -> Column:
