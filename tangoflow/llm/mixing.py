@@ -63,10 +63,10 @@ def targets(sizes: DataFrame, cap: int = CAP, cycle: int = 3) -> DataFrame:
     everything = Window.partitionBy(F.lit(0))
     w = per.withColumn("weight", ((F.row_number().over(named) - 1) % cycle + 1).cast("double"))
     w = w.withColumn("limit", (F.col("source_size") * cap).cast("double")).withColumn(
-        "room", F.col("limit") / F.col("weight"))
+        "room", F.try_divide("limit", "weight"))
     left = F.sum("source_size").over(everything).cast("double") - F.coalesce(F.sum("limit").over(before), F.lit(0.0))
     weights = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    w = w.withColumn("share", left / weights).withColumn("full", F.col("room") <= F.col("share"))
+    w = w.withColumn("share", F.try_divide(left, weights)).withColumn("full", F.col("room") <= F.col("share"))
     w = w.withColumn("level", F.min_by("share", F.when(~F.col("full"), F.col("room"))).over(everything))
     target = F.when(F.col("full"), F.col("limit")).otherwise(
         F.least(F.col("limit"), F.col("level") * F.col("weight")))
@@ -75,7 +75,7 @@ def targets(sizes: DataFrame, cap: int = CAP, cycle: int = 3) -> DataFrame:
 
 def _rate(lam: Column, size: Column, mean: Column, cap: int) -> Column:
     return F.when(lam.isNull(), F.lit(float(cap))).otherwise(
-        F.least(F.lit(float(cap)), F.exp(F.least(lam * size / mean, F.lit(50.0)))))
+        F.least(F.lit(float(cap)), F.exp(F.least(F.try_divide(lam * size, mean), F.lit(50.0)))))
 
 
 def solve(sizes: DataFrame, want: DataFrame, cap: int = CAP) -> DataFrame:
@@ -83,12 +83,12 @@ def solve(sizes: DataFrame, want: DataFrame, cap: int = CAP) -> DataFrame:
     document of the source has the rate ``cap``)."""
     hist = materialise(sizes.where("size > 0").groupBy("__s", "size").agg(F.count(F.lit(1)).alias("n")), "mix-sizes")
     c = F.col
-    stats = hist.groupBy("__s").agg((F.sum(c("n") * c("size")) / F.sum("n")).alias("mean"),
+    stats = hist.groupBy("__s").agg(F.try_divide(F.sum(c("n") * c("size")), F.sum("n")).alias("mean"),
                                     F.min("size").alias("least"))
-    ratio = F.log(c("target") / c("source_size"))
+    ratio = F.log(F.try_divide(c("target"), c("source_size")))
     state = want.join(stats, "__s", "left").withColumn(
         "open", (c("source_size") > 0) & (c("target") < cap * c("source_size")))
-    steepest = c("mean") / c("least")
+    steepest = F.try_divide("mean", "least")
     state = state.withColumns({
         "lo": F.when(ratio < 0, ratio * steepest).otherwise(0.0),
         "hi": F.when(ratio < 0, 0.0).otherwise(F.log(F.lit(float(cap))) * steepest),
@@ -98,14 +98,14 @@ def solve(sizes: DataFrame, want: DataFrame, cap: int = CAP) -> DataFrame:
         x = hist.join(state.where("miss > 0").select("__s", "lam", "mean"), "__s")
         rate = _rate(c("lam"), c("size"), c("mean"), cap)
         words = c("n") * c("size") * rate
-        slope = F.when(rate < cap, words * c("size") / c("mean")).otherwise(0.0)
+        slope = F.when(rate < cap, F.try_divide(words * c("size"), c("mean"))).otherwise(0.0)
         whole = lambda v: F.sum(F.round(v * SCALE).cast("long")) / F.lit(float(SCALE))
         sums = x.groupBy("__s").agg(whole(words).alias("words"), whole(slope).alias("slope"))
         y = state.join(sums, "__s", "left")
         off = F.coalesce(c("words") - c("target"), F.lit(0.0))
         y = y.withColumns({"lo": F.when(off < 0, c("lam")).otherwise(c("lo")),
                            "hi": F.when(off > 0, c("lam")).otherwise(c("hi")), "off": off})
-        newton = c("lam") - c("off") / F.nullif(c("slope"), F.lit(0.0))
+        newton = c("lam") - F.try_divide("off", "slope")
         step = F.when((newton > c("lo")) & (newton < c("hi")), newton).otherwise((c("lo") + c("hi")) / 2)
         done = F.abs("off") <= F.greatest(TOLERANCE * c("target"), F.lit(0.01))
         y = y.withColumns({"lam": F.when(c("words").isNull() | done, c("lam")).otherwise(step),
@@ -137,8 +137,9 @@ def thresholds(sizes: DataFrame, solved: DataFrame, key: str, cap: int = CAP) ->
     copy) and ``also`` (at most ``NEXT`` further keys that do)."""
     c = F.col
     rated = materialise(_rated(sizes.join(solved, "__s"), key, cap).where(c("size") > 0)
-                        .groupBy("__s", "__key", "__base").agg(F.sum("size").alias("size")), "mix-keys")
-    sure = rated.groupBy("__s").agg(F.sum(c("__base") * c("size")).alias("sure"))
+                        .groupBy("__s", "__key").agg(F.sum("size").alias("size"), F.sum(c("__base") * c("size")).alias("sure")),
+                        "mix-keys")
+    sure = rated.groupBy("__s").agg(F.sum("sure").alias("sure"))
     state = solved.join(sure, "__s", "left").select(
         *solved.columns, F.lit(0).cast("long").alias("below"), (c("target") - F.coalesce("sure", F.lit(0))).alias("need"))
     state = materialise(state, "mix-round")
@@ -166,8 +167,7 @@ def thresholds(sizes: DataFrame, solved: DataFrame, key: str, cap: int = CAP) ->
             F.coalesce(F.shiftleft("bin", shift), c("below")).alias("below"),
             (c("need") - F.coalesce(used, F.lit(0))).alias("need")), "mix-round")
     rest = (keyed.join(state.select("__s", "below", "need"), "__s")
-            .where((c("__key") >= c("below")) & (c("size") <= c("need")))
-            .groupBy("__s", "__key", "need").agg(F.sum("size").alias("size")))
+            .where((c("__key") >= c("below")) & (c("size") <= c("need"))))
     first = rest.withColumn("r", F.row_number().over(Window.partitionBy("__s").orderBy("__key"))).where(c("r") <= NEXT)
     lists = first.groupBy("__s").agg(F.max("need").alias("left"), F.sort_array(
         F.collect_list(F.struct("__key", "size"))).alias("next"))
