@@ -128,7 +128,7 @@ def fit(train: DataFrame, label: str = "label") -> Ensemble:
     vectors = VectorAssembler(inputCols=list(NAMES), outputCol="features").transform(
         train.withColumn(label, F.col(label).cast("double")))
     forest = RandomForestClassifier(labelCol=label, numTrees=TREES, maxDepth=DEPTH, featureSubsetStrategy="onethird",
-                                    seed=SEED, maxBins=64).fit(vectors)
+                                    bootstrap=False, seed=SEED, maxBins=64).fit(vectors)
     rules = sorted(set().union(*[paths(t.toDebugString) for t in forest.trees]), key=str)
     if not rules:
         return Ensemble(math.log((n1 + 1) / (n0 + 1)), ())
