@@ -32,11 +32,19 @@ def ladder_interval(correct_before: Column, correct: Column) -> Column:
     ladder = F.array(*[F.lit(d) for d in P.LADDER_DAYS])
     n = F.coalesce(correct_before.cast("int"), F.lit(0))
     last = len(P.LADDER_DAYS)
-    beyond = (F.lit(P.LADDER_DAYS[-1]) * F.pow(F.lit(2.0), (n - F.lit(last - 1)).cast("double"))).cast("bigint")
+    # Doubling stops after LADDER_MAX_DOUBLINGS steps: beyond that the day is out of the calendar anyway.
+    doublings = F.least(n - F.lit(last - 1), F.lit(P.LADDER_MAX_DOUBLINGS))
+    beyond = (F.lit(P.LADDER_DAYS[-1]) * F.pow(F.lit(2.0), doublings.cast("double"))).cast("bigint")
     hit = F.when(n < F.lit(last), F.element_at(ladder, n + F.lit(1)).cast("bigint")).otherwise(beyond)
     return F.when(F.coalesce(correct, F.lit(False)), hit).otherwise(F.lit(P.LADDER_MISS_DAYS).cast("bigint"))
 
 
+def calendar_day_after(day: Column, days: Column) -> Column:
+    """``day`` plus ``days``; NULL where that is after the year 9999."""
+    room = F.datediff(F.lit("9999-12-31").cast("date"), day)
+    return F.when(days <= room, F.date_add(day, F.least(days, room.cast("bigint")).cast("int")))
+
+
 def strict_day(text: Column) -> Column:
     """Parse 'yyyy-m-d' text the way a strict day parser does; NULL when it
     does not parse (month/day may be unpadded, no blanks, 4-digit year)."""

@@ -132,19 +132,20 @@ def template_pairs(spark: SparkSession, draws: int = P.TEMPLATE_DRAWS, params: P
 
 
 def inject_errors(sentences: DataFrame, rules) -> DataFrame:
-    """C5 — apply (error_type, right form, wrong form, level) rules to corpus
-    sentences: every sentence containing a rule's right form yields a pair
-    with all its occurrences replaced.  A per-row projection
-    (``array`` of conditional structs + ``inline``): no join, no shuffle."""
+    """C5 — apply (language, error_type, right form, wrong form, level) rules
+    to the sentences of their language: every sentence containing a rule's
+    right form yields a pair with all its occurrences replaced, identified by
+    document, position and rule.  A per-row projection (``array`` of
+    conditional structs + ``inline``): no join, no shuffle."""
     cands = F.array_compact(F.array(*[
-        F.when(F.col("sentence").contains(right),
-               F.struct(F.lit(et).alias("error_type"),
+        F.when((F.col("lang") == lang) & F.col("sentence").contains(right),
+               F.struct(F.lit(no).alias("rule_no"), F.lit(et).alias("error_type"),
                         F.replace(F.col("sentence"), F.lit(right), F.lit(wrong)).alias("incorrect_text"),
                         F.lit(level).cast("int").alias("difficulty_level")))
-        for et, right, wrong, level in rules]))
+        for no, (lang, et, right, wrong, level) in enumerate(rules)]))
     out = sentences.select("doc_id", "pos", F.col("sentence").alias("correct_text"), F.inline(cands))
     src = seed.SOURCES["injected"]
-    return out.select(F.concat_ws("#", F.lit(src), "doc_id", "pos", "error_type").alias("pair_id"),
+    return out.select(F.concat_ws("#", F.lit(src), "doc_id", "pos", "rule_no").alias("pair_id"),
                       "incorrect_text", "correct_text", "error_type", F.lit(src).alias("source"),
                       "difficulty_level")
 

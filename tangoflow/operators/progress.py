@@ -19,23 +19,21 @@ def daily_counts(chats: DataFrame) -> DataFrame:
     return chats.groupBy("user_id", chat_day(chats).alias("day")).agg(F.count(F.lit(1)).alias("conversations"))
 
 
-def _daily_pivot(chats: DataFrame, col: str, values) -> DataFrame:
-    # Rows whose key is missing are dropped first, so a day with only missing
-    # keys does not appear; a fixed value list keeps the pivot one pass.
-    return (chats.where(F.col(col).isNotNull())
-                 .groupBy("user_id", chat_day(chats).alias("day"))
-                 .pivot(col, list(values)).agg(F.count(F.lit(1)))
-                 .na.fill(0, list(values)))
+def _daily_by(chats: DataFrame, col: str) -> DataFrame:
+    """Chats per learner, day and value of ``col``, whatever values there are;
+    one partially aggregated shuffle."""
+    return (chats.where(F.col(col).isNotNull()).groupBy("user_id", chat_day(chats).alias("day"), col)
+                 .agg(F.count(F.lit(1)).alias("conversations")))
 
 
-def daily_by_level(chats: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """A5 — day × level counts, 0-filled."""
-    return _daily_pivot(chats, "level", params.levels)
+def daily_by_level(chats: DataFrame) -> DataFrame:
+    """A5 — day × level counts, one row per level that occurs."""
+    return _daily_by(chats, "level")
 
 
-def daily_by_topic(chats: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """A6 — day × topic counts, 0-filled."""
-    return _daily_pivot(chats, "topic", params.topics)
+def daily_by_topic(chats: DataFrame) -> DataFrame:
+    """A6 — day × topic counts, one row per topic that occurs."""
+    return _daily_by(chats, "topic")
 
 
 def practice_days(chats: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tangoflow.functions.schedule import ladder_interval, next_review_date, review_interval
+from tangoflow.functions.schedule import calendar_day_after, ladder_interval, next_review_date, review_interval
 from tangoflow.params import DEFAULT, Params
 
 KEYS = ("user_id", "word")
@@ -208,4 +208,4 @@ def ladder_schedule(reviews: DataFrame, params: Params = DEFAULT) -> DataFrame:
     before = F.col("correct_count") - F.col("correct").cast("bigint")
     days = ladder_interval(before, F.col("correct"))
     return rp.select(*KEYS, "seq", "correct", before.alias("correct_before"), days.alias("ladder_days"),
-                     F.date_add(F.to_date("reviewed_at"), days.cast("int")).alias("ladder_next_review"))
+                     calendar_day_after(F.to_date("reviewed_at"), days).alias("ladder_next_review"))

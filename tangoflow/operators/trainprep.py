@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,10 +87,8 @@ def fit_vocab(pairs: DataFrame, size: int, cols=("input_text", "target_text")) -
     """M2 — token → id (1..size) for the ``size`` most frequent tokens (ties by
     token); 0 is the padding id, size+1 the unknown id.  Counting is a
     partially aggregated group-by; only the ≤ size survivors are ranked."""
-    toks = None
-    for c in cols:
-        t = pairs.select(F.explode(tokens(F.col(c))).alias("token"))
-        toks = t if toks is None else toks.unionByName(t)
+    both = F.concat(*[F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")) for c in cols])
+    toks = pairs.select(F.explode_outer(both).alias("token")).where(F.col("token").isNotNull())
     counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("count"))
     top = counts.orderBy(F.desc("count"), "token").limit(size)
     # Bounded single-partition window over the ≤ size kept tokens.
@@ -102,39 +101,33 @@ def encode_pairs(pairs: DataFrame, vocab: DataFrame, size: int, max_len: int = P
     """M3 — input ids / attention mask / labels, each exactly ``max_len`` long:
     truncated, padded with 0; labels use −100 where padded.
 
-    Both texts of a pair are exploded together (side-tagged), looked up in
-    the broadcast vocabulary (at most ``size`` rows — a limit, so a proven
-    bound), and regrouped on the pair id — the only shuffle moves the pairs'
-    text, not the (many more) token rows.  Tokens past
-    ``max_len`` are dropped before the regroup, so every group is bounded;
-    ``posexplode_outer`` keeps pairs whose texts have no token.
+    Tokens are cut to ``max_len`` first.  The vocabulary is limited to
+    ``size`` rows here, whatever the caller passes, and sent to the tasks as a
+    dictionary that an Arrow-batched function looks tokens up in: no shuffle,
+    no regroup of exploded tokens, and two pairs with one id stay two rows.
     """
-    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("input_text").alias("text")),
-                    F.struct(F.lit(1).alias("side"), F.col("target_text").alias("text")))
-    # Shuffle the pairs (text) by id once, before the explode: the regroup
-    # below then reuses this partitioning instead of shuffling token rows.
-    t = (pairs.repartition(id_col).select(id_col, F.inline(sides))
-         .select(id_col, "side", F.posexplode_outer(tokens(F.col("text"))).alias("pos", "token"))
-         .where(F.col("pos").isNull() | (F.col("pos") < max_len)))
-    j = t.join(F.broadcast(vocab.select("token", F.col("id").alias("_id"))), "token", "left")
-    tok = F.struct("pos", F.coalesce(F.col("_id"), F.lit(size + 1)).alias("id"))
-    has = F.col("pos").isNotNull()
-    g = j.groupBy(id_col).agg(
-        F.sort_array(F.collect_list(F.when(has & (F.col("side") == 0), tok))).alias("_s"),
-        F.sort_array(F.collect_list(F.when(has & (F.col("side") == 1), tok))).alias("_t"))
-    src = F.col("_s.id")
-    tgt = F.col("_t.id")
+    ids = {r["token"]: r["id"] for r in vocab.orderBy("id").limit(size).select("token", "id").collect()}
+    known = pairs.sparkSession.sparkContext.broadcast(ids)
+
+    @F.pandas_udf("array<int>")
+    def look_up(column: pd.Series) -> pd.Series:
+        get, unknown = known.value.get, size + 1
+        return column.map(lambda ts: [get(t, unknown) for t in ts])
+
+    def coded(text):
+        return look_up(F.coalesce(F.slice(tokens(F.col(text)), 1, max_len), F.array().cast("array<string>")))
+
+    g = pairs.select(id_col, coded("input_text").alias("_s"), coded("target_text").alias("_t"))
     ns, nt = F.size("_s"), F.size("_t")
 
     def fill(v, k):
         return F.array_repeat(F.lit(v), F.lit(max_len) - k)
 
-    # Plain array functions (no per-position lambdas): ids ≤ max_len already.
     return g.select(
         id_col,
-        F.concat(src, fill(0, ns)).alias("input_ids"),
+        F.concat("_s", fill(0, ns)).alias("input_ids"),
         F.concat(F.array_repeat(F.lit(1), ns), fill(0, ns)).alias("attention_mask"),
-        F.concat(tgt, fill(P.LABEL_IGNORE, nt)).alias("labels"))
+        F.concat("_t", fill(P.LABEL_IGNORE, nt)).alias("labels"))
 
 
 def assign_batches(pairs: DataFrame, batch_size: int = P.TRAIN_BATCH, shard_rows: int = 1 << 20,

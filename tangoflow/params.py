@@ -22,6 +22,7 @@ MAX_INTERVAL_DAYS = 30
 # value doubles each step; a miss resets to one day.
 LADDER_DAYS = (1, 3, 7, 14, 30, 90)
 LADDER_MISS_DAYS = 1
+LADDER_MAX_DOUBLINGS = 40  # own bound: 2^40 steps are past any calendar day
 # Quiz: at most this many words per session, default session size.
 MAX_QUIZ_WORDS = 20
 DEFAULT_QUIZ_WORDS = 10
@@ -81,8 +82,6 @@ class Params:
     max_quiz_words: int = MAX_QUIZ_WORDS
     quiz_words: int = DEFAULT_QUIZ_WORDS
     recent_chats: int = DEFAULT_RECENT_CHATS
-    levels: tuple = LEVELS
-    topics: tuple = tuple(f"topic{i}" for i in range(6))
     # Replay partial-state bucket: rows of one (user, word) are split by this
     # time unit so a hot key is spread over many tasks (see operators.reviews).
     replay_bucket: str = "day"

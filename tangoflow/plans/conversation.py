@@ -126,19 +126,19 @@ def q_daily_counts(spark, sf_dir):
     return pg.daily_counts(fx.chats(spark, sf_dir))
 
 
-def _pivot_sql(col, values):
-    cells = ", ".join(f"CAST(count_if({col} = '{v}') AS BIGINT) AS \"{v}\"" for v in values)
-    return f"SELECT user_id, {DAY} AS day, {cells} FROM chats WHERE {col} IS NOT NULL GROUP BY ALL"
+def _by_sql(col):
+    return f"SELECT user_id, {DAY} AS day, {col}, count(*) AS conversations FROM chats WHERE {col} IS NOT NULL GROUP BY ALL"
 
 
-@query("daily_by_level", with_fixtures(_pivot_sql("level", DEFAULT.levels), "chats"))
+@query("daily_by_level", with_fixtures(_by_sql("level"), "chats"))
 def q_daily_by_level(spark, sf_dir):
-    return pg.daily_by_level(fx.chats(spark, sf_dir), DEFAULT)
+    return pg.daily_by_level(fx.chats(spark, sf_dir))
 
 
-@query("daily_by_topic", with_fixtures(_pivot_sql("topic", DEFAULT.topics), "chats"))
+@query("daily_by_topic", with_fixtures(_by_sql("topic"), "chats"))
 def q_daily_by_topic(spark, sf_dir):
-    return pg.daily_by_topic(fx.chats(spark, sf_dir), DEFAULT)
+    return pg.daily_by_topic(fx.chats(spark, sf_dir))
+
 
 
 @query("practice_days", with_fixtures(f"SELECT DISTINCT user_id, {DAY} AS day FROM chats", "chats"))

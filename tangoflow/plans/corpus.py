@@ -57,10 +57,10 @@ def _template_sql(draws=P.TEMPLATE_DRAWS):
 
 
 _CORPUS = {
-    "injected": "SELECT concat_ws('#', 'injected', s.doc_id, s.pos, r.error_type) AS pair_id, "
+    "injected": "SELECT concat_ws('#', 'injected', s.doc_id, s.pos, r.rule_no) AS pair_id, "
                 "replace(s.sentence, r.right_form, r.wrong_form) AS incorrect_text, s.sentence AS correct_text, "
                 "r.error_type, 'injected' AS source, r.level AS difficulty_level "
-                "FROM sentences s JOIN rules r ON contains(s.sentence, r.right_form)",
+                "FROM sentences s JOIN rules r ON r.lang = s.lang AND contains(s.sentence, r.right_form)",
     "raw": f"{_lit_rows(seed.EXPERT_PAIRS, 'expert_curated')} UNION ALL {_template_sql()} UNION ALL "
            f"{_lit_rows(seed.LEARNER_PAIRS, 'lang8_style')} UNION ALL {_jlpt_rows()} UNION ALL "
            "SELECT * FROM injected",
@@ -78,8 +78,8 @@ def _processed(spark, sf_dir):
     return cp.format_pairs(_raw(spark, sf_dir))
 
 
-def _corpus_sql(sql, *extra_fixtures, extra=None):
-    return with_fixtures(sql, "sentences", "rules", *extra_fixtures, extra={**_CORPUS, **(extra or {})})
+def _corpus_sql(sql, *extra_fixtures, extra=None, once=()):
+    return with_fixtures(sql, "sentences", "rules", *extra_fixtures, extra={**_CORPUS, **(extra or {})}, once=once)
 
 
 _RAW_COLS = ", ".join(cp.RAW_COLS)
@@ -193,13 +193,12 @@ _ENC = {
 
 
 @query("encode_pairs", _corpus_sql(
-    "SELECT p.pair_id, array_to_string(list_transform(range(128), lambda i: CASE WHEN i < len(COALESCE(s.ids, [])) "
-    "THEN s.ids[i + 1] ELSE 0 END), ' ') AS input_ids, "
-    "array_to_string(list_transform(range(128), lambda i: CASE WHEN i < len(COALESCE(s.ids, [])) THEN 1 ELSE 0 END), "
-    "' ') AS attention_mask, "
-    "array_to_string(list_transform(range(128), lambda i: CASE WHEN i < len(COALESCE(t.ids, [])) THEN t.ids[i + 1] "
-    "ELSE -100 END), ' ') AS labels FROM processed p LEFT JOIN eids s ON s.pair_id = p.pair_id AND s.side = 'src' "
-    "LEFT JOIN eids t ON t.pair_id = p.pair_id AND t.side = 'tgt'", extra=_ENC))
+    "SELECT p.pair_id, array_to_string(list_resize(COALESCE(s.ids, []), 128, 0), ' ') AS input_ids, "
+    "array_to_string(list_resize(list_resize([]::INTEGER[], len(COALESCE(s.ids, [])), 1), 128, 0), ' ') AS attention_mask, "
+    "array_to_string(list_resize(COALESCE(t.ids, []), 128, -100), ' ') AS labels "
+    "FROM processed p LEFT JOIN eids s ON s.pair_id = p.pair_id AND s.side = 'src' "
+    "LEFT JOIN eids t ON t.pair_id = p.pair_id AND t.side = 'tgt'", extra=_ENC,
+    once=("processed", "tok", "vocab", "etok", "eids")))
 def q_encode_pairs(spark, sf_dir):
     proc = _processed(spark, sf_dir)
     enc = tp.encode_pairs(proc, tp.fit_vocab(proc, VOCAB_SIZE), VOCAB_SIZE)

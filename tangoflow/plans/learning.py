@@ -96,12 +96,13 @@ def q_review_stats(spark, sf_dir):
 
 
 _LADDER = ("CASE WHEN NOT correct THEN 1 WHEN cb < 6 THEN list_extract([1, 3, 7, 14, 30, 90], cb + 1) "
-           "ELSE CAST(90 * pow(2, cb - 5) AS BIGINT) END")
+           "ELSE CAST(90 * pow(2, least(cb - 5, 40)) AS BIGINT) END")
 
 
 @query("ladder_schedule", with_fixtures(
     f"SELECT user_id, word, seq, correct, cb AS correct_before, CAST({_LADDER} AS BIGINT) AS ladder_days, "
-    f"CAST(reviewed_at AS DATE) + CAST({_LADDER} AS INTEGER) AS ladder_next_review "
+    f"CASE WHEN {_LADDER} <= date_diff('day', CAST(reviewed_at AS DATE), DATE '9999-12-31') "
+    f"THEN CAST(reviewed_at AS DATE) + CAST(least({_LADDER}, 3000000) AS INTEGER) END AS ladder_next_review "
     "FROM (SELECT *, correct_count - CAST(correct AS BIGINT) AS cb FROM replay)", "replay"))
 def q_ladder_schedule(spark, sf_dir):
     return rv.ladder_schedule(fx.reviews(spark, sf_dir), DEFAULT)

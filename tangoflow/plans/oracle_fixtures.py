@@ -9,6 +9,8 @@ bucketed scan used on Spark.
 
 from __future__ import annotations
 
+from tangoflow.sources.fixtures import ERROR_RULES
+
 TODAY = "DATE '2024-01-30'"
 
 _K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
@@ -70,7 +72,7 @@ SELECT s.user_id, s.word AS japanese, p.p_name AS english, s.first_reviewed AS a
                         || '-' || CAST(day(s.next_review) AS VARCHAR)
             ELSE strftime(s.next_review, '%Y-%m-%d') END AS next_review,
        s.review_count, s.correct_count, s.success_rate, s.streak, s.wn
-FROM word_state s JOIN part p ON p.p_partkey = s.wn
+FROM word_state s LEFT JOIN part p ON p.p_partkey = s.wn
 UNION ALL
 SELECT u.user_id, n.japanese, n.english, DATE '2024-01-01', 0, CAST(NULL AS DATE), '2024-02-15',
        CAST(0 AS BIGINT), CAST(0 AS BIGINT), 0.0, 0, CAST(NULL AS INTEGER)
@@ -101,7 +103,7 @@ _def("answers", """
 SELECT r.user_id, r.word, r.seq, r.reviewed_at AS answered_at,
        CASE r.seq % 4 WHEN 0 THEN p.p_name WHEN 1 THEN '  ' || upper(p.p_name) || ' '
                       WHEN 2 THEN 'wrong' ELSE '   ' END AS answer
-FROM reviews r JOIN part p ON p.p_partkey = r.wn""", ("reviews",))
+FROM reviews r LEFT JOIN part p ON p.p_partkey = r.wn""", ("reviews",))
 
 _def("loss_log", f"""
 SELECT user_id % 5 AS run, CAST(1 + floor((day(ts) - 1) / 10) AS INTEGER) AS epoch,
@@ -112,13 +114,13 @@ FROM events""")
 _def("turns", "SELECT conv_id, turn, role, text FROM conversations")
 
 _def("sentences", """
-SELECT doc_id, CAST(unnest(generate_series(0, len(l) - 1)) AS INTEGER) AS pos, unnest(l) AS sentence
-FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?\\n]+[.!?]') AS l FROM documents WHERE lang = 'en')""")
+SELECT doc_id, lang, CAST(unnest(generate_series(0, len(l) - 1)) AS INTEGER) AS pos, unnest(l) AS sentence
+FROM (SELECT doc_id, lang, regexp_extract_all(text, '[^.!?\\n]+[.!?]?') AS l FROM documents)""")
 
-_def("rules", """
-SELECT * FROM (VALUES ('article', ' the ', ' a ', 1), ('agreement', ' is ', ' are ', 2),
-                      ('preposition', ' in ', ' on ', 3), ('conjunction', ' and ', ' but ', CAST(NULL AS INTEGER)))
-       t(error_type, right_form, wrong_form, level)""")
+_def("rules", "SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, '{lang}', '{kind}', '{right}', '{wrong}', {'CAST(NULL AS INTEGER)' if level is None else level})"
+    for i, (lang, kind, right, wrong, level) in enumerate(ERROR_RULES))
+    + ") t(rule_no, lang, error_type, right_form, wrong_form, level)")
 
 
 def _order(names) -> list[str]:
@@ -135,11 +137,12 @@ def _order(names) -> list[str]:
     return out
 
 
-def with_fixtures(sql: str, *names: str, extra: dict | None = None) -> str:
+def with_fixtures(sql: str, *names: str, extra: dict | None = None, once: tuple[str, ...] = ()) -> str:
     """Prefix the named fixture CTEs (and their dependencies), then any extra
-    CTEs (name -> body, in order) to ``sql``."""
+    CTEs (name -> body, in order) to ``sql``; those in ``once`` are
+    materialised."""
     ctes = [f"{n} AS ({FIX[n]}\n)" for n in _order(names)]
-    ctes += [f"{n} AS ({b}\n)" for n, b in (extra or {}).items()]
+    ctes += [f"{n} AS {'MATERIALIZED ' if n in once else ''}({b}\n)" for n, b in (extra or {}).items()]
     return "WITH " + ",\n".join(ctes) + "\n" + sql
 
 

@@ -16,58 +16,26 @@ from tangoflow.functions.text import sentences_of
 from tangoflow.params import DEFAULT, Params
 
 # Fixed fixture rules: words per user are k % WORDS_PER_USER; chats join part
-# on k (0..CHAT_PART_KEYS-1); two never-reviewed words per user.
+# on k; two never-reviewed words per user.
 WORDS_PER_USER = 20
-CHAT_PART_KEYS = 100
 NEW_WORDS = (("new1", "new word one"), ("new2", "new word two"))
 NEW_WORD_ADDED = "2024-01-01"
 NEW_WORD_NEXT = "2024-02-15"
 
 
-_TABLES: dict = {}
-# Fact tables whose per-row work (JSON, regex, text) should never run in one
-# task because the file happens to be a single split.
-SPREAD_TABLES = ("events", "documents")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The given table (read-only input).  The lazy DataFrame is kept per
-    session and path so a query that uses a table twice lists and reads its
-    footers once."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
-    df = _TABLES.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = spark.read.parquet(path)
-        if name in SPREAD_TABLES:
-            df = ensure_parallelism(df)
-        _TABLES[key] = df
-    return df
-
-
-def ensure_parallelism(df: DataFrame) -> DataFrame:
-    """Spread a scan that yields fewer splits than the session's default
-    parallelism (e.g. one big Parquet row group) before CPU-heavy per-row
-    work.  A well-partitioned large table has far more splits than cores, so
-    on a cluster this adds no shuffle; it only fixes under-split inputs."""
-    sc = df.sparkSession.sparkContext
-    want = sc.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    """The given table (read-only input)."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _k() -> F.Column:
     return F.from_json(F.col("props"), "k int")["k"]
 
 
-def part_keys(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    """part rows with p_partkey < n.  p_partkey is the primary key, so the
-    result has at most n rows — a proven bound that makes it safe to
-    broadcast."""
-    return (table(spark, sf_dir, "part")
-            .where(F.col("p_partkey").between(0, n - 1))
-            .select("p_partkey", "p_name", "p_brand", "p_type"))
+def part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part columns that name words.  No hint: Spark knows the file's size
+    and picks the join."""
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,8 +69,8 @@ def words(spark: SparkSession, sf_dir: str, params: Params = DEFAULT) -> DataFra
 
     state = word_state(reviews(spark, sf_dir), params).withColumn(
         "wn", F.substring("word", 2, 8).cast("int"))
-    part = F.broadcast(part_keys(spark, sf_dir, WORDS_PER_USER))
-    reviewed = (state.join(part, state.wn == part.p_partkey, "inner")
+    names = part(spark, sf_dir)
+    reviewed = (state.join(names, state.wn == names.p_partkey, "left")
                 .select("user_id",
                         F.col("word").alias("japanese"),
                         F.col("p_name").alias("english"),
@@ -132,8 +100,8 @@ def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation history: one chat per event."""
     k = _k()
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", k.alias("k"))
-    part = F.broadcast(part_keys(spark, sf_dir, CHAT_PART_KEYS))
-    j = ev.join(part, ev.k == part.p_partkey, "left")
+    names = part(spark, sf_dir)
+    j = ev.join(names, ev.k == names.p_partkey, "left")
     vocab = F.concat(F.col("p_name"), F.lit(" ["), F.col("p_brand"), F.lit("] ("), F.col("p_type"), F.lit(")"))
     level = (F.when(F.col("event_type").isin("click", "error"), F.lit("Beginner"))
              .when(F.col("event_type") == "view", F.lit("Intermediate"))
@@ -173,8 +141,8 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed quiz answers: one per review, typed four ways by seq % 4."""
     r = reviews(spark, sf_dir)
-    part = F.broadcast(part_keys(spark, sf_dir, WORDS_PER_USER))
-    j = r.join(part, r.wn == part.p_partkey, "inner")
+    names = part(spark, sf_dir)
+    j = r.join(names, r.wn == names.p_partkey, "left")
     m = F.col("seq") % 4
     typed = (F.when(m == 0, F.col("p_name"))
              .when(m == 1, F.concat(F.lit("  "), F.upper("p_name"), F.lit(" ")))
@@ -199,27 +167,30 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
 
 
-# The sentence definition (computed by the linear ``sentences_of``; the regex
-# form is what the SQL oracle and the equivalence test use).
-SENTENCE_PATTERN = r"[^.!?\n]+[.!?]"
-
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corpus sentences of every language with their position in the document
+    (whole texts)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return docs.select("doc_id", "lang", F.posexplode(sentences_of(F.col("text"))).alias("pos", "sentence")).select(
+        "doc_id", "lang", F.col("pos").cast("int").alias("pos"), "sentence")
 
-def sentences(spark: SparkSession, sf_dir: str, lang: str = "en") -> DataFrame:
-    """Corpus sentences with their position in the document (whole texts)."""
-    docs = table(spark, sf_dir, "documents").where(F.col("lang") == lang).select("doc_id", "text")
-    return docs.select("doc_id", F.posexplode(sentences_of(F.col("text")))
-                       .alias("pos", "sentence")).select("doc_id", F.col("pos").cast("int").alias("pos"), "sentence")
 
-
-# Fixed error-injection rules: (error_type, right form, wrong form, level).
+# Fixed error-injection rules: (language, error_type, right form, wrong form, level).
 ERROR_RULES = (
-    ("article", " the ", " a ", 1),
-    ("agreement", " is ", " are ", 2),
-    ("preposition", " in ", " on ", 3),
-    ("conjunction", " and ", " but ", None),
+    ("en", "article", " the ", " a ", 1),
+    ("en", "agreement", " is ", " are ", 2),
+    ("en", "preposition", " in ", " on ", 3),
+    ("en", "conjunction", " and ", " but ", None),
+    ("de", "article", " der ", " die ", 1),
+    ("de", "agreement", " ist ", " sind ", 2),
+    ("de", "preposition", " in ", " auf ", 3),
+    ("de", "conjunction", " und ", " aber ", None),
+    ("fr", "article", " le ", " la ", 1),
+    ("fr", "agreement", " est ", " sont ", 2),
+    ("fr", "preposition", " dans ", " sur ", 3),
+    ("fr", "conjunction", " et ", " mais ", None),
+    ("es", "article", " el ", " la ", 1),
+    ("es", "agreement", " es ", " son ", 2),
+    ("es", "preposition", " en ", " de ", 3),
+    ("es", "conjunction", " y ", " pero ", None),
 )
-
-
-def rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(ERROR_RULES),
-                                 "error_type string, right_form string, wrong_form string, level int")

@@ -65,11 +65,44 @@ def test_practice_day_streak_cases(spark):
     assert got == {1: 3, 2: 2, 3: 1, 4: 0, 5: 2}
 
 
-def test_level_pivot_drops_missing_levels(spark):
-    chats = spark.createDataFrame([(1, "2024-01-01 10:00", "Beginner"), (1, "2024-01-01 11:00", None),
-                                   (1, "2024-01-02 10:00", None)], "user_id long, timestamp string, level string")
-    rows = pg.daily_by_level(chats).collect()
-    assert len(rows) == 1 and rows[0].Beginner == 1 and rows[0].Intermediate == 0 and rows[0].Advanced == 0
+def test_breakdowns_count_every_value(spark):
+    """No value list: a level or topic that nobody foresaw is counted, so the
+    breakdown adds up to the chats that have one."""
+    chats = spark.createDataFrame([(1, "2024-01-01 10:00", "Beginner", "Travel"), (1, "2024-01-01 11:00", None, "Hobbies"),
+                                   (1, "2024-01-01 12:00", "Expert", None), (1, "2024-01-02 10:00", None, "Travel")],
+                                  "user_id long, timestamp string, level string, topic string")
+    assert {(str(r.day), r.level, r.conversations) for r in pg.daily_by_level(chats).collect()} == {
+        ("2024-01-01", "Beginner", 1), ("2024-01-01", "Expert", 1)}
+    assert {(str(r.day), r.topic, r.conversations) for r in pg.daily_by_topic(chats).collect()} == {
+        ("2024-01-01", "Travel", 1), ("2024-01-01", "Hobbies", 1), ("2024-01-02", "Travel", 1)}
+
+
+def test_ladder_survives_long_histories(spark):
+    from tangoflow.operators.reviews import ladder_schedule
+
+    start = dt.datetime(2020, 1, 1)
+    rows = [(1, "w", start + dt.timedelta(days=i), i, True) for i in range(100)]
+    got = ladder_schedule(spark.createDataFrame(rows, "user_id long, word string, reviewed_at timestamp_ntz, seq long, correct boolean"))
+    by = {r.seq: r for r in got.collect()}
+    assert by[5].ladder_days == 90 and by[6].ladder_days == 180 and by[6].ladder_next_review == dt.date(2020, 1, 7) + dt.timedelta(180)
+    assert by[99].ladder_days == 90 * 2**40 and by[99].ladder_next_review is None
+    assert all((r.ladder_next_review is None) == (r.ladder_days > 2_950_000) for r in by.values() if not 2e6 < r.ladder_days < 3e6)
+
+
+def test_two_rules_of_one_error_type_stay_two_pairs(spark):
+    from tangoflow.operators import corpus as cp, trainprep as tp
+
+    s = spark.createDataFrame([(1, "en", 0, "he is in the house and so on."), (2, "xx", 0, "he is in"), (3, "de", 0, "a in b")],
+                              "doc_id long, lang string, pos int, sentence string")
+    rules = [("en", "particle", " is ", " are ", 1), ("en", "particle", " in ", " on ", 2), ("de", "particle", " in ", " auf ", 2)]
+    raw = cp.inject_errors(s, rules)
+    assert sorted(r.pair_id for r in raw.collect()) == ["injected#1#0#0", "injected#1#0#1", "injected#3#0#2"]
+    pairs = cp.format_pairs(raw)
+    enc = tp.encode_pairs(pairs, tp.fit_vocab(pairs, 50), 50, 16).collect()
+    assert len(enc) == 3 and all(len(r[c]) == 16 for r in enc for c in ("input_ids", "attention_mask", "labels"))
+    # one id twice: two rows, not one longer one
+    twice = tp.encode_pairs(pairs.union(pairs), tp.fit_vocab(pairs, 50), 50, 4).collect()
+    assert len(twice) == 6 and all(len(r.input_ids) == 4 for r in twice)
 
 
 def test_search_is_case_insensitive_unicode(spark):
@@ -128,14 +161,11 @@ def test_extract_vocab_reply_shapes(spark):
     assert not any(r[0] == 2 for r in got)
 
 
-def test_sentence_split_equals_regex(spark):
-    texts = ["One. Two!\nThree? four\nno end", "..a.", "x" * 500 + "\n", "Ends here.", "", "a!b?c."]
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
-    a = df.select(sentences_of(F.col("t"))).collect()
-    from tangoflow.sources.fixtures import SENTENCE_PATTERN
-
-    b = df.select(F.regexp_extract_all("t", F.lit(SENTENCE_PATTERN), F.lit(0))).collect()
-    assert [r[0] for r in a] == [r[0] for r in b]
+def test_sentences_keep_unterminated_ones(spark):
+    cases = {"One. Two!\nThree? four\nno end": ["One.", " Two!", "Three?", " four", "no end"], "..a.": ["a."],
+             "x" * 200_000 + "\n": ["x" * 200_000], "": [], "a!b?c.": ["a!", "b?", "c."], "\n\n": []}
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert {r.t: r.s for r in df.select("t", sentences_of(F.col("t")).alias("s")).collect()} == cases
 
 
 def test_template_grid_size(spark):
