@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tangoflow.llm.common import materialise
 from tangoflow.llm.components import components
@@ -206,46 +207,88 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _rest(buckets: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs of a bucket that are in different classes and not with the
+def _tokens(bag: np.ndarray) -> np.ndarray:
+    """A multiset as a set: the k-th occurrence of a hash is its own token."""
+    bag = np.sort(bag)
+    start = np.flatnonzero(np.append(True, bag[1:] != bag[:-1])) if len(bag) else np.empty(0, dtype=np.int64)
+    nth = np.arange(len(bag)) - np.repeat(start, np.diff(np.append(start, len(bag))))
+    return np.sort(_mix(bag + nth.astype(U64) * U64(0x9E3779B97F4A7C15)))
+
+
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of token sets, as the product
+    of their incidence matrices over the tokens that both lists have."""
+    both = np.intersect1d(np.concatenate(a), np.concatenate(b))
+
+    def incidence(sets):
+        m = np.zeros((len(sets), len(both)), dtype=np.float32)
+        for i, s in enumerate(sets):
+            at = np.searchsorted(both, s)
+            at[at == len(both)] = 0
+            m[i, at[both[at] == s]] = 1
+        return m
+
+    return (incidence(a) @ incidence(b).T).astype(np.int64) if len(both) else np.zeros((len(a), len(b)), dtype=np.int64)
+
+
+def _links(a: dict, b: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Similar pairs between two blocks whose classes differ (as positions):
+    sizes and signatures rule most out, the exact overlaps decide."""
+    na, nb = (np.array(x["n"]) for x in (a, b))
+    sa, sb = (np.frombuffer(b"".join(x["sig"]), dtype="<u2").reshape(len(x["sig"]), -1) for x in (a, b))
+    maybe = np.minimum.outer(na, nb) * SIMILAR[1] >= np.maximum.outer(na, nb) * SIMILAR[0]
+    maybe &= np.array(a["class"], dtype=object)[:, None] != np.array(b["class"], dtype=object)[None, :]
+    for i in np.flatnonzero(maybe.any(axis=1)):
+        maybe[i] &= (sb == sa[i]).mean(axis=1) >= LEAST_AGREEMENT
+    i, j = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
+    if not len(i):
+        return i, j
+    sets = lambda x, at: [np.frombuffer(x["bag"][k], dtype="<u8") for k in at]
+    same = _overlaps(sets(a, i), sets(b, j))
+    good = maybe[np.ix_(i, j)] & (same * SIMILAR[1] >= (na[i][:, None] + nb[j][None, :] - same) * SIMILAR[0])
+    p, q = np.nonzero(good)
+    return i[p], j[q]
+
+
+def _rest(buckets: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links of a bucket between different classes, without those to the
     bucket's first text: texts outside the first class against all others,
-    block by block, kept if sizes and signatures allow the similarity.
+    block by block.  A block comparison verifies its pairs itself, so only
+    links become rows.
 
     ``buckets``: bucket key, id, class, first id, first class, size."""
     c = F.col
-    open_ = buckets.where((c("size") > 2) & (c("id") != c("first"))).join(sigs, "id")
-    blocks = F.greatest(F.ceil(c("size") / BLOCK), F.lit(1))
-    row = open_.select("band", "key", "id", "class", "n", "sig", (c("class") != c("first_class")).alias("stray"),
-                       F.pmod(F.xxhash64("id"), blocks).alias("blk"))
-    some = row.where("stray").select("band", "key").distinct()
-    packed = row.join(some, ["band", "key"], "left_semi").groupBy("band", "key", "stray", "blk").agg(
-        F.collect_list(F.struct("id", "class", "n", "sig")).alias("m"))
-    packed = materialise(packed, "near-blocks")
+    open_ = buckets.where((c("size") > 2) & (c("id") != c("first")))
+    stray = c("class") != c("first_class")
+    some = open_.where(stray).select("band", "key").distinct()
+    row = materialise(open_.join(some, ["band", "key"], "left_semi").select(
+        "band", "key", "id", "class", stray.alias("stray"),
+        F.pmod(F.xxhash64("id"), F.ceil(c("size") / BLOCK)).alias("blk")), "near-open")
+
+    def bags(batches):
+        for batch in batches:
+            sets = [_tokens(shingles(words(t))).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "bag"])
+
+    name = buckets.schema["id"].dataType.simpleString()
+    known = texts.join(row.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(
+        bags, f"id {name}, bag binary").join(sigs, "id")
+    packed = materialise(row.join(known, "id").groupBy("band", "key", "stray", "blk").agg(
+        F.collect_list(F.struct("id", "class", "n", "sig", "bag")).alias("m")), "near-blocks")
     x = packed.where("stray").select("band", "key", c("blk").alias("blk_x"), c("m").alias("x"))
     y = packed.select("band", "key", c("blk").alias("blk_y"), c("stray").alias("stray_y"), c("m").alias("y"))
     met = x.join(y, ["band", "key"]).where(~c("stray_y") | (c("blk_x") <= c("blk_y"))).select("x", "y")
+    kind = to_arrow_type(buckets.schema["id"].dataType)
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                a, b = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                sa, sb = (np.frombuffer(b"".join(r["sig"] for r in s), dtype="<u2").reshape(len(s), -1) for s in (a, b))
-                nb = np.array([r["n"] for r in b])
-                lists = ([], [])
-                for r, s in zip(a, sa, strict=True):
-                    near = (sb == s).mean(axis=1) >= LEAST_AGREEMENT
-                    near &= (np.minimum(nb, r["n"]) * SIMILAR[1] >= np.maximum(nb, r["n"]) * SIMILAR[0])
-                    for j in np.flatnonzero(near):
-                        if b[j]["class"] != r["class"]:
-                            lists[0].append(min(r["id"], b[j]["id"]))
-                            lists[1].append(max(r["id"], b[j]["id"]))
+                a, b = ({f.name: v.to_pylist() for f, v in zip(col.type.value_type, col[i].values.flatten(), strict=True)}
+                        for col in (batch.column(0), batch.column(1)))
+                p, q = _links(a, b)
+                lists = ([a["id"][k] for k in p], [b["id"][k] for k in q])
                 yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v in lists], names=["a", "b"])
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    spark_kind = buckets.schema["id"].dataType
-    kind = to_arrow_type(spark_kind)
-    name = spark_kind.simpleString()
     return met.mapInArrow(run, f"a {name}, b {name}").distinct()
 
 
@@ -280,8 +323,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     placed = (buckets.where("size > 2").join(found, "id", "left").join(first_class, "first", "left")
               .select("band", "key", "id", "first", "size", F.coalesce("class", "id").alias("class"),
                       F.coalesce("first_class", "first").alias("first_class")))
-    rest = materialise(_rest(placed, reps.select("id", "n", "sig")), "near-rest")
-    more = materialise(verified(rest, texts), "near-links")
+    more = materialise(_rest(placed, reps.select("id", "n", "sig"), texts), "near-links")
     if not more.isEmpty():
         found = materialise(components(links.unionByName(more), "a", "b")
                             .select(c("node").alias("id"), c("root").alias("class")), "near-classes")
