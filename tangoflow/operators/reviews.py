@@ -129,8 +129,18 @@ def word_state(reviews: DataFrame, params: Params = DEFAULT) -> DataFrame:
                       "interval_days", "first_reviewed", "last_reviewed", "next_review")
 
 
+def late_keys(new_reviews: DataFrame, history: DataFrame) -> DataFrame:
+    """Keys of the batch with a review that is not after all of the key's
+    applied ones: late, or delivered again.  Two partially aggregated minima
+    and maxima; no key's reviews are gathered."""
+    at = F.struct("reviewed_at", "seq")
+    first = new_reviews.groupBy(*KEYS).agg(F.min(at).alias("first_new"))
+    last = history.join(first.select(*KEYS), list(KEYS), "left_semi").groupBy(*KEYS).agg(F.max(at).alias("last_old"))
+    return first.join(last, list(KEYS)).where(F.col("first_new") <= F.col("last_old")).select(*KEYS)
+
+
 def apply_review_updates(words: DataFrame, new_reviews: DataFrame, params: Params = DEFAULT,
-                         how: str = "left") -> DataFrame:
+                         how: str = "left", history: DataFrame | None = None) -> DataFrame:
     """J2 — continue each stored word's state with a batch of new reviews.
 
     ``words`` carries (user_id, word, review_count, correct_count, streak,
@@ -140,7 +150,30 @@ def apply_review_updates(words: DataFrame, new_reviews: DataFrame, params: Param
     without stored state are not words of the learner and are ignored
     (``how="full"`` adds them with the batch's own state — the streaming
     merge).
+
+    A review that repeats in the batch (same ``seq``) counts once.  With
+    ``history``, the reviews applied so far, keys that get late or repeated
+    reviews are replayed from their history and the batch, so the result is
+    the state of all reviews in order.  Without it such reviews can only be
+    counted, and ``last_reviewed`` never moves back.
     """
+    new_reviews = new_reviews.dropDuplicates([*KEYS, "seq"])
+    if history is None:
+        return _continued(words, new_reviews, params, how)
+    late = late_keys(new_reviews, history)
+    fresh = new_reviews.join(late, list(KEYS), "left_anti")
+    columns = [c for c in ("seq", "reviewed_at", "correct") if c in history.columns]
+    both = history.select(*KEYS, *columns).unionByName(new_reviews.select(*KEYS, *columns))
+    again = word_state(both.join(late, list(KEYS), "left_semi").dropDuplicates([*KEYS, "seq"]), params)
+    rest = _continued(words, fresh, params, how)
+    state = [c for c in again.columns if c not in KEYS and c in rest.columns]
+    r = again.select(*KEYS, F.lit(True).alias("_again"), *[F.col(c).alias(f"_r_{c}") for c in state])
+    j = rest.join(r, list(KEYS), "left")
+    return j.select(*[F.when(F.col("_again"), F.col(f"_r_{c}").cast(rest.schema[c].dataType)).otherwise(F.col(c)).alias(c)
+                      if c in state else F.col(c) for c in rest.columns])
+
+
+def _continued(words: DataFrame, new_reviews: DataFrame, params: Params, how: str) -> DataFrame:
     batch = word_state(new_reviews, params)
     b = batch.select(*KEYS, F.col("review_count").alias("b_cnt"), F.col("correct_count").alias("b_ok"),
                      F.col("streak").alias("b_streak"), F.col("last_reviewed").alias("b_last"),
@@ -153,18 +186,19 @@ def apply_review_updates(words: DataFrame, new_reviews: DataFrame, params: Param
     stored_streak = F.coalesce(F.col("streak"), F.lit(0))
     streak = F.when(~has, F.col("streak")).when(F.col("b_streak") == F.col("b_cnt"),
                                                 stored_streak + F.col("b_cnt")).otherwise(F.col("b_streak"))
-    j = j.select("*", n.alias("_n"), ok.alias("_ok"), streak.cast("int").alias("_streak"))
+    j = j.select("*", n.alias("_n"), ok.alias("_ok"), streak.cast("int").alias("_streak"),
+                 F.greatest("b_last", "last_reviewed").alias("_last"))
     j = (j.withColumn("review_count", F.col("_n")).withColumn("correct_count", F.col("_ok"))
           .withColumn("success_rate", F.when(F.col("_n") > 0, F.col("_ok").cast("double") / F.col("_n").cast("double"))
                       .otherwise(F.lit(0.0)))
           .withColumn("streak", F.col("_streak")))
     interval = review_interval(F.col("success_rate"), F.col("streak"))
     return (j.withColumn("interval_days", F.when(has, interval).otherwise(F.col("interval_days")))
-             .withColumn("next_review", F.when(has, F.date_add(F.col("b_last"), interval)).otherwise(F.col("next_review")))
-             .withColumn("last_reviewed", F.coalesce(F.col("b_last"), F.col("last_reviewed")))
-             .transform(lambda d: d.withColumn("first_reviewed", F.coalesce(F.col("first_reviewed"), F.col("b_first")))
+             .withColumn("next_review", F.when(has, F.date_add(F.col("_last"), interval)).otherwise(F.col("next_review")))
+             .withColumn("last_reviewed", F.col("_last"))
+             .transform(lambda d: d.withColumn("first_reviewed", F.least(F.col("first_reviewed"), F.col("b_first")))
                         if "first_reviewed" in words.columns else d)
-             .drop("b_cnt", "b_ok", "b_streak", "b_last", "b_first", "_n", "_ok", "_streak"))
+             .drop("b_cnt", "b_ok", "b_streak", "b_last", "b_first", "_n", "_ok", "_streak", "_last"))
 
 
 def success_rate(reviews: DataFrame) -> DataFrame:

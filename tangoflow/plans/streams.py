@@ -1,5 +1,5 @@
 """Registered queries: the streaming jobs, run to completion (availableNow)
-over the review log / chat history delivered as three date-ordered files."""
+over the review log / chat history delivered in time slices."""
 
 from __future__ import annotations
 
@@ -12,23 +12,26 @@ from tangoflow.session import scratch_path
 from tangoflow.sources import fixtures as fx
 from tangoflow.streaming import jobs
 
-# Delivery slices of the month (inclusive day ranges), one file each.
-SLICES = ((1, 10), (11, 20), (21, 31))
-
-
-def _deliver(df, ts_col: str, path: str, redeliver_every: int | None = None):
-    """Write ``df`` as one file per slice, in time order; optionally repeat
-    every k-th row of a slice in the next slice (at-least-once re-delivery)."""
-    day = F.dayofmonth(ts_col)
-    df = df.persist()  # one frame feeds the three slice writes
-    prev = None
-    for lo, hi in SLICES:
-        part = df.where(day.between(lo, hi))
-        out = part if prev is None or redeliver_every is None else part.unionByName(prev)
-        out.coalesce(1).write.mode("append").parquet(path)
-        if redeliver_every is not None:
-            prev = part.where(F.col("seq") % redeliver_every == 0)
-    df.unpersist()
+# Delivery: the time range, whatever months it covers, is cut into this many slices of equal length.
+SLICES = 3
+
+
+def _deliver(df, ts_col: str, path: str, repeat_every: int | None = None, late_every: int | None = None):
+    """Write ``df`` slice by slice, in time order, each in parallel; optionally
+    hold every k-th row back for the next slice (late), and repeat every k-th
+    row there (at-least-once delivery)."""
+    at = F.unix_micros(F.col(ts_col).cast("timestamp"))
+    lo, hi = df.select(F.min(at), F.max(at)).first()
+    width = max(1, -(-((hi or 0) - (lo or 0) + 1) // SLICES))
+    own = F.floor((at - F.lit(lo or 0)) / F.lit(width)).cast("int")
+    if late_every:
+        own = own + F.when(F.col("seq") % late_every == 0, 1).otherwise(0)
+    sent = F.least(own, F.lit(SLICES - 1))
+    for i in range(SLICES):
+        now = sent == i
+        if repeat_every:
+            now = now | ((sent == i - 1) & (F.col("seq") % repeat_every == 0))
+        df.where(now).write.mode("append").parquet(path)
     return path
 
 
@@ -37,39 +40,41 @@ _WS_COLS = ("user_id", "word", "review_count", "correct_count", "success_rate",
 _WS = f"SELECT {', '.join(_WS_COLS)} FROM word_state"
 
 
+def _updates(stream, spark, name):
+    """Run to the end; update-mode rows per micro-batch go into batch=<id>, so
+    a retried batch overwrites its own folder: the sink is idempotent."""
+    out = scratch_path(spark, f"{name}-updates")
+    jobs.run_available(stream.writeStream.outputMode("update").foreachBatch(
+        lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}")), scratch_path(spark, f"ckpt-{name}"))
+    return spark.read.parquet(out)
+
+
 @query("stream_word_state", with_fixtures(_WS, "word_state"))
 def q_stream_word_state(spark, sf_dir):
-    """Reviews streamed in three micro-batches with part of each slice
-    delivered twice; the final emitted state per key equals the batch state."""
-    src = _deliver(fx.reviews(spark, sf_dir), "reviewed_at", scratch_path(spark, "review-stream"), 7)
-    out = scratch_path(spark, "word-state-stream")
-    rows = jobs.stream_word_state(jobs.review_events(spark, src))
-    # Update-mode rows per micro-batch into batch=<id>: a retried batch
-    # overwrites its own folder, so the sink is idempotent.
-    jobs.run_available(rows.writeStream.outputMode("update").foreachBatch(
-        lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}")), scratch_path(spark, "ckpt-t1"))
-    return jobs.finish_state(spark.read.parquet(out)).select(*_WS_COLS)
+    """Reviews streamed in micro-batches, 1/7 of them delivered twice and 1/20
+    late; the final state per key equals the batch state."""
+    src = _deliver(fx.reviews(spark, sf_dir), "reviewed_at", scratch_path(spark, "review-stream"), 7, 20)
+    rows = _updates(jobs.stream_word_state(jobs.review_events(spark, src)), spark, "t1")
+    return jobs.finish_state(rows, spark.read.schema(jobs.REVIEW_SCHEMA).parquet(src)).select(*_WS_COLS)
 
 
 @query("stream_daily_counts", with_fixtures(
-    "SELECT user_id, CAST(created_at AS DATE) AS day, count(*) AS conversations FROM chats "
-    "WHERE CAST(created_at AS DATE) + INTERVAL 1 DAY <= (SELECT max(created_at) FROM chats) - INTERVAL 1 DAY "
-    "GROUP BY ALL", "chats"))
+    "SELECT user_id, CAST(created_at AS DATE) AS day, count(*) AS conversations FROM chats GROUP BY ALL", "chats"))
 def q_stream_daily_counts(spark, sf_dir):
+    """Every day, open ones too: counts only grow, so the largest update of a
+    (learner, day) is its count so far."""
     c = fx.chats(spark, sf_dir)
     src = _deliver(c, "created_at", scratch_path(spark, "chat-stream"))
-    out = scratch_path(spark, "daily-stream")
-    counts = jobs.stream_daily_counts(jobs.chat_events(spark, src, c.schema))
-    jobs.run_available(counts.writeStream.outputMode("append").format("parquet").option("path", out),
-                       scratch_path(spark, "ckpt-t2"))
-    return spark.read.parquet(out)
+    counts = _updates(jobs.stream_daily_counts(jobs.chat_events(spark, src, c.schema)), spark, "t2")
+    return counts.groupBy("user_id", "day").agg(F.max("conversations").alias("conversations"))
 
 
 @query("stream_upsert", with_fixtures(_WS, "word_state"))
 def q_stream_upsert(spark, sf_dir):
-    """foreachBatch upsert: each micro-batch continues the stored state and
-    writes a new version; the last version equals the batch state."""
-    src = _deliver(fx.reviews(spark, sf_dir), "reviewed_at", scratch_path(spark, "review-stream-u"))
+    """foreachBatch upsert under repeated and late delivery: each micro-batch
+    continues the stored state and writes a new version; the last version
+    equals the batch state."""
+    src = _deliver(fx.reviews(spark, sf_dir), "reviewed_at", scratch_path(spark, "review-stream-u"), 7, 20)
     base = scratch_path(spark, "word-state-versions")
     ev = jobs.review_events(spark, src)
     jobs.run_available(ev.writeStream.foreachBatch(jobs.upsert_batch_writer(base, DEFAULT)),

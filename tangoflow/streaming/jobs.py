@@ -1,16 +1,17 @@
 """Structured Streaming jobs.
 
 * T1 ``stream_word_state`` — review events → running learning state per
-  (user, word) with ``applyInPandasWithState``; re-delivered events are
-  dropped with ``dropDuplicatesWithinWatermark``; events older than a key's
-  state are not applied but emitted with ``late_rows`` so a batch replay of
-  those keys (``operators.reviews.word_state``) can repair them.
+  (user, word) with ``applyInPandasWithState``.  No watermark, so no event is
+  dropped unseen: events that are not newer than a key's state (late, or
+  delivered again) are counted in ``late_rows``, and ``finish_state`` replays
+  those keys from the review log (each ``seq`` once).
 * T2 ``stream_daily_counts`` — chats per learner per day, event-time windows
   with a watermark, append mode (a day is emitted once it is closed).
 * T3 ``stream_upsert`` — ``foreachBatch`` continues the stored word state
-  with each micro-batch (the incremental replay of ``apply_review_updates``)
-  and writes a new version folder per batch id: a retried batch rewrites the
-  same folder, so the sink is idempotent.
+  with each micro-batch (the incremental replay of ``apply_review_updates``),
+  keeps the batch in a review log, from which keys with late or repeated
+  reviews are replayed, and writes a new version folder per batch id: a
+  retried batch rewrites the same folders, so the sink is idempotent.
 
 Every job writes its checkpoint under the shared ``spark.checkpoint.dir``.
 """
@@ -69,6 +70,10 @@ def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterato
     uniq, inv = np.unique(words.astype(str), return_inverse=True)
     order = np.lexsort((seq, us, inv))
     inv, us, seq, ok = inv[order], us[order], seq[order], ok[order]
+    # the same review twice in one micro-batch counts once
+    first = np.ones(len(inv), dtype=bool)
+    first[1:] = (inv[1:] != inv[:-1]) | (us[1:] != us[:-1]) | (seq[1:] != seq[:-1])
+    inv, us, seq, ok = inv[first], us[first], seq[first], ok[first]
     bounds = np.flatnonzero(np.diff(inv)) + 1
     starts = np.concatenate(([0], bounds))
     ends = np.concatenate((bounds, [len(inv)]))
@@ -115,32 +120,42 @@ def review_events(spark: SparkSession, path: str, files_per_trigger: int = 1) ->
             .withColumn("event_time", F.col("reviewed_at").cast("timestamp")))
 
 
-def stream_word_state(events: DataFrame, redelivery_delay: str = "1 day") -> DataFrame:
+def stream_word_state(events: DataFrame) -> DataFrame:
     """T1 — running state per (user, word), update mode; the state of a
     learner's words lives in one group so each micro-batch costs one Python
     call per active learner, not one per word."""
-    dedup = events.withWatermark("event_time", redelivery_delay).dropDuplicatesWithinWatermark(["seq"])
-    return (dedup.select("user_id", "word", "event_time", "seq", "correct")
+    return (events.select("user_id", "word", "event_time", "seq", "correct")
             .groupBy("user_id")
             .applyInPandasWithState(_advance, STATE_OUT, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout))
 
 
-def finish_state(rows: DataFrame) -> DataFrame:
+_STATE = ("review_count", "correct_count", "success_rate", "streak", "first_reviewed", "last_reviewed", "interval_days",
+          "next_review")
+
+
+def finish_state(rows: DataFrame, log: DataFrame | None = None) -> DataFrame:
     """Latest emitted state per key → the word-state columns of the batch
-    operator (rate, interval, next review)."""
+    operator (rate, interval, next review).  Keys with late or repeated rows
+    are replayed from ``log``, the reviews as delivered."""
     from tangoflow.functions.schedule import review_interval
+    from tangoflow.operators.reviews import word_state
 
     last = rows.groupBy("user_id", "word").agg(
         F.max_by(F.struct("review_count", "correct_count", "streak", "last_ts", "first_ts"),
-                 F.col("review_count")).alias("s"))
-    rate = F.col("s.correct_count").cast("double") / F.col("s.review_count").cast("double")
-    out = last.select("user_id", "word", F.col("s.review_count").alias("review_count"),
+                 F.col("review_count")).alias("s"), F.max("late_rows").alias("late"))
+    rate = F.try_divide(F.col("s.correct_count").cast("double"), F.col("s.review_count").cast("double"))
+    out = last.select("user_id", "word", "late", F.col("s.review_count").alias("review_count"),
                       F.col("s.correct_count").alias("correct_count"), rate.alias("success_rate"),
                       F.col("s.streak").cast("int").alias("streak"),
                       F.to_date(F.col("s.first_ts").cast("timestamp_ntz")).alias("first_reviewed"),
                       F.to_date(F.col("s.last_ts").cast("timestamp_ntz")).alias("last_reviewed"))
     out = out.withColumn("interval_days", review_interval(F.col("success_rate"), F.col("streak")))
-    return out.withColumn("next_review", F.date_add("last_reviewed", F.col("interval_days")))
+    out = out.withColumn("next_review", F.date_add("last_reviewed", F.col("interval_days")))
+    if log is None:
+        return out.drop("late")
+    late = out.where("late > 0").select("user_id", "word")
+    again = word_state(log.join(late, ["user_id", "word"], "left_semi").dropDuplicates(["user_id", "word", "seq"]))
+    return out.where("late = 0").select("user_id", "word", *_STATE).unionByName(again.select("user_id", "word", *_STATE))
 
 
 def chat_events(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1) -> DataFrame:
@@ -149,8 +164,9 @@ def chat_events(spark: SparkSession, path: str, schema: T.StructType, files_per_
 
 
 def stream_daily_counts(chats: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """T2 — chats per learner per calendar day, append mode: a day is final
-    once the watermark passes its end."""
+    """T2 — chats per learner per calendar day.  In append mode a day comes out
+    once the watermark passes its end; in update mode each micro-batch gives
+    the new counts of the days it touched."""
     return (chats.withWatermark("event_time", lateness)
             .groupBy("user_id", F.window("event_time", "1 day").alias("w"))
             .agg(F.count(F.lit(1)).alias("conversations"))
@@ -179,7 +195,7 @@ def latest_version(spark: SparkSession, base: str, below: int | None = None) ->
 def upsert_batch_writer(base: str, params: Params = DEFAULT):
     """T3 — ``foreachBatch`` function: continue the latest stored word state
     with the batch's reviews and write version ``v=<batch_id>``."""
-    from tangoflow.operators.reviews import apply_review_updates
+    from tangoflow.operators.reviews import apply_review_updates, word_state
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -187,12 +203,15 @@ def upsert_batch_writer(base: str, params: Params = DEFAULT):
         if latest_version(spark, base, batch_id + 1) == target:
             return  # this batch was committed before a restart: nothing to do
         prev = latest_version(spark, base, batch_id)
-        reviews = batch.select("user_id", "word", "reviewed_at", "seq", "correct")
+        columns = ("user_id", "word", "reviewed_at", "seq", "correct")
+        log = f"{base.rstrip('/')}/log"
+        batch.select(*columns).write.mode("overwrite").parquet(f"{log}/b={batch_id}")
+        reviews = spark.read.parquet(f"{log}/b={batch_id}")
         if prev is None:
-            from tangoflow.operators.reviews import word_state
-            state = word_state(reviews, params)
+            state = word_state(reviews.dropDuplicates(["user_id", "word", "seq"]), params)
         else:
-            state = apply_review_updates(spark.read.parquet(prev), reviews, params, how="full")
+            history = spark.read.parquet(log).where(F.col("b") < batch_id).select(*columns)
+            state = apply_review_updates(spark.read.parquet(prev), reviews, params, how="full", history=history)
         state.write.mode("overwrite").parquet(target)
 
     return write

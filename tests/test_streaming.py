@@ -16,7 +16,7 @@ def _write(spark, rows, path):
     spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(path)
 
 
-def test_stream_state_equals_batch_and_reports_late_rows(spark):
+def test_stream_state_equals_batch_with_late_and_repeated_rows(spark):
     base = dt.datetime(2024, 1, 10)
     b1 = [(1, "a", 0, base + dt.timedelta(hours=i), i, i % 3 != 0) for i in range(10)]
     b2 = [(1, "a", 0, base + dt.timedelta(hours=20 + i), 100 + i, True) for i in range(5)]
@@ -27,13 +27,14 @@ def test_stream_state_equals_batch_and_reports_late_rows(spark):
     _write(spark, b2 + again, src)
     _write(spark, late, src)
     out = scratch_path(spark, "t1-out")
-    rows = jobs.stream_word_state(jobs.review_events(spark, src), redelivery_delay="30 days")
+    rows = jobs.stream_word_state(jobs.review_events(spark, src))
     jobs.run_available(rows.writeStream.outputMode("update").foreachBatch(
         lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}")), scratch_path(spark, "t1-ck"))
     emitted = spark.read.parquet(out)
     assert emitted.agg(F.sum("late_rows")).collect()[0][0] == 1
-    final = jobs.finish_state(emitted).collect()[0]
-    want = rv.word_state(spark.createDataFrame(b1 + b2, SCHEMA)).collect()[0]
+    final = jobs.finish_state(emitted, spark.read.schema(jobs.REVIEW_SCHEMA).parquet(src)).collect()[0]
+    want = rv.word_state(spark.createDataFrame(b1 + b2 + late, SCHEMA)).collect()[0]
+    assert want.review_count == 16 and final.correct_count == want.correct_count
     assert (final.review_count, final.correct_count, final.streak, final.next_review) == \
            (want.review_count, want.correct_count, want.streak, want.next_review)
 
@@ -60,3 +61,30 @@ def test_upsert_sink_restart_is_idempotent(spark):
     got = {(r.user_id, r.word): (r.review_count, r.streak)
            for r in spark.read.parquet(jobs.latest_version(spark, base_dir)).collect()}
     assert got == want
+
+
+def test_updates_with_history_replay_late_keys(spark):
+    base = dt.datetime(2024, 1, 1)
+    old = [(1, "a", 0, base + dt.timedelta(days=9), 1, True), (1, "a", 0, base + dt.timedelta(days=10), 2, False),
+           (1, "b", 0, base, 3, True)]
+    new = [(1, "a", 0, base + dt.timedelta(days=2), 4, True), (1, "b", 0, base + dt.timedelta(days=1), 5, True),
+           (1, "b", 0, base + dt.timedelta(days=1), 5, True), (1, "b", 0, base, 3, True), (2, "c", 0, base, 6, True)]
+    o, n = (spark.createDataFrame(x, SCHEMA) for x in (old, new))
+    got = rv.apply_review_updates(rv.word_state(o), n, how="full", history=o)
+    want = rv.word_state(spark.createDataFrame(old + [new[0], new[1], new[4]], SCHEMA)).select(*got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    alone = {r.word: r for r in rv.apply_review_updates(rv.word_state(o), n.where("word = 'a'")).collect()}
+    assert alone["a"].last_reviewed == dt.date(2024, 1, 11)  # never moves back
+
+
+def test_upsert_sink_takes_late_and_repeated_rows(spark):
+    base = dt.datetime(2024, 1, 10)
+    rows = [(1, w, 0, base + dt.timedelta(hours=i), 100 * k + i, i % 4 != 0) for k, w in enumerate("ab") for i in range(12)]
+    out = scratch_path(spark, "t3-late")
+    writer = jobs.upsert_batch_writer(out)
+    for i, part in enumerate((rows[4:12] + rows[14:], rows[:6], rows[2:4] + rows[10:16])):
+        writer(spark.createDataFrame(part, SCHEMA), i)
+    cols = ("user_id", "word", "review_count", "correct_count", "streak", "next_review")
+    got = spark.read.parquet(jobs.latest_version(spark, out)).select(*cols)
+    want = rv.word_state(spark.createDataFrame(rows, SCHEMA)).select(*cols)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
