@@ -34,23 +34,10 @@ def decode_setting(value: Column) -> Column:
     """Stored setting text -> canonical JSON text (H10 inverse).
 
     JSON text is kept (normalised); anything else is a raw string and is
-    quoted — 'try to decode as JSON, else keep the string'.
+    quoted — 'try to decode as JSON, else keep the string'.  NULL stays NULL.
     """
     parsed = F.try_parse_json(value)
-    return F.when(parsed.isNotNull(), F.to_json(parsed)).otherwise(quote_json(value))
-
-
-def setting_kind(value: Column) -> Column:
-    """JSON type name of a stored setting: string / number / array / object / boolean / null."""
-    parsed = F.try_parse_json(value)
-    return F.when(parsed.isNull(), F.lit("string")).otherwise(F.schema_of_variant(parsed))
-
-
-def encode_setting(json_value: Column) -> Column:
-    """Canonical JSON text -> stored text (H10): strings are stored raw,
-    everything else as JSON text."""
-    parsed = F.try_parse_json(json_value)
-    return F.when(F.schema_of_variant(parsed) == F.lit("STRING"), parsed.cast("string")).otherwise(json_value)
+    return F.when(value.isNull(), F.lit(None).cast("string")).when(parsed.isNotNull(), F.to_json(parsed)).otherwise(quote_json(value))
 
 
 #: A sentence: a run of characters other than . ! ? and newline, with the mark that ends it if there is one.

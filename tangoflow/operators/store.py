@@ -49,7 +49,7 @@ def json_kind(json_text: F.Column) -> F.Column:
     """JSON kind from canonical JSON text: string / array / object / boolean /
     null / number."""
     first = F.substring(json_text, 1, 1)
-    return (F.when(first == '"', "string").when(first == "[", "array").when(first == "{", "object")
+    return (F.when(json_text.isNull(), "null").when(first == '"', "string").when(first == "[", "array").when(first == "{", "object")
             .when(first.isin("t", "f"), "boolean").when(first == "n", "null").otherwise("number"))
 
 
@@ -83,5 +83,10 @@ def erase_users(table: DataFrame, user_ids: DataFrame) -> DataFrame:
     return table.join(user_ids.select("user_id").distinct(), "user_id", "left_anti")
 
 
+def clear_users(tables: dict, user_ids: DataFrame) -> dict:
+    """S13 — every table of the store without the listed learners."""
+    return {name: erase_users(df, user_ids) for name, df in tables.items()}
+
+
 __all__ = ["upsert", "upsert_words", "upsert_settings", "dedupe_chats", "from_backup_chats", "load_settings",
-           "encode_setting", "erase_users", "json_kind", "quote_json"]
+           "encode_setting", "erase_users", "clear_users", "json_kind", "quote_json"]

@@ -27,9 +27,10 @@ def export_pairs_json(processed: DataFrame, path: str) -> str:
     return path
 
 
-def load_pairs_json(spark: SparkSession, path: str) -> DataFrame:
-    """S11 — exported pairs; a missing category becomes 'unknown'."""
-    df = spark.read.schema(PAIR_JSON).json(path)
+def load_pairs_json(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
+    """S11 — exported pairs, from JSON lines or (``array``) from files that
+    each hold one JSON array; a missing category becomes 'unknown'."""
+    df = spark.read.schema(PAIR_JSON).option("multiLine", array).json(path)
     return df.select("pair_id", "input_text", "target_text",
                      F.coalesce(F.col("error_category"), F.lit(P.UNKNOWN_CATEGORY)).alias("error_category"))
 

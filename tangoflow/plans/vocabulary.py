@@ -224,33 +224,34 @@ def q_encode_setting(spark, sf_dir):
     return s.select("user_id", "setting_key", store.encode_setting(F.col("value_json")).alias("stored"))
 
 
+_GONE = "NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'AUTOMOBILE')"
+
+
 @query("clear_user_data", with_fixtures(
-    f"SELECT {_WC} FROM words WHERE user_id NOT IN (SELECT c_custkey FROM customer "
-    "WHERE c_mktsegment = 'AUTOMOBILE')", "words"))
+    f"SELECT 'words' AS kind, user_id, japanese AS item FROM words WHERE user_id {_GONE} UNION ALL "
+    f"SELECT 'chats', user_id, CAST(conv_id AS VARCHAR) FROM chats WHERE user_id {_GONE} UNION ALL "
+    f"SELECT 'settings', user_id, setting_key FROM settings_kv WHERE user_id {_GONE} UNION ALL "
+    f"SELECT 'reviews', user_id, CAST(seq AS VARCHAR) FROM reviews WHERE user_id {_GONE}",
+    "words", "chats", "settings_kv", "reviews"))
 def q_clear_user_data(spark, sf_dir):
-    """Erase every learner of one market segment from the word table."""
+    """Erase every learner of one market segment from all tables; what is left."""
     gone = fx.table(spark, sf_dir, "customer").where(F.col("c_mktsegment") == "AUTOMOBILE") \
         .select(F.col("c_custkey").alias("user_id"))
-    return store.erase_users(_words(spark, sf_dir), gone)
-
-
-_EXPORTS: dict = {}
+    left = store.clear_users({"words": _words(spark, sf_dir), "chats": fx.chats(spark, sf_dir),
+                              "settings": fx.settings_kv(spark, sf_dir), "reviews": fx.reviews(spark, sf_dir)}, gone)
+    item = {"words": "japanese", "chats": "conv_id", "settings": "setting_key", "reviews": "seq"}
+    rows = [df.select(F.lit(k).alias("kind"), "user_id", F.col(item[k]).cast("string").alias("item")) for k, df in left.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
 
 
 def _export(spark, sf_dir, max_items=25, max_reviews=8):
-    """Write the backups of all learners once per session and data folder
-    (export once, read many — later readers reuse the written folder); small
-    part/chunk sizes so that the sf0.01 data really is split over several
-    parts and chunks."""
-    key = (id(spark), sf_dir, max_items, max_reviews)
-    if key in _EXPORTS:
-        return _EXPORTS[key]
+    """Write the backups of all learners; small part/chunk sizes so that the
+    sf0.01 data really is split over several parts and chunks."""
     words = fx.words(spark, sf_dir, DEFAULT)
     reviews = rv.review_replay(fx.reviews(spark, sf_dir), DEFAULT)
     env = bk.export_backups(words, reviews, fx.chats(spark, sf_dir), fx.settings_kv(spark, sf_dir),
                             EXPORT_AT, max_items=max_items, max_reviews=max_reviews)
-    _EXPORTS[key] = bk.write_backups(env, scratch_path(spark, "backups"))
-    return _EXPORTS[key]
+    return bk.write_backups(env, scratch_path(spark, "backups"))
 
 
 @query("export_backups", with_fixtures(
@@ -327,16 +328,30 @@ def q_validate_backups(spark, sf_dir):
             .unionByName(quarantine.select("user_id", "part", F.col("reason").alias("status"))))
 
 
-@query("import_backups", with_fixtures(f"SELECT {_CHAT_COLS} FROM chats", "chats"))
+@query("import_backups", with_fixtures(
+    "SELECT 'words' AS kind, user_id, japanese AS item, review_count AS n, CAST(streak AS BIGINT) AS m FROM words UNION ALL "
+    "SELECT 'chats', user_id, CAST(conv_id AS VARCHAR), NULL, NULL FROM chats UNION ALL "
+    "SELECT 'settings', user_id, setting_key || '=' || setting_value, NULL, NULL FROM settings_kv UNION ALL "
+    "SELECT 'reviews', user_id, word, review_no, CAST(correct AS BIGINT) FROM replay",
+    "words", "chats", "settings_kv", "replay"))
 def q_import_backups(spark, sf_dir):
-    """Merge-import full backups into a store holding the chats up to
-    yesterday: re-imported chats are de-duplicated."""
+    """Merge-import full backups into a store that holds the chats up to
+    yesterday and no review: the learning state comes back by replay, chats
+    imported again are de-duplicated; rows of all tables."""
     c = fx.chats(spark, sf_dir)
     stored = {"words": fx.words(spark, sf_dir, DEFAULT),
               "chats": c.where(~F.col("timestamp").startswith(DEFAULT.today.isoformat())),
               "settings": fx.settings_kv(spark, sf_dir)}
     valid, _ = bk.validate_backups(bk.read_envelopes(spark, _export(spark, sf_dir)))
-    return bk.import_backups(stored, valid, "merge")["chats"].select(*_CHAT_COLS.split(", "))
+    got = bk.import_backups(stored, valid, "merge")
+    none = F.lit(None).cast("bigint")
+    row = lambda kind, item, n=none, m=none: got[kind].select(
+        F.lit(kind).alias("kind"), "user_id", item.cast("string").alias("item"), n.cast("bigint").alias("n"),
+        m.cast("bigint").alias("m"))
+    return (row("words", F.col("japanese"), F.col("review_count"), F.col("streak"))
+            .unionByName(row("chats", F.col("conv_id")))
+            .unionByName(row("settings", F.concat_ws("=", "setting_key", "setting_value")))
+            .unionByName(row("reviews", F.col("word"), F.col("review_no"), F.col("correct"))))
 
 
 @query("load_words", with_fixtures("SELECT user_id, japanese, review_count FROM words", "words"))

@@ -9,6 +9,7 @@ and scratch tables go under ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -45,11 +46,16 @@ def build_session(cpus: int | str = "*", app: str = "tangoflow", shuffle_partiti
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    Only when the session has none (local tests) do we pick a fresh folder of
-    our own; on a cluster the configured shared path is always used.
+    A session that runs in one process on one machine (local tests) may have
+    none: then we pick a fresh folder of our own.  On a cluster a folder of
+    the driver's machine would be invisible to the executors, so a session
+    without a checkpoint folder is refused there.
     """
     path = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
     if not path:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that driver and executors share (master: {master})")
         path = tempfile.mkdtemp(prefix="tangoflow-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, path)
     if spark.sparkContext.getCheckpointDir() is None:

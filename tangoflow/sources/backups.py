@@ -117,23 +117,30 @@ def write_backups(envelopes: DataFrame, path: str) -> str:
     return path
 
 
-def read_envelopes(spark: SparkSession, path, multiline: bool = False) -> DataFrame:
+def read_envelopes(spark: SparkSession, path, multiline: bool = False, learners: DataFrame | None = None) -> DataFrame:
     """S1/S2 raw read: explicit schema, PERMISSIVE, corrupt text kept; for
-    single-user files without a user_id field the id comes from a
-    ``user<digits>`` file name (e.g. ``user_42.json``), else stays NULL."""
+    single-user files without a user_id field the id comes from ``learners``
+    (file_name, user_id), or from a ``user<digits>`` file name (e.g.
+    ``user_42.json``), else it stays NULL and the file is quarantined."""
     df = (spark.read.schema(ENVELOPE).option("mode", "PERMISSIVE").option("multiLine", multiline)
           .option("columnNameOfCorruptRecord", "_corrupt_record").json(path if isinstance(path, str) else list(path)))
     fname = F.col("_metadata.file_name")
     from_name = F.regexp_extract(fname, r"(?i)user[_-]?(\d+)", 1)
     uid = F.coalesce(F.col("user_id"), F.when(from_name != "", from_name.cast("bigint")))
-    return df.select(uid.alias("user_id"), F.coalesce("part", F.lit(0)).alias("part"), "export_date",
-                     *REQUIRED, "_corrupt_record", fname.alias("file_name"))
+    out = df.select(uid.alias("user_id"), F.coalesce("part", F.lit(0)).alias("part"), "export_date",
+                    *REQUIRED, "_corrupt_record", fname.alias("file_name"))
+    if learners is None:
+        return out
+    named = learners.select("file_name", F.col("user_id").alias("_named"))
+    return out.join(named, "file_name", "left").select(
+        F.coalesce("user_id", "_named").alias("user_id"), *[c for c in out.columns if c != "user_id"])
 
 
 def validate_backups(envelopes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """S2 — (valid, quarantine): valid envelopes parse and carry all three
-    keys; everything else is quarantined with a reason."""
+    """S2 — (valid, quarantine): valid envelopes parse, carry all three keys
+    and belong to a learner; everything else is quarantined with a reason."""
     missing = [F.when(F.col(k).isNull(), F.lit(k)) for k in REQUIRED]
+    missing.append(F.when(F.col("user_id").isNull(), F.lit("no learner")))
     reason = F.when(F.col("_corrupt_record").isNotNull(), F.lit("unparsable")).otherwise(
         F.concat_ws(",", *missing))
     tagged = envelopes.withColumn("reason", reason)
@@ -141,15 +148,20 @@ def validate_backups(envelopes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tagged.where(ok).drop("reason", "_corrupt_record"), tagged.where(~ok)
 
 
+def _age() -> F.Column:
+    """Order of envelopes: by export date, then file name."""
+    return F.struct("export_date", "file_name")
+
+
 def backup_words(valid: DataFrame) -> DataFrame:
     """S1 — word rows (one per learner and word; chunk entries de-duplicated)."""
-    e = valid.select("user_id", F.explode("learned_words").alias("w"))
-    w = e.select("user_id", "w.japanese", "w.english", F.to_date("w.added_date").alias("added_date"),
+    e = valid.select("user_id", _age().alias("at"), F.explode("learned_words").alias("w"))
+    w = e.select("user_id", "at", "w.japanese", "w.english", F.to_date("w.added_date").alias("added_date"),
                  F.col("w.practice_count").cast("int").alias("practice_count"),
                  F.to_date("w.last_reviewed").alias("last_reviewed"), "w.next_review")
-    # Chunk entries of one word carry the same attributes: keep one per key.
-    rest = [c for c in w.columns if c not in ("user_id", "japanese")]
-    return (w.groupBy("user_id", "japanese").agg(F.first(F.struct(*rest)).alias("_w"))
+    # Chunk entries of one word carry the same attributes; of several backups of a learner the newest counts.
+    rest = [c for c in w.columns if c not in ("user_id", "japanese", "at")]
+    return (w.groupBy("user_id", "japanese").agg(F.max_by(F.struct(*rest), F.struct("at", *rest)).alias("_w"))
              .select("user_id", "japanese", "_w.*"))
 
 
@@ -173,17 +185,34 @@ def backup_chats(valid: DataFrame) -> DataFrame:
 
 def backup_settings(valid: DataFrame) -> DataFrame:
     """S1 — stored settings rows."""
-    return valid.select("user_id", F.explode("user_settings").alias("setting_key", "setting_value"))
+    s = valid.select("user_id", _age().alias("at"), F.explode("user_settings").alias("setting_key", "setting_value"))
+    return s.groupBy("user_id", "setting_key").agg(
+        F.max_by("setting_value", F.struct("at", "setting_value")).alias("setting_value"))
+
+
+def with_review_state(words: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Words with the learning state that their reviews replay to."""
+    from tangoflow.operators.reviews import word_state
+
+    state = word_state(reviews.withColumnRenamed("review_no", "seq")).select(
+        "user_id", F.col("word").alias("japanese"), "review_count", "correct_count", "success_rate", "streak")
+    zero = {"review_count": 0, "correct_count": 0, "success_rate": 0.0, "streak": 0}
+    return words.join(state, ["user_id", "japanese"], "left").na.fill(zero)
 
 
 def import_backups(stored: dict, valid: DataFrame, mode: str = "merge") -> dict:
-    """S4 — merge (upsert words/settings by key, chats appended then exact
-    duplicates removed) or replace (the backup's tables as they are)."""
+    """S4 — merge (upsert words/settings by key, reviews by (learner, word,
+    number), chats appended then exact duplicates removed) or replace (the
+    backup's tables as they are).  Words come with the state that their
+    reviews replay to, so nothing of the learning history is lost."""
     from tangoflow.operators import store
 
     words, chats, settings = backup_words(valid), backup_chats(valid), backup_settings(valid)
+    keys = ["user_id", "word", "review_no"]
+    reviews = backup_reviews(valid).dropDuplicates(keys)
     if mode == "replace":
-        return {"words": words, "chats": chats, "settings": settings}
+        return {"words": with_review_state(words, reviews), "chats": chats.dropDuplicates(), "settings": settings,
+                "reviews": reviews}
     if mode != "merge":
         raise ValueError("mode must be 'merge' or 'replace'")
     ts = F.lit(0).cast("int")
@@ -194,7 +223,10 @@ def import_backups(stored: dict, valid: DataFrame, mode: str = "merge") -> dict:
     ss = stored["settings"].select(*settings.columns)
     merged_settings = store.upsert(ss.withColumn("updated_at", ts), settings.withColumn("updated_at", ts),
                                    ["user_id", "setting_key"], ("updated_at",)).drop("updated_at")
-    return {"words": merged_words, "chats": merged_chats, "settings": merged_settings}
+    if "reviews" in stored:
+        reviews = stored["reviews"].select(*reviews.columns).unionByName(reviews).dropDuplicates(keys)
+    return {"words": with_review_state(merged_words, reviews), "chats": merged_chats, "settings": merged_settings,
+            "reviews": reviews}
 
 
 def load_words(words: DataFrame) -> DataFrame:

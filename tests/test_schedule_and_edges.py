@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tangoflow.functions.schedule import ladder_interval, review_interval, strict_day
@@ -205,3 +207,57 @@ def test_encode_lengths(spark):
     assert all(len(r.input_ids) == len(r.attention_mask) == len(r.labels) == 16 for r in e.values())
     assert e["p1"].attention_mask[:5] == [1] * 5 and e["p1"].attention_mask[5] == 0  # grammar : a b c
     assert e["p1"].labels[2:] == [-100] * 14
+
+
+def test_pairs_from_an_array_file(spark, tmp_path):
+    import json
+
+    from tangoflow.operators.trainprep import load_pairs_json
+
+    (tmp_path / "pairs.json").write_text(json.dumps(
+        [{"input_text": "grammar: 本が", "target_text": "本を", "error_category": "particle", "confidence": 1.0},
+         {"input_text": "a", "target_text": "b"}], ensure_ascii=False, indent=2), encoding="utf-8")
+    got = load_pairs_json(spark, str(tmp_path / "pairs.json"), array=True).collect()
+    assert [(r.target_text, r.error_category) for r in got] == [("本を", "particle"), ("b", "unknown")]
+
+
+def test_files_without_learner_are_quarantined_or_mapped(spark, tmp_path):
+    import json
+
+    from tangoflow.sources import backups as bk
+
+    body = {"learned_words": [], "conversation_history": [{"user": "hi", "ai": "yo"}], "user_settings": {}}
+    (tmp_path / "backup_a.json").write_text(json.dumps(body))
+    (tmp_path / "backup_b.json").write_text(json.dumps(body))
+    env = bk.read_envelopes(spark, str(tmp_path))
+    valid, bad = bk.validate_backups(env)
+    assert valid.count() == 0 and {r.reason for r in bad.collect()} == {"no learner"}
+    named = spark.createDataFrame([("backup_a.json", 7)], "file_name string, user_id long")
+    valid, bad = bk.validate_backups(bk.read_envelopes(spark, str(tmp_path), learners=named))
+    assert [r.user_id for r in bk.backup_chats(valid).collect()] == [7] and bad.count() == 1
+
+
+def test_null_setting_stays_null(spark):
+    s = spark.createDataFrame([(1, "k", None), (1, "j", "raw")], "user_id long, setting_key string, setting_value string")
+    got = {r.setting_key: r.value_json for r in store.load_settings(s, s).collect()}
+    assert got["k"] is None and got["j"] == '"raw"'
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from tangoflow import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="share"):
+        session.scratch_path(Session(), "x")
