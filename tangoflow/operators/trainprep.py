@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -69,10 +71,28 @@ def md5_rank(pairs: DataFrame, seed: str = P.SPLIT_SEED, id_col: str = "pair_id"
 def train_val_split(pairs: DataFrame, fraction: float = P.VALIDATION_FRACTION, seed: str = P.SPLIT_SEED,
                     id_col: str = "pair_id") -> DataFrame:
     """M1 — exact-size random split: the ceil(fraction·n) pairs with the
-    smallest md5(seed|id) (ties by id) are 'val', the rest 'train'."""
-    r = md5_rank(pairs, seed, id_col)
-    k = F.ceil(F.col("_n") * F.lit(fraction))
-    return r.select(*pairs.columns, F.when(F.col("_rank") <= k, F.lit("val")).otherwise(F.lit("train")).alias("split"))
+    smallest md5(seed|id) (ties by id) are 'val', the rest 'train'.
+
+    The split is one comparison with the last validation pair's (hash, id), so
+    no pair is shuffled.  Finding that pair takes the counts of the ≤ 65,536
+    md5-prefix buckets and the ranks of the pairs of one bucket.
+    """
+    key = seeded_key(seed, F.col(id_col))
+    bucket = F.substring(key, 1, SPLIT_BUCKET_HEX)
+    counts = sorted((r["b"], r["n"]) for r in pairs.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
+    left = math.ceil(sum(n for _, n in counts) * fraction)
+    at = None
+    for at, n in counts:
+        if left <= n:
+            break
+        left -= n
+    if at is None or left <= 0:
+        return pairs.withColumn("split", F.lit("train"))
+    inner = Window.partitionBy("b").orderBy("h", "id")
+    last = (pairs.where(bucket == at).select(bucket.alias("b"), key.alias("h"), F.col(id_col).alias("id"))
+            .withColumn("r", F.row_number().over(inner)).where(F.col("r") == left).first())
+    val = (key < last["h"]) | ((key == last["h"]) & (F.col(id_col) <= last["id"]))
+    return pairs.withColumn("split", F.when(val, "val").otherwise("train"))
 
 
 TOKEN_PATTERN = r"[A-Za-z0-9]+|[^\sA-Za-z0-9]"
