@@ -231,65 +231,97 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return (incidence(a) @ incidence(b).T).astype(np.int64) if len(both) else np.zeros((len(a), len(b)), dtype=np.int64)
 
 
-def _links(a: dict, b: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Similar pairs between two blocks whose classes differ (as positions):
-    sizes and signatures rule most out, the exact overlaps decide."""
+def _maybe(a: dict, b: dict) -> np.ndarray:
+    """Which pairs of two blocks are of different classes and not ruled out by
+    their sizes and signatures."""
     na, nb = (np.array(x["n"]) for x in (a, b))
     sa, sb = (np.frombuffer(b"".join(x["sig"]), dtype="<u2").reshape(len(x["sig"]), -1) for x in (a, b))
     maybe = np.minimum.outer(na, nb) * SIMILAR[1] >= np.maximum.outer(na, nb) * SIMILAR[0]
     maybe &= np.array(a["class"], dtype=object)[:, None] != np.array(b["class"], dtype=object)[None, :]
     for i in np.flatnonzero(maybe.any(axis=1)):
         maybe[i] &= (sb == sa[i]).mean(axis=1) >= LEAST_AGREEMENT
+    return maybe
+
+
+def _links(a: dict, b: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The similar pairs among them (as positions), by exact overlaps."""
+    maybe = _maybe(a, b)
     i, j = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
     if not len(i):
         return i, j
     sets = lambda x, at: [np.frombuffer(x["bag"][k], dtype="<u8") for k in at]
     same = _overlaps(sets(a, i), sets(b, j))
-    good = maybe[np.ix_(i, j)] & (same * SIMILAR[1] >= (na[i][:, None] + nb[j][None, :] - same) * SIMILAR[0])
+    na, nb = np.array(a["n"])[i], np.array(b["n"])[j]
+    good = maybe[np.ix_(i, j)] & (same * SIMILAR[1] >= (na[:, None] + nb[None, :] - same) * SIMILAR[0])
     p, q = np.nonzero(good)
     return i[p], j[q]
 
 
+def _met(rows: DataFrame, payload: list[str], name: str) -> DataFrame:
+    """Blocks of the texts outside the first class against all blocks of
+    their bucket: band, key, x, y."""
+    c = F.col
+    packed = materialise(rows.groupBy("band", "key", "stray", "blk").agg(
+        F.collect_list(F.struct("id", "class", "n", "sig", *payload)).alias("m")), name)
+    x = packed.where("stray").select("band", "key", c("blk").alias("blk_x"), c("m").alias("x"))
+    y = packed.select("band", "key", c("blk").alias("blk_y"), c("stray").alias("stray_y"), c("m").alias("y"))
+    return x.join(y, ["band", "key"]).where(~c("stray_y") | (c("blk_x") <= c("blk_y"))).select("band", "key", "x", "y")
+
+
+def _pair(batch: pa.RecordBatch, i: int) -> list[dict]:
+    return [{f.name: v.to_pylist() for f, v in zip(col.type.value_type, col[i].values.flatten(), strict=True)}
+            for col in (batch.column("x"), batch.column("y"))]
+
+
 def _rest(buckets: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
     """The links of a bucket between different classes, without those to the
     bucket's first text: texts outside the first class against all others,
-    block by block.  A block comparison verifies its pairs itself, so only
-    links become rows.
+    block by block.  A first pass over signatures leaves only the texts that
+    may have such a link; a second one takes their multisets along and
+    verifies, so only links become rows.
 
     ``buckets``: bucket key, id, class, first id, first class, size."""
     c = F.col
     open_ = buckets.where((c("size") > 2) & (c("id") != c("first")))
     stray = c("class") != c("first_class")
     some = open_.where(stray).select("band", "key").distinct()
-    row = materialise(open_.join(some, ["band", "key"], "left_semi").select(
-        "band", "key", "id", "class", stray.alias("stray"),
+    row = materialise(open_.join(some, ["band", "key"], "left_semi").join(sigs, "id").select(
+        "band", "key", "id", "class", "n", "sig", stray.alias("stray"),
         F.pmod(F.xxhash64("id"), F.ceil(c("size") / BLOCK)).alias("blk")), "near-open")
+    spark_kind = buckets.schema["id"].dataType
+    name, kind = spark_kind.simpleString(), to_arrow_type(spark_kind)
+
+    def possible(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, b = _pair(batch, i)
+                maybe = _maybe(a, b)
+                ids = [a["id"][k] for k in np.flatnonzero(maybe.any(axis=1))]
+                ids += [b["id"][k] for k in np.flatnonzero(maybe.any(axis=0))]
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(n)[i].as_py()] * len(ids), t) for n, t in (
+                    ("band", pa.int32()), ("key", pa.int64()))] + [pa.array(ids, kind)], names=["band", "key", "id"])
+
+    left = materialise(_met(row, [], "near-blocks").mapInArrow(possible, f"band int, key long, id {name}").distinct(),
+                       "near-possible")
 
     def bags(batches):
         for batch in batches:
             sets = [_tokens(shingles(words(t))).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "bag"])
 
-    name = buckets.schema["id"].dataType.simpleString()
-    known = texts.join(row.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(
-        bags, f"id {name}, bag binary").join(sigs, "id")
-    packed = materialise(row.join(known, "id").groupBy("band", "key", "stray", "blk").agg(
-        F.collect_list(F.struct("id", "class", "n", "sig", "bag")).alias("m")), "near-blocks")
-    x = packed.where("stray").select("band", "key", c("blk").alias("blk_x"), c("m").alias("x"))
-    y = packed.select("band", "key", c("blk").alias("blk_y"), c("stray").alias("stray_y"), c("m").alias("y"))
-    met = x.join(y, ["band", "key"]).where(~c("stray_y") | (c("blk_x") <= c("blk_y"))).select("x", "y")
-    kind = to_arrow_type(buckets.schema["id"].dataType)
+    known = texts.join(left.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(
+        bags, f"id {name}, bag binary")
+    met = _met(row.join(left, ["band", "key", "id"], "left_semi").join(known, "id"), ["bag"], "near-blocks")
 
-    def run(batches):
+    def verify(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                a, b = ({f.name: v.to_pylist() for f, v in zip(col.type.value_type, col[i].values.flatten(), strict=True)}
-                        for col in (batch.column(0), batch.column(1)))
+                a, b = _pair(batch, i)
                 p, q = _links(a, b)
                 lists = ([a["id"][k] for k in p], [b["id"][k] for k in q])
                 yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v in lists], names=["a", "b"])
 
-    return met.mapInArrow(run, f"a {name}, b {name}").distinct()
+    return met.mapInArrow(verify, f"a {name}, b {name}").distinct()
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
