@@ -40,11 +40,11 @@ def main():
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
     ap.add_argument("names", nargs="*")
     a = ap.parse_args()
-    import __spark_entry__ as E
+    from tangoflow.plans import catalog
     from tangoflow.session import build_session
 
     spark = build_session(8, "plan-digest", 8)
-    qs = E.queries()
+    qs = catalog.queries()
     print("# Physical plans of the registered queries (final adaptive plans, sf0.01, 8 partitions)\n")
     print("Generated by `tools/plan_digest.py`. Counts per query; `pushed` = filters pushed into Parquet scans.\n")
     print("| query | plan digest |\n|---|---|")
