@@ -25,10 +25,11 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -324,6 +325,23 @@ def _rest(buckets: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
     return met.mapInArrow(verify, f"a {name}, b {name}").distinct()
 
 
+FILTER_BITS = 20
+
+
+def _may_be_in(ids: DataFrame) -> Column:
+    """Whether ``id`` may be among ``ids``: one bit per hash value, at most
+    16,384 words whatever the number of ids.  It only spares texts a shuffle
+    before the exact join; beyond a million ids it spares fewer."""
+    at = f"pmod(xxhash64(id), {1 << FILTER_BITS})"
+    rows = ids.groupBy(F.expr(f"{at} div 64").alias("w")).agg(
+        F.expr(f"bit_or(shiftleft(1L, cast({at} % 64 as int)))").alias("m")).collect()
+    words_ = [0] * (1 << (FILTER_BITS - 6))
+    for r in rows:
+        words_[r["w"]] = r["m"]
+    table = F.from_json(F.lit(json.dumps(words_)), "array<bigint>")
+    return F.bit_get(F.get(table, F.expr(f"cast({at} div 64 as int)")), F.expr(f"cast({at} % 64 as int)")) == 1
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: id and ``class_id`` (the smallest id of
     its near-duplicate class, itself included)."""
@@ -344,7 +362,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     stars = buckets.where("id <> first").select(c("first").alias("a"), c("id").alias("b")).distinct()
     stars = materialise(stars, "near-pairs")
     wanted = buckets.select("id").distinct()
-    source = docs.select(docs[key].alias("id"), docs[text].alias("text"))
+    source = docs.select(docs[key].alias("id"), docs[text].alias("text")).where(_may_be_in(wanted))
     # an id that repeats with several texts: each text stands for its own digest only through its smallest id
     texts = materialise(source.join(wanted, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
                         if _repeats(rows) else source.join(wanted, "id", "left_semi"), "near-candidates")
