@@ -16,10 +16,11 @@ from tangoflow.streaming import jobs
 SLICES = 3
 
 
-def _deliver(df, ts_col: str, path: str, repeat_every: int | None = None, late_every: int | None = None):
+def _deliver(df, ts_col: str, path: str, repeat_every: int | None = None, late_every: int | None = None, after=None):
     """Write ``df`` slice by slice, in time order, each in parallel; optionally
     hold every k-th row back for the next slice (late), and repeat every k-th
-    row there (at-least-once delivery)."""
+    row there (at-least-once delivery).  ``after`` is called once a slice has
+    arrived whole, however many files it has."""
     at = F.unix_micros(F.col(ts_col).cast("timestamp"))
     lo, hi = df.select(F.min(at), F.max(at)).first()
     width = max(1, -(-((hi or 0) - (lo or 0) + 1) // SLICES))
@@ -32,6 +33,8 @@ def _deliver(df, ts_col: str, path: str, repeat_every: int | None = None, late_e
         if repeat_every:
             now = now | ((sent == i - 1) & (F.col("seq") % repeat_every == 0))
         df.where(now).write.mode("append").parquet(path)
+        if after:
+            after()
     return path
 
 
@@ -44,11 +47,15 @@ def _updates(stream, spark, name):
     """Run to the end; update-mode rows per micro-batch go into batch=<id>, so
     a retried batch overwrites its own folder: the sink is idempotent."""
     out = scratch_path(spark, f"{name}-updates")
-    jobs.run_available(stream.writeStream.outputMode("update").foreachBatch(
-        lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}")), scratch_path(spark, f"ckpt-{name}"))
+    _run(stream, out, scratch_path(spark, f"ckpt-{name}"))
     return spark.read.parquet(out)
 
 
+def _run(stream, out: str, checkpoint: str):
+    return jobs.run_available(stream.writeStream.outputMode("update").foreachBatch(
+        lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}")), checkpoint)
+
+
 @query("stream_word_state", with_fixtures(_WS, "word_state"))
 def q_stream_word_state(spark, sf_dir):
     """Reviews streamed in micro-batches, 1/7 of them delivered twice and 1/20
@@ -62,10 +69,19 @@ def q_stream_word_state(spark, sf_dir):
     "SELECT user_id, CAST(created_at AS DATE) AS day, count(*) AS conversations FROM chats GROUP BY ALL", "chats"))
 def q_stream_daily_counts(spark, sf_dir):
     """Every day, open ones too: counts only grow, so the largest update of a
-    (learner, day) is its count so far."""
+    (learner, day) is its count so far.  The stream goes on from its checkpoint
+    after each slice and takes it as one micro-batch, so the watermark never
+    moves between files of one slice; rows it drops all the same are an error."""
     c = fx.chats(spark, sf_dir)
-    src = _deliver(c, "created_at", scratch_path(spark, "chat-stream"))
-    counts = _updates(jobs.stream_daily_counts(jobs.chat_events(spark, src, c.schema)), spark, "t2")
+    src, out, ckpt = (scratch_path(spark, n) for n in ("chat-stream", "t2-updates", "ckpt-t2"))
+
+    def take():
+        q = _run(jobs.stream_daily_counts(jobs.chat_events(spark, src, c.schema)), out, ckpt)
+        if lost := jobs.rows_dropped(q):
+            raise RuntimeError(f"the watermark dropped {lost} late rows")
+
+    _deliver(c, "created_at", src, after=take)
+    counts = spark.read.parquet(out)
     return counts.groupBy("user_id", "day").agg(F.max("conversations").alias("conversations"))
 
 

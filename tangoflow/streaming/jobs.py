@@ -158,8 +158,14 @@ def finish_state(rows: DataFrame, log: DataFrame | None = None) -> DataFrame:
     return out.where("late = 0").select("user_id", "word", *_STATE).unionByName(again.select("user_id", "word", *_STATE))
 
 
-def chat_events(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1) -> DataFrame:
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def chat_events(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
+    """Streaming chats from Parquet files.  By default a micro-batch takes all
+    files that have arrived: cut by file, one delivery's files, which come in
+    any order, would move the watermark past each other's days."""
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return (reader.parquet(path)
             .withColumn("event_time", F.col("created_at").cast("timestamp")))
 
 
@@ -222,3 +228,8 @@ def run_available(query_writer, checkpoint: str):
     q = query_writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
+
+
+def rows_dropped(q) -> int:
+    """Rows (partially aggregated ones for T2) that the watermark dropped in a finished run."""
+    return sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"])

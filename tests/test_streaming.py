@@ -6,6 +6,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tangoflow.operators import reviews as rv
+from tangoflow.plans import streams
 from tangoflow.session import scratch_path
 from tangoflow.streaming import jobs
 
@@ -88,3 +89,36 @@ def test_upsert_sink_takes_late_and_repeated_rows(spark):
     got = spark.read.parquet(jobs.latest_version(spark, out)).select(*cols)
     want = rv.word_state(spark.createDataFrame(rows, SCHEMA)).select(*cols)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def _chats(spark, days=30, users=4):
+    base = dt.datetime(2024, 1, 1, 0, 30)
+    rows = [(u, base + dt.timedelta(days=d, hours=6 * k)) for d in range(days) for u in range(users) for k in range(3)]
+    return spark.createDataFrame(rows, "user_id long, created_at timestamp_ntz")
+
+
+def _counted(df):
+    return {(r.user_id, r.day): r.conversations for r in df.collect()}
+
+
+def test_daily_counts_keep_all_chats_of_a_slice_of_several_files(spark, monkeypatch):
+    chats = _chats(spark)
+    want = {(r.user_id, r.day): r["count"] for r in
+            chats.groupBy("user_id", F.to_date("created_at").alias("day")).count().collect()}
+    # several files per slice, the latest days first
+    monkeypatch.setattr(streams.fx, "chats", lambda *_: chats.repartitionByRange(6, F.desc("created_at")))
+    assert _counted(streams.q_stream_daily_counts(spark, "")) == want
+
+
+def test_daily_counts_of_one_delivery_out_of_time_order(spark):
+    chats = _chats(spark, days=9)
+    src, out = scratch_path(spark, "t2-src"), scratch_path(spark, "t2-out")
+    for late in (False, True):  # the files with the later days are written first
+        day = F.dayofmonth("created_at")
+        chats.where(day < 5 if late else day >= 5).coalesce(1).write.mode("append").parquet(src)
+    q = jobs.run_available(jobs.stream_daily_counts(jobs.chat_events(spark, src, chats.schema)).writeStream
+                           .outputMode("update").foreachBatch(
+        lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}")), scratch_path(spark, "t2-ck"))
+    assert jobs.rows_dropped(q) == 0
+    got = spark.read.parquet(out).groupBy("user_id", "day").agg(F.max("conversations").alias("conversations"))
+    assert sum(_counted(got).values()) == chats.count()
