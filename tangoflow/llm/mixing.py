@@ -11,13 +11,15 @@ Sums are of scaled integers, so reruns agree to the bit.
 
 Rounding: a document gets ``floor(rate)`` copies, and one more if its seeded
 hash, less the rate's fraction, is below its source's threshold.  The
-threshold is found by three histogram refinements of 4096 bins each, and the
-words then still missing are filled from the next documents that fit, so a
-source misses its target by less than one short document.
+threshold is found by three histogram refinements of 4096 bins each.  The
+words then still missing are filled in the same way from the later documents
+that fit, pass by pass, until none does: a source misses its target by less
+than any document that could have one more copy.
 
 Nothing is partitioned by source alone: documents are pre-aggregated, and the
 table of source states (one row per source, written, so its size is known to
-Spark's own broadcast threshold) is joined to them.
+Spark's own broadcast threshold) is joined to them, and so is the table of the
+fill's keys (written too; a source's have fewer words than one document).
 
 Cases: null and empty texts have size 0 and take 0 words; a null source is a
 source of its own, last; repeated rows (same id and size) are rounded alike;
@@ -35,7 +37,6 @@ from tangoflow.llm.common import materialise, word_count
 CAP = 3
 SCALE = 1024  # sums of rates times sizes are kept in 1/1024 words
 BITS = 12  # of the threshold's key per refinement, three refinements
-NEXT = 64  # documents looked at to fill the last missing words of a source
 MAX_STEPS = 60
 TOLERANCE = 1e-7
 
@@ -132,18 +133,13 @@ def _rated(df: DataFrame, key: str, cap: int) -> DataFrame:
         "__key", F.when(open_, _key_of(F.col(key), rate - base)))
 
 
-def thresholds(sizes: DataFrame, solved: DataFrame, key: str, cap: int = CAP) -> DataFrame:
-    """``solved`` plus ``below`` (a document whose key is less gets one more
-    copy) and ``also`` (at most ``NEXT`` further keys that do)."""
+def _refine(keyed: DataFrame, state: DataFrame) -> DataFrame:
+    """``state`` (source and ``need``) with ``below``: the first of the
+    source's keys, in order, whose words don't fit ``need`` any more, and
+    ``need`` less the words of the keys before it."""
     c = F.col
-    rated = materialise(_rated(sizes.join(solved, "__s"), key, cap).where(c("size") > 0)
-                        .groupBy("__s", "__key").agg(F.sum("size").alias("size"), F.sum(c("__base") * c("size")).alias("sure")),
-                        "mix-keys")
-    sure = rated.groupBy("__s").agg(F.sum("sure").alias("sure"))
-    state = solved.join(sure, "__s", "left").select(
-        *solved.columns, F.lit(0).cast("long").alias("below"), (c("target") - F.coalesce("sure", F.lit(0))).alias("need"))
-    state = materialise(state, "mix-round")
-    keyed = rated.where(c("__key").isNotNull())
+    held = [n for n in state.columns if n not in ("below", "need")]
+    state = state.select(*held, F.lit(0).cast("long").alias("below"), "need")
     for level in (2, 1, 0):
         shift = level * BITS
         up = shift + BITS
@@ -163,50 +159,74 @@ def thresholds(sizes: DataFrame, solved: DataFrame, key: str, cap: int = CAP) ->
         used = F.when(c("over") == 1, F.coalesce("some", F.lit(0))).otherwise(
             c("all") if level == 0 else c("all") - c("last"))
         state = materialise(state.join(cut, "__s", "left").select(
-            *solved.columns,
+            *held,
             F.coalesce(F.shiftleft("bin", shift), c("below")).alias("below"),
             (c("need") - F.coalesce(used, F.lit(0))).alias("need")), "mix-round")
-    rest = (keyed.join(state.select("__s", "below", "need"), "__s")
-            .where((c("__key") >= c("below")) & (c("size") <= c("need"))))
-    first = rest.withColumn("r", F.row_number().over(Window.partitionBy("__s").orderBy("__key"))).where(c("r") <= NEXT)
-    lists = first.groupBy("__s").agg(F.max("need").alias("left"), F.sort_array(
-        F.collect_list(F.struct("__key", "size"))).alias("next"))
-    fill = F.aggregate(
-        "next", F.struct(c("left").alias("left"), F.array().cast("array<bigint>").alias("also")),
-        lambda a, x: F.when(x["size"] <= a["left"], F.struct(
-            (a["left"] - x["size"]).alias("left"), F.concat(a["also"], F.array(x["__key"])).alias("also"))).otherwise(a))
-    also = lists.select("__s", fill["also"].alias("also"))
-    return materialise(state.join(also, "__s", "left").select(
-        *solved.columns, "below", F.coalesce("also", F.array().cast("array<bigint>")).alias("also")), "mix-sources")
+    return state
+
+
+def thresholds(sizes: DataFrame, solved: DataFrame, key: str, cap: int = CAP) -> tuple[DataFrame, DataFrame]:
+    """``solved`` plus ``below`` (a document whose key is less gets one more
+    copy), and the further (source, key) that do.
+
+    These fill what the first document that doesn't fit leaves missing: the
+    keys after it whose words fit are refined in the same way, until none fits.
+    A key that stops a pass has more words than then are missing, so each pass
+    leaves less than a document that fitted before it; as keys are hashes, that
+    is a logarithmic number of passes, over fewer keys each."""
+    c = F.col
+    rated = materialise(_rated(sizes.join(solved, "__s"), key, cap).where(c("size") > 0)
+                        .groupBy("__s", "__key").agg(F.sum("size").alias("size"), F.sum(c("__base") * c("size")).alias("sure")),
+                        "mix-keys")
+    sure = rated.groupBy("__s").agg(F.sum("sure").alias("sure"))
+    state = materialise(solved.join(sure, "__s", "left").select(
+        *solved.columns, (c("target") - F.coalesce("sure", F.lit(0))).alias("need")), "mix-round")
+    left = rated.where(c("__key").isNotNull()).select("__s", "__key", "size")
+    state = _refine(left, state)
+    states = state.select(*solved.columns, "below")
+    state = state.select("__s", "below", "need")
+    more = left.select("__s", "__key").where("false")
+    while True:
+        left = materialise(left.join(state, "__s").where((c("__key") >= c("below")) & (c("size") <= c("need")))
+                           .select("__s", "__key", "size"), "mix-left")
+        if left.isEmpty():
+            break
+        state = _refine(left, state.select("__s", "need"))
+        more = more.unionByName(left.join(state, "__s").where(c("__key") < c("below")).select("__s", "__key"))
+    return materialise(states, "mix-sources"), materialise(more.withColumn("__more", F.lit(1)), "mix-more")
 
 
 def plan_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
-             cap: int = CAP) -> tuple[DataFrame, DataFrame]:
-    """The documents' sizes (written) and the table of source states."""
+             cap: int = CAP) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
+    """The documents' sizes (written) and the tables of ``thresholds``."""
     sizes = materialise(sized(docs, key, text, source), "mix-docs")
     want = materialise(targets(sizes, cap), "mix-targets")
     return sizes, thresholds(sizes, solve(sizes, want, cap), key, cap)
 
 
-def with_copies(sizes: DataFrame, states: DataFrame, key: str, cap: int = CAP) -> DataFrame:
+def with_copies(sizes: DataFrame, plan: tuple[DataFrame, DataFrame], key: str, cap: int = CAP) -> DataFrame:
     """Rows of ``sizes`` with ``copies``, ``source_size`` and ``target``."""
-    rated = _rated(sizes.join(states, "__s"), key, cap)
-    one = (F.col("__key") < F.col("below")) | F.array_contains("also", F.col("__key"))
-    return rated.withColumn("copies", F.col("__base") + F.when(F.col("__key").isNotNull() & one, 1).otherwise(0))
+    states, more = plan
+    # rows without a key match nothing and are spread, should the join be shuffled
+    at = F.coalesce("__key", -1 - F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 20)))
+    rated = _rated(sizes.join(states, "__s"), key, cap).withColumn("__at", at).join(
+        more.withColumnRenamed("__key", "__at"), ["__s", "__at"], "left")
+    one = F.col("__key").isNotNull() & ((F.col("__key") < F.col("below")) | F.col("__more").isNotNull())
+    return rated.withColumn("copies", F.col("__base") + F.when(one, 1).otherwise(0))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Key, size, source_size, target, copies and taken words per document."""
-    sizes, states = plan_mix(docs, key, text, source)
-    return with_copies(sizes, states, key).select(
+    sizes, plan = plan_mix(docs, key, text, source)
+    return with_copies(sizes, plan, key).select(
         key, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def mix_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mixed corpus: every row of ``docs`` as often as the mix takes it."""
-    _, states = plan_mix(docs, key, text, source)
+    _, plan = plan_mix(docs, key, text, source)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), docs[key].alias("__id"),
                        _source_key(docs[source]).alias("__s"), word_count(docs[text]).alias("size"))
-    taken = with_copies(rows, states, "__id")
+    taken = with_copies(rows, plan, "__id")
     return taken.select(F.explode_outer(F.array_repeat(F.lit(1), F.col("copies"))).alias("__one"), "__row").where(
         F.col("__one").isNotNull()).select("__row.*")
