@@ -36,5 +36,8 @@ def components(links: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
         small = large.join(low, "u").select(F.inline(F.array(
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))))
         e = materialise(small.where("u <> v").distinct(), "links")
+    else:
+        if not _is_star(e):
+            raise RuntimeError(f"components unfinished after {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

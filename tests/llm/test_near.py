@@ -154,3 +154,12 @@ def test_pairs_of_short_and_long_runs(n):
     got = set(zip(*[c.tolist() for c in V._pairs(x, run_of)], strict=True))
     want = {(i, j) for i in range(n) for j in range(i + 1, n) if run_of[i] == run_of[j] and x[i] @ x[j] >= V.LEAST_COSINE}
     assert got == want
+
+
+def test_unfinished_components_are_an_error(spark):
+    import pytest
+    from tangoflow.llm.components import components
+
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError, match="unfinished"):
+        components(path, "a", "b", max_rounds=1)
