@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import __spark_entry__ as E
 from check_oracle import TABLES, rows_of
 
-from conftest import SF_SMALL
+from data_dirs import SF_SMALL
 
 SAMPLE = ["review_replay", "word_state", "due_words", "review_stats", "practice_day_streak", "recent_chats",
           "daily_by_level", "extract_vocab", "grade_answers", "load_settings", "upsert_words", "inject_errors",

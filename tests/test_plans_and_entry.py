@@ -12,7 +12,7 @@ from tangoflow.operators import corpus as cp, due, reviews as rv
 from tangoflow.params import DEFAULT
 from tangoflow.sources import fixtures as fx
 
-from conftest import SF_SMALL
+from data_dirs import SF_SMALL
 
 
 def plan_text(df):
