@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tangoflow.llm import bagminhash, mixing, packing, pii, preference, rule_ensemble, rule_ledger, secrets, vector_dedup, warc
+from tangoflow.llm import bagminhash, merkle, mixing, packing, pii, preference, rule_ensemble, rule_ledger, secrets, vector_dedup, warc
 from tangoflow.llm.common import materialise, span_digest, table
 
 QUERIES = {}
@@ -149,6 +149,43 @@ def rule_ledger_query(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (~rule_ledger.fails(rule_ledger.FULL_POLICY)).alias("kept"))
 
 
+def _merkle_sql(levels: int = 5, top_levels: int = 3) -> str:
+    """Trees of up to 16 ** levels rows a source and 16 ** top_levels sources."""
+    enc = lambda *cols: "sha256(" + " || ".join(
+        f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in cols) + ")"
+    crc = ("xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)), "
+           "lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: xor(r >> 1, 3988292384::UBIGINT * (r & 1)))), 4294967295::UBIGINT)")
+    plain = enc("doc_id", "source", "lang", "n_chars", "text")
+    low = enc("doc_id", "source", "lang", "n_chars", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+    ctes = [f"d AS (SELECT doc_id, source, coalesce('1' || source, '0') AS t, {plain} AS leaf, "
+            f"CASE WHEN {crc} % 5 = 0 THEN {low} END AS bad FROM documents)",
+            "p0 AS (SELECT doc_id, t, leaf, coalesce(bad, leaf) AS f, '' AS s, "
+            "row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d)",
+            "a0 AS (SELECT t, i, leaf AS h, count(*) OVER (PARTITION BY t) AS m FROM p0)"]
+
+    def climb(name: str, rows: str, n: int) -> None:
+        """name0 has the nodes (t, i, h, m), rows0 the paths so far (t, i, f, s, ...)."""
+        for k in range(n):
+            ctes.append(f"{name}r{k} AS (SELECT t, i // 16 AS i, string_agg(h, '' ORDER BY i) AS run, any_value(m) AS m FROM {name}{k} GROUP BY ALL)")
+            ctes.append(f"{name}{k + 1} AS (SELECT t, i, CASE WHEN m > 1 THEN sha256(run) ELSE run END AS h, (m + 15) // 16 AS m FROM {name}r{k})")
+            left, right = "substr(run, 1, 64 * (x.i % 16))", "substr(run, 65 + 64 * (x.i % 16))"
+            ctes.append(f"{rows}{k + 1} AS (SELECT x.* REPLACE (x.i // 16 AS i, CASE WHEN m > 1 THEN sha256({left} || f || {right}) ELSE f END AS f, "
+                        f"CASE WHEN m > 1 THEN s || {left} || {right} ELSE s END AS s) FROM {rows}{k} x JOIN {name}r{k} r "
+                        f"ON r.t = x.t AND r.i = x.i // 16)")
+
+    climb("a", "p", levels)
+    ctes += [f"b0 AS (SELECT '' AS t, row_number() OVER (ORDER BY t) - 1 AS i, h, count(*) OVER () AS m, t AS sub FROM a{levels})",
+             f"q0 AS (SELECT doc_id, '' AS t, leaf, f, s, b0.i AS i, b0.h AS subroot FROM p{levels} p JOIN b0 ON b0.sub = p.t)"]
+    climb("b", "q", top_levels)
+    return ("WITH " + ",\n".join(ctes) + f"\nSELECT doc_id, leaf, subroot, z.h AS root, sha256(s) AS proof_sha256, f AS folded_root, "
+            f"f = z.h AS verified FROM q{top_levels}, b{top_levels} z")
+
+
+@query("op13_merkle_manifest", _merkle_sql())
+def merkle_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered_proofs(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
