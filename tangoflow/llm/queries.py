@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tangoflow.llm import bagminhash, merkle, mixing, packing, pii, preference, rule_ensemble, rule_ledger, secrets, vector_dedup, warc
+from tangoflow.llm import bagminhash, hard_negatives, kd_shards, merkle, mixing, packing, pii, preference, rule_ensemble, rule_ledger, secrets, vector_dedup, warc
 from tangoflow.llm.common import materialise, span_digest, table
 
 QUERIES = {}
@@ -149,6 +149,36 @@ def rule_ledger_query(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (~rule_ledger.fails(rule_ledger.FULL_POLICY)).alias("kept"))
 
 
+NEGATIVES_SQL = """
+WITH e AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS z FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+  AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, e.vec_id AS other, e.label = a.label AS same, list_inner_product(a.z, e.z)::BIGINT AS score
+  FROM e a JOIN e ON a.vec_id <> e.vec_id AND len(a.z) = len(e.z) WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other)::INTEGER AS rank,
+  other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+"""
+
+
+@query("op11_hard_negatives", NEGATIVES_SQL)
+def hard_negative_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows, label=label)
+
+
+@query("op12_kd_shards")
+def shard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Law ``bytes``: the shards are near equal in bytes."""
+    put = kd_shards.shards(table(spark, sf_dir, "documents"))
+    return put.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"))
+
+
 def _merkle_sql(levels: int = 5, top_levels: int = 3) -> str:
     """Trees of up to 16 ** levels rows a source and 16 ** top_levels sources."""
     enc = lambda *cols: "sha256(" + " || ".join(
