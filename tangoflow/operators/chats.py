@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 
 from tangoflow import params as P
 from tangoflow.functions.text import seeded_bucket
+from tangoflow.operators import split
 from tangoflow.params import DEFAULT, Params
 
 CONTENT = ("user_id", "user_message", "ai_response", "timestamp", "level", "topic")
 
 
-def pair_turns(turns: DataFrame) -> DataFrame:
+def pair_turns(turns: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """W8 — a user turn followed by an assistant turn becomes one chat row
-    (conv_id, turn, user_message, ai_response).  ``lead`` needs one row of
-    look-ahead, so even a very long conversation streams through its task."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    nxt = (turns.withColumn("next_role", F.lead("role").over(w))
-                .withColumn("next_text", F.lead("text").over(w)))
+    (conv_id, turn, user_message, ai_response).  A conversation of very many
+    turns is cut into blocks of turns, and one row is carried over each border."""
+    t = turns.select("conv_id", "turn", "role", "text")
+    nxt = split.with_next(t, ["conv_id"], ["turn"], F.col("turn"), {"role": "next_role", "text": "next_text"}, params.split_rows)
     return (nxt.where((F.col("role") == "user") & (F.col("next_role") == "assistant"))
                .select("conv_id", "turn", F.col("text").alias("user_message"), F.col("next_text").alias("ai_response")))
 
@@ -69,20 +69,21 @@ def todays_chats(chats: DataFrame, params: Params = DEFAULT) -> DataFrame:
                  .groupBy("user_id").agg(F.count(F.lit(1)).alias("today_chats")))
 
 
-def delete_chats(chats: DataFrame, requests: DataFrame) -> DataFrame:
+def delete_chats(chats: DataFrame, requests: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """P6 — each request row removes the *first* (oldest) chat equal to it in
-    content; k equal requests remove the k oldest equal chats.
+    content; k equal requests remove the k oldest equal chats.  NULLs are equal.
 
-    Equal rows are numbered with a window over the content columns; request
-    multiplicities come from a partially aggregated count.  NULLs are equal.
+    The counted requests are written first, so Spark knows their size: few
+    requests are broadcast and no chat moves.  Only chats that some request
+    names are numbered; very many equal chats are cut into blocks of time.
     """
     req = requests.groupBy(*CONTENT).agg(F.count(F.lit(1)).alias("_k"))
-    w = Window.partitionBy(*CONTENT).orderBy(*_chrono())
-    numbered = chats.withColumn("_rn", F.row_number().over(w))
-    cond = [numbered[c].eqNullSafe(req[c]) for c in CONTENT]
-    j = numbered.join(req, cond, "left")
-    keep = F.col("_k").isNull() | (F.col("_rn") > F.col("_k"))
-    return j.where(keep).select(*[numbered[c] for c in chats.columns])
+    req = split.written(req.withColumn("_r", F.monotonically_increasing_id()), "delete-requests")
+    cond = [chats[c].eqNullSafe(req[c]) for c in CONTENT]
+    asked = chats.join(req, cond).select(*[chats[c] for c in chats.columns], "_k", "_r")
+    ranked = split.numbered(asked, ["_r"], list(_chrono()), split.seconds(F.col("created_at")), params.split_rows)
+    left = ranked.where(F.col("_rn") > F.col("_k")).select(*chats.columns)
+    return chats.join(req, cond, "left_anti").unionByName(left)
 
 
 def build_chat_prompts(chats: DataFrame, params: Params = DEFAULT) -> DataFrame:

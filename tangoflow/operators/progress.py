@@ -20,19 +20,26 @@ def daily_counts(chats: DataFrame) -> DataFrame:
 
 
 def _daily_by(chats: DataFrame, col: str) -> DataFrame:
-    """Chats per learner, day and value of ``col``, whatever values there are;
-    one partially aggregated shuffle."""
-    return (chats.where(F.col(col).isNotNull()).groupBy("user_id", chat_day(chats).alias("day"), col)
-                 .agg(F.count(F.lit(1)).alias("conversations")))
+    """Chats per learner, day and value of ``col``, zero where a day has none
+    of a value: as many rows as a pivot has cells.  Days and values are those
+    that occur with a value, whatever they are.  The spine joins a learner's
+    distinct days with their distinct values; the chats are aggregated before."""
+    c = (chats.where(F.col(col).isNotNull()).groupBy("user_id", chat_day(chats).alias("day"), col)
+              .agg(F.count(F.lit(1)).alias("conversations")))
+    days = c.select("user_id", "day").distinct()
+    values = c.select(F.col("user_id").alias("_u"), col).distinct()
+    spine = days.join(values, F.col("user_id").eqNullSafe(F.col("_u"))).select(
+        "user_id", "day", col, F.lit(0).cast("bigint").alias("conversations"))
+    return spine.unionByName(c).groupBy("user_id", "day", col).agg(F.sum("conversations").alias("conversations"))
 
 
 def daily_by_level(chats: DataFrame) -> DataFrame:
-    """A5 — day × level counts, one row per level that occurs."""
+    """A5 — day × level counts, dense."""
     return _daily_by(chats, "level")
 
 
 def daily_by_topic(chats: DataFrame) -> DataFrame:
-    """A6 — day × topic counts, one row per topic that occurs."""
+    """A6 — day × topic counts, dense."""
     return _daily_by(chats, "topic")
 
 

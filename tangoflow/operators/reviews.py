@@ -2,20 +2,20 @@
 
 Skew design
 -----------
-The replay is a running computation per (user, word).  A plain window on
-(user, word) puts every review of a hot key into one task.  Instead the rows
-of a key are cut into time buckets (``params.replay_bucket``, a day by
-default) and the replay is a two-level prefix scan:
+The replay is a running computation per (user, word), so a plain window puts
+every review of a key into one task.  Its state is an associative summary
+(count, right answers, whether all were right, trailing run), so the reviews
+of a hot key are cut into blocks of near equal size along time
+(``operators.split``) and the replay is a two-level prefix scan:
 
-1. one shuffle on (user, word, bucket); a running window *inside* the bucket
+1. one shuffle on (user, word, block); a running window *inside* the block
    gives the local count / correct count / last wrong position;
-2. the per-bucket summaries (one row per key and bucket — tiny) are shuffled
-   on (user, word) and prefix-combined with a window over buckets;
-3. the per-bucket offsets are joined back to the rows on
-   (user, word, bucket) — the big side is already partitioned that way, so
-   only the small summary side moves.
+2. the blocks' summaries (one row per block) are composed along the key;
+3. what a block inherits is joined back to its rows on (user, word, block):
+   the big side is already partitioned that way, only the summaries move.
 
-The final word state needs only steps 1-2, i.e. it never re-reads the rows.
+Where no key is hot there is one block per key and steps 2 and 3 fall away.
+The final word state needs the summaries only, i.e. it never re-reads rows.
 """
 
 from __future__ import annotations
@@ -24,51 +24,52 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tangoflow.functions.schedule import calendar_day_after, ladder_interval, next_review_date, review_interval
+from tangoflow.operators import split
 from tangoflow.params import DEFAULT, Params
 
 KEYS = ("user_id", "word")
 _RUN = (Window.unboundedPreceding, Window.currentRow)
 
 
-def _prepared(reviews: DataFrame, params: Params) -> DataFrame:
-    """Key columns, order columns, correct flag (missing = wrong) and bucket."""
-    unit = params.replay_bucket
-    # Non-nullable bucket: keeps the optimizer from adding a null filter on one
+def _prepared(reviews: DataFrame, params: Params) -> tuple[DataFrame, list[str]]:
+    """Key columns, order columns and correct flag (missing = wrong), and the
+    columns that name a block: the key, and ``_block`` if some key is hot."""
+    rows = reviews.select(*KEYS, "reviewed_at", "seq", F.coalesce(F.col("correct"), F.lit(False)).alias("correct"))
+    cut = split.blocks(rows, KEYS, split.seconds(F.col("reviewed_at")), params.split_rows)
+    if cut is None:
+        return rows, list(KEYS)
+    # Non-nullable block: keeps the optimizer from adding a null filter on one
     # branch only, so both consumers of the shuffled rows share one exchange.
-    bucket = F.coalesce(F.date_trunc(unit, "reviewed_at"), F.lit(0).cast("timestamp")) if unit else F.lit(0)
-    return reviews.select(*KEYS, "reviewed_at", "seq",
-                          F.coalesce(F.col("correct"), F.lit(False)).alias("correct"),
-                          bucket.alias("bucket"))
+    return cut.withColumn(split.BLOCK, F.coalesce(split.BLOCK, F.lit(0))), [*KEYS, split.BLOCK]
 
 
-def _local_scan(r: DataFrame) -> DataFrame:
-    """Running state inside each (user, word, bucket)."""
-    w = Window.partitionBy(*KEYS, "bucket").orderBy("reviewed_at", "seq")
+def _local_scan(r: DataFrame, by: list[str]) -> DataFrame:
+    """Running state inside each block."""
+    w = Window.partitionBy(*by).orderBy("reviewed_at", "seq")
     run = w.rowsBetween(*_RUN)
     c = r.select("*", F.row_number().over(w).cast("bigint").alias("ln"),
                  F.sum(F.col("correct").cast("bigint")).over(run).alias("lok"))
     return c.select("*", F.max(F.when(~F.col("correct"), F.col("ln"))).over(run).alias("llw"))
 
 
-def _bucket_summary(local: DataFrame) -> DataFrame:
-    """One row per (user, word, bucket) with the state at the bucket's end
-    (cumulative over earlier buckets)."""
-    # Totals read off the running columns (max of a running count = the
-    # bucket total): both consumers of ``local`` then compute the same window
-    # columns, so their shuffle inputs are identical and can be reused.
-    s = local.groupBy(*KEYS, "bucket").agg(
-        F.count(F.lit(1)).alias("cnt"),
-        F.max("lok").alias("ok"),
-        F.max("llw").alias("lw"),
-        F.min("reviewed_at").alias("first_ts"),
-        F.max("reviewed_at").alias("last_ts"),
-    )
-    ws = Window.partitionBy(*KEYS).orderBy("bucket")
+def _summaries(local: DataFrame, by: list[str]) -> DataFrame:
+    """One row per block.  Totals are read off the running columns (max of a
+    running count = the block's total): both consumers of ``local`` then
+    compute the same window columns, so their shuffle can be reused."""
+    return local.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("cnt"), F.max("lok").alias("ok"), F.max("llw").alias("lw"),
+        F.min("reviewed_at").alias("first_ts"), F.max("reviewed_at").alias("last_ts"))
+
+
+def _composed(s: DataFrame) -> DataFrame:
+    """The blocks' summaries composed along each key: the state at a block's
+    end and the trailing run before it."""
+    ws = Window.partitionBy(*KEYS).orderBy(split.BLOCK)
     run = ws.rowsBetween(*_RUN)
     trail = F.col("cnt") - F.coalesce(F.col("lw"), F.lit(0))
     cum_cnt = F.sum("cnt").over(run)
     s = s.select("*", cum_cnt.alias("cum_cnt"), F.sum("ok").over(run).alias("cum_ok"),
-                 # last bucket (so far) that had a miss: its cumulative count and trailing run
+                 # last block (so far) that had a miss: its cumulative count and trailing run
                  F.last(F.when(F.col("lw").isNotNull(), F.struct(cum_cnt.alias("c"), trail.alias("t"))),
                         ignorenulls=True).over(run).alias("lwb"))
     streak_end = F.when(F.col("lwb").isNull(), F.col("cum_cnt")).otherwise(
@@ -93,18 +94,15 @@ def review_replay(reviews: DataFrame, params: Params = DEFAULT) -> DataFrame:
     Columns: user_id, word, seq, reviewed_at, correct, review_no,
     correct_count, success_rate, streak, interval_days, next_review.
     """
-    r = _prepared(reviews, params)
-    local = _local_scan(r)
-    if not params.replay_bucket:
-        # Single-bucket form: the local scan already is the whole scan.
+    r, by = _prepared(reviews, params)
+    local = _local_scan(r, by)
+    if split.BLOCK not in by:
         rows = local.select("*", *[F.lit(0).cast("bigint").alias(c) for c in ("prior_cnt", "prior_ok", "prior_streak")])
     else:
-        summary = _bucket_summary(local).select(
-            *KEYS, "bucket",
-            (F.col("cum_cnt") - F.col("cnt")).alias("prior_cnt"),
-            (F.col("cum_ok") - F.col("ok")).alias("prior_ok"),
+        inherited = _composed(_summaries(local, by)).select(
+            *by, (F.col("cum_cnt") - F.col("cnt")).alias("prior_cnt"), (F.col("cum_ok") - F.col("ok")).alias("prior_ok"),
             "prior_streak")
-        rows = local.join(summary, [*KEYS, "bucket"], "inner")
+        rows = local.join(inherited, by, "inner")
     n = F.col("prior_cnt") + F.col("ln")
     ok = F.col("prior_ok") + F.col("lok")
     streak = F.when(F.col("llw").isNotNull(), F.col("ln") - F.col("llw")).otherwise(F.col("prior_streak") + F.col("ln"))
@@ -112,19 +110,23 @@ def review_replay(reviews: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 
 def word_state(reviews: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """W4 — final state per (user, word), computed from bucket summaries only.
+    """W4 — final state per (user, word), computed from block summaries only.
 
     Columns: user_id, word, review_count, correct_count, success_rate, streak,
     interval_days, first_reviewed, last_reviewed, next_review.
     """
-    r = _prepared(reviews, params)
-    s = _bucket_summary(_local_scan(r))
-    last = s.groupBy(*KEYS).agg(
-        F.max_by(F.struct("cum_cnt", "cum_ok", "streak_end", "last_ts"), F.col("bucket")).alias("e"),
-        F.min("first_ts").alias("first_ts"))
-    out = _finish(last, F.col("e.cum_cnt"), F.col("e.cum_ok"), F.col("e.streak_end"), F.col("e.last_ts"),
-                  (*KEYS, F.to_date("first_ts").alias("first_reviewed"),
-                   F.to_date("e.last_ts").alias("last_reviewed")))
+    r, by = _prepared(reviews, params)
+    s = _summaries(_local_scan(r, by), by)
+    dates = lambda first, last: (*KEYS, F.to_date(first).alias("first_reviewed"), F.to_date(last).alias("last_reviewed"))
+    if split.BLOCK not in by:
+        out = _finish(s, F.col("cnt"), F.col("ok"), F.col("cnt") - F.coalesce(F.col("lw"), F.lit(0)), F.col("last_ts"),
+                      dates("first_ts", "last_ts"))
+    else:
+        last = _composed(s).groupBy(*KEYS).agg(
+            F.max_by(F.struct("cum_cnt", "cum_ok", "streak_end", "last_ts"), F.col(split.BLOCK)).alias("e"),
+            F.min("first_ts").alias("first_ts"))
+        out = _finish(last, F.col("e.cum_cnt"), F.col("e.cum_ok"), F.col("e.streak_end"), F.col("e.last_ts"),
+                      dates("first_ts", "e.last_ts"))
     return out.select(*KEYS, F.col("review_no").alias("review_count"), "correct_count", "success_rate", "streak",
                       "interval_days", "first_reviewed", "last_reviewed", "next_review")
 
@@ -145,7 +147,7 @@ def apply_review_updates(words: DataFrame, new_reviews: DataFrame, params: Param
 
     ``words`` carries (user_id, word, review_count, correct_count, streak,
     last_reviewed, next_review, ...).  Stored state plays the part of the
-    "prior buckets" of the replay, so the batch is replayed per key on top of
+    "prior blocks" of the replay, so the batch is replayed per key on top of
     it; keys without new reviews keep their stored values (left join), keys
     without stored state are not words of the learner and are ignored
     (``how="full"`` adds them with the batch's own state — the streaming
@@ -237,7 +239,7 @@ def review_stats(words: DataFrame) -> DataFrame:
 def ladder_schedule(reviews: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """H11 — the documented ladder schedule over the review log: the number of
     correct answers stored before each review picks the step.  Uses the same
-    bucketed scan as the replay (correct_count before = running count − this)."""
+    scan as the replay (correct_count before = running count − this)."""
     rp = review_replay(reviews, params)
     before = F.col("correct_count") - F.col("correct").cast("bigint")
     days = ladder_interval(before, F.col("correct"))

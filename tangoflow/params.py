@@ -82,9 +82,9 @@ class Params:
     max_quiz_words: int = MAX_QUIZ_WORDS
     quiz_words: int = DEFAULT_QUIZ_WORDS
     recent_chats: int = DEFAULT_RECENT_CHATS
-    # Replay partial-state bucket: rows of one (user, word) are split by this
-    # time unit so a hot key is spread over many tasks (see operators.reviews).
-    replay_bucket: str = "day"
+    # Groups of more rows (a learner's word, a conversation, equal chats) are cut
+    # into blocks, each a task's work (see operators.split); None: never.
+    split_rows: int | None = 1_000_000
     max_seq_len: int = MAX_SEQ_LEN
     vocab_size: int = 5000
     batch_size: int = DEFAULT_BATCH

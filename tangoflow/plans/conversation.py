@@ -127,20 +127,25 @@ def q_daily_counts(spark, sf_dir):
 
 
 def _by_sql(col):
-    return f"SELECT user_id, {DAY} AS day, {col}, count(*) AS conversations FROM chats WHERE {col} IS NOT NULL GROUP BY ALL"
+    return (f"SELECT d.user_id, d.day, v.{col}, CAST(COALESCE(c.n, 0) AS BIGINT) AS conversations "
+            f"FROM (SELECT DISTINCT user_id, day FROM cells) d JOIN (SELECT DISTINCT user_id, {col} FROM cells) v "
+            f"ON v.user_id = d.user_id LEFT JOIN cells c ON c.user_id = d.user_id AND c.day = d.day AND c.{col} = v.{col}")
 
 
-@query("daily_by_level", with_fixtures(_by_sql("level"), "chats"))
+def _cells(col):
+    return {"cells": f"SELECT user_id, {DAY} AS day, {col}, count(*) AS n FROM chats WHERE {col} IS NOT NULL GROUP BY ALL"}
+
+
+@query("daily_by_level", with_fixtures(_by_sql("level"), "chats", extra=_cells("level")))
 def q_daily_by_level(spark, sf_dir):
     return pg.daily_by_level(fx.chats(spark, sf_dir))
 
 
-@query("daily_by_topic", with_fixtures(_by_sql("topic"), "chats"))
+@query("daily_by_topic", with_fixtures(_by_sql("topic"), "chats", extra=_cells("topic")))
 def q_daily_by_topic(spark, sf_dir):
     return pg.daily_by_topic(fx.chats(spark, sf_dir))
 
 
-
 @query("practice_days", with_fixtures(f"SELECT DISTINCT user_id, {DAY} AS day FROM chats", "chats"))
 def q_practice_days(spark, sf_dir):
     return pg.practice_days(fx.chats(spark, sf_dir))

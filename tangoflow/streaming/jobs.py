@@ -1,132 +1,158 @@
-"""Structured Streaming jobs.
-
-* T1 ``stream_word_state`` — review events → running learning state per
-  (user, word) with ``applyInPandasWithState``.  No watermark, so no event is
-  dropped unseen: events that are not newer than a key's state (late, or
-  delivered again) are counted in ``late_rows``, and ``finish_state`` replays
-  those keys from the review log (each ``seq`` once).
-* T2 ``stream_daily_counts`` — chats per learner per day, event-time windows
-  with a watermark, append mode (a day is emitted once it is closed).
-* T3 ``stream_upsert`` — ``foreachBatch`` continues the stored word state
-  with each micro-batch (the incremental replay of ``apply_review_updates``),
-  keeps the batch in a review log, from which keys with late or repeated
-  reviews are replayed, and writes a new version folder per batch id: a
-  retried batch rewrites the same folders, so the sink is idempotent.
+"""Structured Streaming jobs (T1, T2; T3 is in ``streaming.store``).
+
+* T1 ``stream_word_state`` — review events → running learning state, one
+  keyed state per (user, word) with ``transformWithState``.  A key's state
+  holds a settled summary and its reviews of the last ``horizon``, in order,
+  so a late or repeated review inside the horizon costs its own key only and
+  is exact.  Reviews behind the horizon come out as rows of a side table
+  (``late_reviews``), and ``finish_state`` replays their keys.  There is no
+  watermark, so Spark drops no event.  An idle key settles by a timer.
+* T2 ``daily_count_writer`` — chats per learner per day.  Micro-batches leave
+  counts; a day is emitted once, when the watermark passes its end; chats that
+  arrive later are corrections, added when the counts are read.
 
 Every job writes its checkpoint under the shared ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tangoflow import params as P
-from tangoflow.params import DEFAULT, Params
+from tangoflow.streaming import files
 
 REVIEW_SCHEMA = T.StructType([
     T.StructField("user_id", T.LongType()), T.StructField("word", T.StringType()),
     T.StructField("wn", T.IntegerType()), T.StructField("reviewed_at", T.TimestampNTZType()),
     T.StructField("seq", T.LongType()), T.StructField("correct", T.BooleanType()),
 ])
-# State per learner: one array entry per word (parallel arrays; times as
-# epoch microseconds).  A learner's vocabulary bounds the state; a micro-batch
-# bounds the rows of one call.
+LOG_SCHEMA = T.StructType([*REVIEW_SCHEMA.fields, T.StructField("bucket", T.IntegerType())])
+KEYS = ("user_id", "word")
+LOG_BUCKETS = 32
+
+# ---- T1 ----------------------------------------------------------------
+
+# The settled part (count, right ones, trailing run, first and last time) up
+# to ``floor``, and the open reviews after it, ordered by (time, seq).
 STATE_SCHEMA = T.StructType([
-    T.StructField("words", T.ArrayType(T.StringType())), T.StructField("n", T.ArrayType(T.LongType())),
-    T.StructField("ok", T.ArrayType(T.LongType())), T.StructField("streak", T.ArrayType(T.LongType())),
-    T.StructField("last_us", T.ArrayType(T.LongType())), T.StructField("last_seq", T.ArrayType(T.LongType())),
-    T.StructField("first_us", T.ArrayType(T.LongType())),
+    T.StructField("n", T.LongType()), T.StructField("ok", T.LongType()), T.StructField("run", T.LongType()),
+    T.StructField("first_us", T.LongType()), T.StructField("last_us", T.LongType()), T.StructField("floor", T.LongType()),
+    T.StructField("us", T.ArrayType(T.LongType())), T.StructField("seq", T.ArrayType(T.LongType())),
+    T.StructField("correct", T.ArrayType(T.BooleanType())),
 ])
 STATE_OUT = T.StructType([
-    T.StructField("user_id", T.LongType()), T.StructField("word", T.StringType()),
+    T.StructField("user_id", T.LongType()), T.StructField("word", T.StringType()), T.StructField("kind", T.StringType()),
     T.StructField("review_count", T.LongType()), T.StructField("correct_count", T.LongType()),
-    T.StructField("streak", T.LongType()), T.StructField("last_ts", T.TimestampType()),
-    T.StructField("first_ts", T.TimestampType()), T.StructField("late_rows", T.LongType()),
+    T.StructField("streak", T.LongType()), T.StructField("first_us", T.LongType()), T.StructField("last_us", T.LongType()),
+    T.StructField("repeated", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("correct", T.BooleanType()),
 ])
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def composed(n: int, ok: int, run: int, flags: list[bool]) -> tuple[int, int, int]:
+    """(count, right ones, trailing run) continued by ordered answers."""
+    tail = next((k for k, f in enumerate(reversed(flags)) if not f), None)
+    return n + len(flags), ok + sum(flags), run + len(flags) if tail is None else tail
+
+
+def _out(key, *values) -> Row:
+    return Row(**dict(zip(STATE_OUT.names, (*key, *values), strict=True)))
+
+
+class WordReplay(StatefulProcessor):
+    """State of one (user, word).  ``horizon_us``: how far behind its newest
+    review a key's reviews stay open; ``idle_ms``: after so long without an
+    event (processing time) all of them are settled."""
+
+    def __init__(self, horizon_us: int, idle_ms: int | None = None) -> None:
+        self.horizon_us, self.idle_ms = horizon_us, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", STATE_SCHEMA)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.state.get()
+        n, ok, run, first, last, floor = held[:6] if held else (0, 0, 0, None, None, None)
+        open_ = list(zip(*held[6:9], strict=True)) if held else []
+        known, repeated, late = {(us, seq) for us, seq, _ in open_}, 0, []
+        for r in rows:
+            us, seq, correct = r["us"], r["seq"], bool(r["correct"])
+            if floor is not None and us <= floor:
+                late.append((us, seq, correct))
+            elif (us, seq) in known:
+                repeated += 1
+            else:
+                known.add((us, seq))
+                open_.append((us, seq, correct))
+        open_.sort()
+        if open_:
+            first = open_[0][0] if first is None else min(first, open_[0][0])
+            last = open_[-1][0] if last is None else max(last, open_[-1][0])
+        if last is not None:
+            bound = last - self.horizon_us
+            done = [x for x in open_ if x[0] <= bound]
+            n, ok, run = composed(n, ok, run, [x[2] for x in done])
+            open_ = open_[len(done):]
+            floor = bound if floor is None else max(floor, bound)
+        self._keep(n, ok, run, first, last, floor, open_)
+        if self.idle_ms:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t[0] if isinstance(t, (tuple, list)) else t)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        now = composed(n, ok, run, [x[2] for x in open_])
+        yield _out(key, "state", *now, first, last, repeated, None, None)
+        for us, seq, correct in late:
+            yield _out(key, "late", None, None, None, us, us, None, seq, correct)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.state.get()
+        if held:
+            n, ok, run = composed(*held[:3], list(held[8]))
+            self._keep(n, ok, run, held[3], held[4], held[4], [])
+        yield from ()
+
+    def _keep(self, n, ok, run, first, last, floor, open_) -> None:
+        us, seq, correct = ([x[k] for x in open_] for k in range(3))
+        self.state.update((n, ok, run, first, last, floor, us, seq, correct))
+
+    def close(self) -> None:
+        pass
+
+
+def key_bucket(buckets: int = LOG_BUCKETS):
+    """The folder of a key in a review log."""
+    return F.pmod(F.xxhash64(*KEYS), F.lit(buckets)).cast("int")
 
 
-def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One learner, one micro-batch: continue every touched word's state.
-
-    numpy over the batch rows: one lexsort by (word, time, seq), then per
-    touched word the count, correct count and the run after the last miss
-    (or stored streak + batch when the batch has no miss).  Rows not newer
-    than a word's stored (time, seq) are counted in ``late_rows`` only.
-    """
-    pdf = pd.concat(list(batches), ignore_index=True)
-    words = pdf["word"].to_numpy(dtype=object)
-    us = pdf["event_time"].to_numpy(dtype="datetime64[us]").astype(np.int64)
-    seq = pdf["seq"].to_numpy(dtype=np.int64)
-    ok = pdf["correct"].fillna(False).to_numpy(dtype=bool)
-    st = [list(x) for x in state.get] if state.exists else [[] for _ in range(7)]
-    where = {w: i for i, w in enumerate(st[0])}
-    uniq, inv = np.unique(words.astype(str), return_inverse=True)
-    order = np.lexsort((seq, us, inv))
-    inv, us, seq, ok = inv[order], us[order], seq[order], ok[order]
-    # the same review twice in one micro-batch counts once
-    first = np.ones(len(inv), dtype=bool)
-    first[1:] = (inv[1:] != inv[:-1]) | (us[1:] != us[:-1]) | (seq[1:] != seq[:-1])
-    inv, us, seq, ok = inv[first], us[first], seq[first], ok[first]
-    bounds = np.flatnonzero(np.diff(inv)) + 1
-    starts = np.concatenate(([0], bounds))
-    ends = np.concatenate((bounds, [len(inv)]))
-    out = []
-    for a, b in zip(starts, ends):
-        w = str(uniq[inv[a]])
-        i = where.get(w)
-        if i is None:
-            i = len(st[0])
-            where[w] = i
-            for col, v in zip(st, (w, 0, 0, 0, np.iinfo(np.int64).min, np.iinfo(np.int64).min, None)):
-                col.append(v)
-        lu, ls = st[4][i], st[5][i]
-        newer = (us[a:b] > lu) | ((us[a:b] == lu) & (seq[a:b] > ls))
-        late = int((~newer).sum())
-        f = ok[a:b][newer]
-        if len(f):
-            miss = np.flatnonzero(~f)
-            st[3][i] = int(len(f) - 1 - miss[-1]) if len(miss) else int(st[3][i]) + len(f)
-            st[1][i] = int(st[1][i]) + len(f)
-            st[2][i] = int(st[2][i]) + int(f.sum())
-            nu, ns = us[a:b][newer], seq[a:b][newer]
-            st[4][i], st[5][i] = int(nu[-1]), int(ns[-1])
-            st[6][i] = int(nu[0]) if st[6][i] is None else min(int(st[6][i]), int(nu[0]))
-        out.append((w, st[1][i], st[2][i], st[3][i], st[4][i], st[6][i], late))
-    keep = [j for j in range(len(st[0])) if st[1][j] > 0]
-    if keep:
-        state.update(tuple([col[j] for j in keep] for col in st))
-    rows = [r for r in out if r[1] > 0]
-    last = np.array([r[4] for r in rows], dtype=np.int64).astype("datetime64[us]")
-    first = np.array([r[5] for r in rows], dtype=np.int64).astype("datetime64[us]")
-    yield pd.DataFrame({"user_id": np.full(len(rows), key[0], dtype=np.int64),
-                        "word": [r[0] for r in rows],
-                        "review_count": np.array([r[1] for r in rows], dtype=np.int64),
-                        "correct_count": np.array([r[2] for r in rows], dtype=np.int64),
-                        "streak": np.array([r[3] for r in rows], dtype=np.int64),
-                        "last_ts": pd.to_datetime(last), "first_ts": pd.to_datetime(first),
-                        "late_rows": np.array([r[6] for r in rows], dtype=np.int64)})
+def review_events(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
+    """Streaming review log from Parquet files."""
+    return spark.readStream.schema(REVIEW_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def review_events(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """Streaming review log from Parquet files (event time as TIMESTAMP)."""
-    return (spark.readStream.schema(REVIEW_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
-            .withColumn("event_time", F.col("reviewed_at").cast("timestamp")))
+def stream_word_state(events: DataFrame, horizon: dt.timedelta = dt.timedelta(days=30), idle: dt.timedelta | None = None) -> DataFrame:
+    """T1 — in update mode, per micro-batch and touched key, the key's state
+    (``kind`` "state") and its reviews from behind the horizon ("late").  Keys
+    live in RocksDB, whose change log holds the written keys alone.  With
+    ``idle`` the stream has processing-time timers; such a stream runs until it
+    is stopped (Spark gives it no last micro-batch)."""
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    us = F.unix_micros(F.col("reviewed_at").cast("timestamp"))
+    return events.select(*KEYS, us.alias("us"), "seq", F.coalesce("correct", F.lit(False)).alias("correct")).groupBy(*KEYS).transformWithState(
+        WordReplay(horizon // dt.timedelta(microseconds=1), idle and idle // dt.timedelta(milliseconds=1)),
+        STATE_OUT, "Update", "ProcessingTime" if idle else "None")
 
 
-def stream_word_state(events: DataFrame) -> DataFrame:
-    """T1 — running state per (user, word), update mode; the state of a
-    learner's words lives in one group so each micro-batch costs one Python
-    call per active learner, not one per word."""
-    return (events.select("user_id", "word", "event_time", "seq", "correct")
-            .groupBy("user_id")
-            .applyInPandasWithState(_advance, STATE_OUT, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout))
+def late_reviews(rows: DataFrame) -> DataFrame:
+    """The side table: reviews that came from behind their key's horizon."""
+    return rows.where("kind = 'late'").select(*KEYS, F.timestamp_micros("last_us").cast("timestamp_ntz").alias("reviewed_at"), "seq", "correct")
 
 
 _STATE = ("review_count", "correct_count", "success_rate", "streak", "first_reviewed", "last_reviewed", "interval_days",
@@ -135,101 +161,101 @@ _STATE = ("review_count", "correct_count", "success_rate", "streak", "first_revi
 
 def finish_state(rows: DataFrame, log: DataFrame | None = None) -> DataFrame:
     """Latest emitted state per key → the word-state columns of the batch
-    operator (rate, interval, next review).  Keys with late or repeated rows
-    are replayed from ``log``, the reviews as delivered."""
+    operator (rate, interval, next review).  With ``log``, the reviews as
+    delivered (and their ``bucket``, if it is laid out so), the keys of the
+    side table are replayed; only their buckets are read."""
     from tangoflow.functions.schedule import review_interval
+    from tangoflow.operators import split
     from tangoflow.operators.reviews import word_state
 
-    last = rows.groupBy("user_id", "word").agg(
-        F.max_by(F.struct("review_count", "correct_count", "streak", "last_ts", "first_ts"),
-                 F.col("review_count")).alias("s"), F.max("late_rows").alias("late"))
+    # a key's counts grow with every micro-batch that changes it
+    last = rows.where("kind = 'state'").groupBy(*KEYS).agg(
+        F.max_by(F.struct("review_count", "correct_count", "streak", "last_us", "first_us"), F.col("review_count")).alias("s"))
     rate = F.try_divide(F.col("s.correct_count").cast("double"), F.col("s.review_count").cast("double"))
-    out = last.select("user_id", "word", "late", F.col("s.review_count").alias("review_count"),
-                      F.col("s.correct_count").alias("correct_count"), rate.alias("success_rate"),
-                      F.col("s.streak").cast("int").alias("streak"),
-                      F.to_date(F.col("s.first_ts").cast("timestamp_ntz")).alias("first_reviewed"),
-                      F.to_date(F.col("s.last_ts").cast("timestamp_ntz")).alias("last_reviewed"))
+    day = lambda us: F.to_date(F.timestamp_micros(us).cast("timestamp_ntz"))
+    out = last.select(*KEYS, F.col("s.review_count").alias("review_count"), F.col("s.correct_count").alias("correct_count"),
+                      rate.alias("success_rate"), F.col("s.streak").cast("int").alias("streak"),
+                      day(F.col("s.first_us")).alias("first_reviewed"), day(F.col("s.last_us")).alias("last_reviewed"))
     out = out.withColumn("interval_days", review_interval(F.col("success_rate"), F.col("streak")))
-    out = out.withColumn("next_review", F.date_add("last_reviewed", F.col("interval_days")))
+    out = out.withColumn("next_review", F.date_add("last_reviewed", F.col("interval_days"))).select(*KEYS, *_STATE)
     if log is None:
-        return out.drop("late")
-    late = out.where("late > 0").select("user_id", "word")
-    again = word_state(log.join(late, ["user_id", "word"], "left_semi").dropDuplicates(["user_id", "word", "seq"]))
-    return out.where("late = 0").select("user_id", "word", *_STATE).unionByName(again.select("user_id", "word", *_STATE))
+        return out
+    late = split.written(late_reviews(rows).select(*KEYS).distinct(), "late-keys")
+    if late.isEmpty():
+        return out
+    if "bucket" in log.columns:
+        touched = [r[0] for r in late.select(key_bucket()).distinct().collect()]  # at most LOG_BUCKETS
+        log = log.where(F.col("bucket").isin(touched))
+    again = word_state(log.join(late, list(KEYS), "left_semi").dropDuplicates([*KEYS, "seq"]))
+    return out.join(late, list(KEYS), "left_anti").unionByName(again.select(*KEYS, *_STATE))
+
+
+# ---- T2 ----------------------------------------------------------------
+
+COUNTS = "user_id long, day date, late boolean, conversations long"
 
 
 def chat_events(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming chats from Parquet files.  By default a micro-batch takes all
-    files that have arrived: cut by file, one delivery's files, which come in
-    any order, would move the watermark past each other's days."""
+    """Streaming chats from Parquet files, all that have arrived by default."""
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return (reader.parquet(path)
-            .withColumn("event_time", F.col("created_at").cast("timestamp")))
-
-
-def stream_daily_counts(chats: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """T2 — chats per learner per calendar day.  In append mode a day comes out
-    once the watermark passes its end; in update mode each micro-batch gives
-    the new counts of the days it touched."""
-    return (chats.withWatermark("event_time", lateness)
-            .groupBy("user_id", F.window("event_time", "1 day").alias("w"))
-            .agg(F.count(F.lit(1)).alias("conversations"))
-            .select("user_id", F.to_date(F.col("w.start").cast("timestamp_ntz")).alias("day"), "conversations"))
-
-
-def latest_version(spark: SparkSession, base: str, below: int | None = None) -> str | None:
-    """Highest committed version folder (``v=<batch>`` with _SUCCESS, batch
-    below ``below``) — a metadata listing through the cluster file system."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(base)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    best = None
-    for st in fs.listStatus(path):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            v = int(name[2:])
-            if below is not None and v >= below:
-                continue
-            best = v if best is None or v > best else best
-    return None if best is None else f"{base.rstrip('/')}/v={best}"
-
-
-def upsert_batch_writer(base: str, params: Params = DEFAULT):
-    """T3 — ``foreachBatch`` function: continue the latest stored word state
-    with the batch's reviews and write version ``v=<batch_id>``."""
-    from tangoflow.operators.reviews import apply_review_updates, word_state
+    return reader.parquet(path)
+
+
+def _watermark(spark: SparkSession, base: str, below: int, lateness: dt.timedelta) -> dt.datetime | None:
+    """Newest chat of all micro-batches before ``below``, less the lateness."""
+    seen = files.read_if_there(spark, f"{base}/progress", "newest timestamp_ntz, b long").where(F.col("b") < below)
+    newest = seen.agg(F.max("newest")).first()[0]
+    return None if newest is None else newest - lateness
+
+
+def _open_until(mark: dt.datetime | None) -> Column:
+    """The first day that is not closed: days that end by the watermark are."""
+    return F.lit((dt.date.min if mark is None else mark.date()).isoformat()).cast("date")
+
+
+def daily_count_writer(base: str, lateness: dt.timedelta = dt.timedelta(days=1)):
+    """T2 — ``foreachBatch`` function.  The micro-batch's counts go to
+    ``counts/b=<id>``, those of days closed before as ``late``; days that its
+    newest chat closes are emitted to ``closed/b=<id>``, each once.  All
+    folders are named by the batch, so a retry writes the same."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        target = f"{base.rstrip('/')}/v={batch_id}"
-        if latest_version(spark, base, batch_id + 1) == target:
-            return  # this batch was committed before a restart: nothing to do
-        prev = latest_version(spark, base, batch_id)
-        columns = ("user_id", "word", "reviewed_at", "seq", "correct")
-        log = f"{base.rstrip('/')}/log"
-        batch.select(*columns).write.mode("overwrite").parquet(f"{log}/b={batch_id}")
-        reviews = spark.read.parquet(f"{log}/b={batch_id}")
-        if prev is None:
-            state = word_state(reviews.dropDuplicates(["user_id", "word", "seq"]), params)
-        else:
-            history = spark.read.parquet(log).where(F.col("b") < batch_id).select(*columns)
-            state = apply_review_updates(spark.read.parquet(prev), reviews, params, how="full", history=history)
-        state.write.mode("overwrite").parquet(target)
+        before = _open_until(_watermark(spark, base, batch_id, lateness))
+        day = F.to_date("created_at").alias("day")
+        counts = batch.groupBy("user_id", day).agg(F.count(F.lit(1)).alias("conversations"))
+        counts = counts.select("user_id", "day", F.coalesce(F.col("day") < before, F.lit(False)).alias("late"), "conversations")
+        counts.write.mode("overwrite").parquet(f"{base}/counts/b={batch_id}")
+        batch.agg(F.max(F.col("created_at").cast("timestamp_ntz")).alias("newest")).write.mode("overwrite").parquet(f"{base}/progress/b={batch_id}")
+        until = _open_until(_watermark(spark, base, batch_id + 1, lateness))
+        seen = files.read_if_there(spark, f"{base}/counts", f"{COUNTS}, b long")
+        closing = seen.where((F.col("b") <= batch_id) & ~F.col("late") & (F.col("day") >= before) & (F.col("day") < until))
+        closing = closing.groupBy("user_id", "day").agg(F.sum("conversations").alias("conversations"))
+        closing.write.mode("overwrite").parquet(f"{base}/closed/b={batch_id}")
 
     return write
 
 
+def daily_counts(spark: SparkSession, base: str, lateness: dt.timedelta = dt.timedelta(days=1)) -> DataFrame:
+    """The counts as read: closed days, their corrections, and open days so
+    far; ``closed`` says which."""
+    until = _open_until(_watermark(spark, base, 1 << 62, lateness))
+    closed = files.read_if_there(spark, f"{base}/closed", "user_id long, day date, conversations long, b long").drop("b")
+    seen = files.read_if_there(spark, f"{base}/counts", f"{COUNTS}, b long")
+    more = seen.where(F.col("late") | F.col("day").isNull() | (F.col("day") >= until)).select("user_id", "day", "conversations")
+    out = closed.unionByName(more).groupBy("user_id", "day").agg(F.sum("conversations").alias("conversations"))
+    return out.withColumn("closed", F.coalesce(F.col("day") < until, F.lit(False)))
+
+
+def corrections(spark: SparkSession, base: str) -> DataFrame:
+    """The correction stream: counts that arrived after their day was closed."""
+    return files.read_if_there(spark, f"{base}/counts", f"{COUNTS}, b long").where("late").drop("late")
+
+
 def run_available(query_writer, checkpoint: str):
     """Start a stream with ``availableNow`` and wait for it to finish."""
     q = query_writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
-
-
-def rows_dropped(q) -> int:
-    """Rows (partially aggregated ones for T2) that the watermark dropped in a finished run."""
-    return sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"])

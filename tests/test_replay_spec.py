@@ -1,5 +1,5 @@
 """The replay against an independent Python spec on random review logs
-(property test), and bucketed vs single-bucket vs streaming agreement."""
+(property test), with and without hot keys."""
 
 import datetime as dt
 import random
@@ -54,11 +54,11 @@ SCHEMA = "user_id long, word string, reviewed_at timestamp_ntz, seq long, correc
 
 
 @settings(max_examples=4, deadline=None)
-@given(st.integers(min_value=0, max_value=10_000), st.sampled_from(["day", "hour", None]))
-def test_replay_matches_spec(spark, seed, bucket):
+@given(st.integers(min_value=0, max_value=10_000), st.sampled_from([None, 10, 40]))
+def test_replay_matches_spec(spark, seed, limit):
     rows = _log(seed, 300)
     spec = spec_replay(rows)
-    got = rv.review_replay(spark.createDataFrame(rows, SCHEMA), Params(replay_bucket=bucket)).collect()
+    got = rv.review_replay(spark.createDataFrame(rows, SCHEMA), Params(split_rows=limit)).collect()
     assert len(got) == len(rows)
     for g in got:
         e = spec[(g.user_id, g.word, g.seq)]
@@ -74,8 +74,8 @@ def test_word_state_is_last_replay_row(spark):
     for (u, w, seq), v in spec_replay(rows).items():
         if (u, w) not in last or v[0] > last[(u, w)][0]:
             last[(u, w)] = v
-    for b in ("day", None):
-        for s in rv.word_state(df, Params(replay_bucket=b)).collect():
+    for b in (20, None):
+        for s in rv.word_state(df, Params(split_rows=b)).collect():
             e = last[(s.user_id, s.word)]
             assert (s.review_count, s.correct_count, s.streak, s.next_review) == (e[0], e[1], e[3], e[5])
 
@@ -94,17 +94,17 @@ def test_incremental_update_equals_full_replay(spark):
                (f.review_count, f.correct_count, f.streak, f.next_review, f.first_reviewed)
 
 
-def test_hot_key_spreads_over_buckets(spark):
-    """One (user, word) holding most rows: the bucketed replay's shuffle is
-    keyed by (user, word, bucket), so the hot key lands in many partitions."""
+def test_hot_key_spreads_over_blocks(spark):
+    """One (user, word) holding all rows: the replay's shuffle is keyed by
+    (user, word, block), so the hot key lands in many partitions."""
     base = dt.datetime(2024, 1, 1)
     rows = [(1, "hot", base + dt.timedelta(hours=i), i, i % 5 != 0) for i in range(24 * 30)]
     df = spark.createDataFrame(rows, SCHEMA)
     from pyspark.sql import functions as F
 
-    prepared = rv._prepared(df, Params()).repartition(8, "user_id", "word", "bucket")
-    parts = prepared.select(F.spark_partition_id().alias("p")).distinct().count()
+    prepared, by = rv._prepared(df, Params(split_rows=40))
+    parts = prepared.repartition(8, *by).select(F.spark_partition_id().alias("p")).distinct().count()
     assert parts > 1
     spec = spec_replay(rows)
-    got = {r.seq: r.streak for r in rv.review_replay(df).collect()}
+    got = {r.seq: r.streak for r in rv.review_replay(df, Params(split_rows=40)).collect()}
     assert all(got[s] == spec[(1, "hot", s)][3] for s in got)
