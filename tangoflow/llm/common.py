@@ -24,6 +24,27 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that only the making of a result needs: written like
+    ``materialise``, and freed once the result is written."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def free(self) -> None:
+        """Overwrites the tables with nothing, through Spark's committer, so on
+        any file system."""
+        for path in self.paths:
+            self.spark.range(0, 0, 1, 1).write.mode("overwrite").parquet(path)
+        self.paths = []
+
+
 def words_of(text: Column) -> Column:
     """All words of a text in order; null texts have none."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
@@ -39,6 +60,32 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+CHUNK = 256
+
+
+def chunked(xs: Column, size: int = CHUNK) -> Column:
+    """An array as an array of arrays of at most ``size`` elements."""
+    starts = F.when(F.size(xs) > 0, F.sequence(F.lit(0), ((F.size(xs) - 1) / size).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.slice(xs, i * size + 1, F.lit(size)))
+
+
+def scanned(xs: Column, zero: Column, step, emitted: str) -> Column:
+    """Runs over an array with a state: ``step(state, x)`` is a struct (state,
+    out).  A struct of the last state and ``out``, the array of all outs (of
+    type ``emitted``).  A fold that appends copies what it has; here it copies
+    chunks, then a list of chunks, so the time is nearly linear."""
+    none = F.array().cast(f"array<{emitted}>")
+
+    def inner(state, chunk):
+        return F.aggregate(chunk, F.struct(state.alias("state"), none.alias("out")), lambda acc, x: let(step(acc["state"], x), lambda y: F.struct(
+            y["state"].alias("state"), F.concat(acc["out"], F.array(y["out"])).alias("out"))))
+
+    start = F.struct(zero.alias("state"), F.array().cast(f"array<array<{emitted}>>").alias("out"))
+    done = F.aggregate(chunked(xs), start, lambda acc, chunk: let(inner(acc["state"], chunk), lambda y: F.struct(
+        y["state"].alias("state"), F.concat(acc["out"], F.array(y["out"])).alias("out"))))
+    return let(done, lambda d: F.struct(d["state"].alias("state"), F.flatten(d["out"]).alias("out")))
+
+
 def keep_after(df: DataFrame, condition: Column) -> DataFrame:
     """Filter that stays above the projection that made its columns: pushed
     below, it would evaluate their expressions a second time."""

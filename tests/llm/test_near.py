@@ -91,6 +91,62 @@ def test_keep_one_of_each_class(docs_of):
     assert sorted(r.doc_id for r in out.collect()) == sorted(set(brute_classes(rows).values()))
 
 
+def test_repeated_and_null_ids_are_told_by_their_text(docs_of):
+    rng = random.Random(8)
+    a, b = prose(rng, 100), prose(rng, 100)
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (None, prose(rng, 90)), (7, None), (7, b)]
+    got = sorted((r.doc_id or 0, r.class_id) for r in B.classes(docs_of(rows)).collect())
+    assert got == [(0, None), (1, 1), (1, 1), (2, 1), (3, 1), (7, 1), (7, 7)]
+    kept = sorted(((r.doc_id or 0), r.text or "") for r in B.keep_one(docs_of(rows)).collect())
+    assert len(kept) == 4 and kept[0] == (0, rows[4][1]) and (7, "") in kept  # one of (1, a), (1, b) by digest
+    assert sum(r[0] == 1 for r in kept) == 2  # a and b are not near each other
+    rows = [(None, a), (5, a + " x"), (None, a), (9, a)]
+    assert {r.class_id for r in B.classes(docs_of(rows)).collect()} == {5}
+    assert [r.doc_id for r in B.keep_one(docs_of(rows)).collect()] == [5]
+    rows = [(None, a), (None, a + " x"), (None, a)]
+    assert B.keep_one(docs_of(rows)).count() == 1
+    assert sorted(r.doc_id for r in B.keep_one(docs_of([(4, a), (4, a), (4, None), (4, None)])).collect()) == [4, 4, 4]
+
+
+def test_links_between_strays_of_a_hot_group(docs_of, monkeypatch):
+    """Many copies that are under the similarity to their original, some of
+    them near one another: only the strays' comparisons can link these."""
+    monkeypatch.setattr(B, "BLOCK", 40)
+    rng = random.Random(9)
+    hub, rows = prose(rng, 120), []
+    for i in range(150):
+        far = edited(rng, hub, rng.choice((1, 2, 4, 5, 6)))
+        rows.append((i, far))
+        if i % 10 == 0:
+            rows.append((1000 + i, edited(rng, far, 1)))
+    rows.append((999, hub))
+    want = brute_classes(rows)
+    got = {r.doc_id: r.class_id for r in B.classes(docs_of(rows)).collect()}
+    assert got == want and len(set(want.values())) > 3
+
+
+def test_signature_filters_pass_similar_pairs():
+    rng = random.Random(10)
+    passed = links = 0
+    for _ in range(60):
+        base = prose(rng, 150)
+        texts = [base, edited(rng, base, 3)]
+        bags = [B.shingles(B.words(t)) for t in texts]
+        if B.similar(*[B._tokens(x) for x in bags]):
+            links += 1
+            sig = B.short(B.signatures(bags, B.LONG_REGISTERS))
+            passed += len(B._candidates(np.array([len(x) for x in bags]), np.array([0, 1]), np.array([True, False]), np.zeros(2), False, sig))
+    assert links > 20 and passed == links
+
+
+def test_batches_are_bounded():
+    texts = ["x" * 10] * 600 + [None, "y" * (B.BATCH_BYTES + 5), "z"]
+    parts = list(B._bounded(texts))
+    assert [i for p in parts for i in range(p.start, p.stop)] == list(range(len(texts)))
+    assert all(p.stop - p.start <= 512 for p in parts) and any(p.stop - p.start == 1 for p in parts)
+    assert list(B._bounded([])) == []
+
+
 def test_near_empty_table(docs_of):
     none = docs_of([(1, "")]).where("false")
     assert B.classes(none).count() == 0 and B.keep_one(none).count() == 0
