@@ -60,20 +60,23 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-CHUNK = 256
+def chunked(xs: Column) -> Column:
+    """An array as an array of its consecutive parts, their size the square
+    root of its own (256 at least)."""
 
+    def cut(v):
+        size = F.greatest(F.lit(256), F.ceil(F.sqrt(2.0 * F.size(v))).cast("int"))
+        starts = F.when(F.size(v) > 0, F.sequence(F.lit(1), F.size(v), size)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda at: F.slice(v, at, size))
 
-def chunked(xs: Column, size: int = CHUNK) -> Column:
-    """An array as an array of arrays of at most ``size`` elements."""
-    starts = F.when(F.size(xs) > 0, F.sequence(F.lit(0), ((F.size(xs) - 1) / size).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.slice(xs, i * size + 1, F.lit(size)))
+    return let(xs, cut)
 
 
 def scanned(xs: Column, zero: Column, step, emitted: str) -> Column:
     """Runs over an array with a state: ``step(state, x)`` is a struct (state,
     out).  A struct of the last state and ``out``, the array of all outs (of
     type ``emitted``).  A fold that appends copies what it has; here it copies
-    chunks, then a list of chunks, so the time is nearly linear."""
+    chunks, then a list of chunks: n ** 1.5 steps instead of n ** 2."""
     none = F.array().cast(f"array<{emitted}>")
 
     def inner(state, chunk):
