@@ -3,15 +3,18 @@
 Base spans of four kinds come from fixed patterns and are the seeds.  Every
 seed and every looser candidate (a phone number without its plus, an address
 with "(at)", a card number that fails its check digit, an IPv6 address, ...)
-is an *instance*; the words around it are its *lexical patterns* (the two
-words before it; the word before and the word after).  Spark scores the
-bipartite graph iteratively:
+is an *instance*; the words around it are its *lexical patterns* (two
+words before it; a word on each side; the word before, alone or with the
+value's shape; the word behind with the shape).  Spark scores the bipartite
+graph iteratively:
 
 * a pattern's confidence for a kind is the score of its instances of the kind
   over the number of all its instances, of whatever kind, plus ``SMOOTH`` (so
   that a few instances alike by chance don't make a pattern);
-* a seed's score is 1, a candidate's ``1 - prod(1 - confidence)`` over its
-  patterns, starting at 0.
+* a seed's score is 1, a candidate's the largest confidence among its
+  patterns, of which ``DAMPING`` goes back into theirs; rounds end when no
+  confidence changes by more than ``SETTLED``.  So a pattern may surround about
+  two candidates for each of its seeds, and not any number.
 
 Patterns that end with at least ``MIN_CONFIDENCE`` and that at least
 ``MIN_SEEDS`` different seeds support discover the candidates they surround.
@@ -42,8 +45,8 @@ KINDS = ("email", "ip", "card", "phone")
 MIN_CONFIDENCE = 0.8
 MIN_SEEDS = 3
 SMOOTH = 2
-ROUNDS = 3
-CONTEXT = 240  # characters searched for the words beside an instance
+DAMPING = 0.9  # of what instances give back to their patterns
+SETTLED = 1e-3  # the largest change of a confidence after which the scores stand
 
 # The base patterns, written so that each is searched in linear time.
 EMAIL_AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -118,11 +121,11 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
                 found.append((m.start(), 3, m.end()))
             elif 12 <= n <= 19:
                 found.append((m.start(), 2, m.end()))
-    out, taken = [], sorted((s, e) for s, _, e in base)
+    out, taken, at = [], sorted((s, e) for s, _, e in base), 0
     for s, k, e in sorted(found):
-        while taken and taken[0][1] <= s:
-            taken.pop(0)
-        if not any(a < e and s < b for a, b in taken[:64]):
+        while at < len(taken) and taken[at][1] <= s:
+            at += 1
+        if at == len(taken) or taken[at][0] >= e:  # the spans behind this one begin later still
             out.append((s, k, e))
     return out
 
@@ -135,14 +138,43 @@ def _word(w: str) -> str:
     return w if len(w) <= 40 else "#" + hashlib.md5(w.encode("utf-8", "surrogatepass")).hexdigest()
 
 
+def _before(text: str, at: int, n: int) -> list[str]:
+    """The ``n`` words that end before ``at``, whole, however long they are."""
+    width = 64
+    while True:
+        lo = max(0, at - width)
+        ws = text[lo:at].split()
+        if lo == 0 or len(ws) > n:
+            return ws[-n:]
+        width *= 4
+
+
+def _after(text: str, at: int) -> str:
+    """The word that begins behind ``at``."""
+    width = 64
+    while True:
+        ws = text[at:at + width].split(None, 1)
+        if at + width >= len(text) or len(ws) > 1:
+            return ws[0] if ws else ""
+        width *= 4
+
+
+def shape(value: str) -> str:
+    """A value's characters by class, runs as one."""
+    return re.sub(r"(.)\1+", r"\1", re.sub(r"[A-Za-z]", "a", DIGIT.sub("0", value)))[:40]
+
+
 def contexts(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns around a span."""
-    left = [_word(w) for w in text[max(0, start - CONTEXT):start].split()[-2:]]
-    right = [_word(w) for w in text[end:end + CONTEXT].split()[:1]]
-    out = []
+    """The lexical patterns around a span, from narrow to general: two words
+    before; a word on each side; the word before and the value's shape; the
+    word before; the word behind and the shape."""
+    left = [_word(w) for w in _before(text, start, 2)]
+    right, form = _word(_after(text, end)), shape(text[start:end])
+    out = [f"_ {right} / {form}"] if right else []
     if left:
-        out.append(" ".join(left) + " _")
-        out.append(f"{left[-1]} _ {right[0] if right else ''}")
+        out += [" ".join(left) + " _", f"{left[-1]} _ {right}", f"{left[-1]} _ / {form}"]
+        if left[-1]:
+            out.append(f"{left[-1]} _ *")
     return out
 
 
@@ -180,7 +212,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
              "instances array<struct<start:int,stop:int,k:int,seed:boolean,value:string,patterns:array<string>>>")
 
 
-def learn(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def learn(scanned: DataFrame) -> DataFrame:
     """Accepted patterns: pattern, k, confidence, seeds."""
     c = F.col
     seen = scanned.select(F.explode("instances").alias("i")).select("i.k", "i.value", "i.seed", F.explode("i.patterns").alias("pattern"))
@@ -192,15 +224,18 @@ def learn(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     known = known.select("pattern", "n", F.explode(F.arrays_zip(kinds.alias("k"), F.array(*[
         f"s{k}" for k in range(len(KINDS))]).alias("seeds"))).alias("x")).select("pattern", "n", "x.k", "x.seeds")
     known = materialise(known.where(c("seeds") >= MIN_SEEDS), "pii-patterns")
-    loose = edges.where(~c("seed")).select("pattern", "k", "value")
-    confidence = known.withColumn("confidence", c("seeds") / (c("n") + SMOOTH))
-    for _ in range(rounds):
-        score = loose.join(confidence, ["pattern", "k"]).groupBy("k", "value").agg(
-            (1 - F.exp(F.sum(F.log(F.greatest(1 - c("confidence"), F.lit(1e-9)))))).alias("score"))
+    # the graph's loose part: candidates that some pattern with seeds surrounds
+    loose = edges.where(~c("seed")).select("pattern", "k", "value").join(known.select("pattern", "k"), ["pattern", "k"])
+    loose = materialise(loose, "pii-loose")
+    confidence = known.withColumn("confidence", c("seeds") / (c("n") + SMOOTH)).withColumn("change", F.lit(1.0))
+    while True:  # confidences only grow, and each is at most seeds / (seeds + SMOOTH + (1 - DAMPING) * loose)
+        score = loose.join(confidence, ["pattern", "k"]).groupBy("k", "value").agg(F.max("confidence").alias("score"))
         gained = loose.join(score, ["k", "value"]).groupBy("pattern", "k").agg(F.sum("score").alias("gain"))
-        confidence = materialise(known.join(gained, ["pattern", "k"], "left").withColumn(
-            "confidence", (c("seeds") + F.coalesce("gain", F.lit(0.0))) / (c("n") + SMOOTH)).drop("gain"), "pii-confidence")
-    return confidence.where(c("confidence") >= MIN_CONFIDENCE)
+        new = (c("seeds") + DAMPING * F.coalesce("gain", F.lit(0.0))) / (c("n") + SMOOTH)
+        confidence = materialise(confidence.join(gained, ["pattern", "k"], "left").select(
+            "pattern", "n", "k", "seeds", new.alias("confidence"), F.abs(new - c("confidence")).alias("change")), "pii-confidence")
+        if confidence.where(c("change") > SETTLED).isEmpty():
+            return confidence.where(c("confidence") >= MIN_CONFIDENCE).drop("change")
 
 
 def extract(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

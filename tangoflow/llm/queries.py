@@ -47,7 +47,9 @@ def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_personal_data")
 def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return span_digest(pii.extract(table(spark, sf_dir, "documents")), ["doc_id"], pii.KINDS)
+    found = pii.extract(table(spark, sf_dir, "documents"))
+    found = found.withColumn("n_found", F.size("spans").cast("long"))  # base and discovered
+    return span_digest(found, ["doc_id", "n_found"], pii.KINDS)
 
 
 @query("op3_mix_sources")
