@@ -29,7 +29,7 @@ from tangoflow.llm.common import materialise
 
 WINDOW = 2048
 END_ID = 1
-ID_BYTES = 4
+ID_BYTES = 4  # of an id in the result; on disk an id of a small vocabulary takes two
 
 
 @functools.lru_cache(maxsize=2)
@@ -42,20 +42,21 @@ def _encoders(path: str):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(path)
-    exact.encode_special_tokens = True  # a special token's string in a text is ordinary text
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    special = {t["content"] for t in spec.get("added_tokens", [])}
+    special = tuple(t["content"] for t in spec.get("added_tokens", []))
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in printable}
     byte_of |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
     fast = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return exact, fast
+    return exact, fast, special
 
 
 def encode(text: str, path: str) -> list[int]:
-    exact, fast = _encoders(path)
+    exact, fast, special = _encoders(path)
+    if any(x in text for x in special):  # an added token's string is that token
+        return exact.encode(text, add_special_tokens=False).ids
     try:
         return fast.encode_ordinary(text)
     except BaseException as e:  # noqa: BLE001  the fast encoder's pattern engine gives up on some very long runs
@@ -66,15 +67,19 @@ def encode(text: str, path: str) -> list[int]:
 
 def tokenised(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
     """Per row: key, part, at (tokens of its partition before it), n and the
-    ids as little-endian unsigned 32-bit integers.  Written."""
+    ids as little-endian unsigned integers of ``width`` bytes.  Written."""
+    from tokenizers import Tokenizer
+
     key_type = docs.schema[key].dataType
+    width = 2 if max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) <= 1 << 16 else ID_BYTES
+    kind = f"<u{width}"
 
     def run(batches):
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 piece = batch.slice(lo, 256)
-                ids = [np.array([*encode(t or "", path), end_id], dtype="<u4") for t in piece.column(1).to_pylist()]
+                ids = [np.array([*encode(t or "", path), end_id], dtype=kind) for t in piece.column(1).to_pylist()]
                 n = np.array([len(x) for x in ids], dtype=np.int64)
                 start = at + np.cumsum(n) - n
                 at += int(n.sum())
@@ -85,7 +90,7 @@ def tokenised(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
     schema = StructType([StructField("key", key_type), StructField("part", LongType()), StructField("at", LongType()),
                          StructField("n", LongType()), StructField("ids", BinaryType())])
     return materialise(docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
-                       .mapInArrow(run, schema), "packing-tokens")
+                       .mapInArrow(run, schema).withColumn("width", F.lit(width)), "packing-tokens")
 
 
 def placed(tokens: DataFrame) -> DataFrame:
@@ -96,7 +101,7 @@ def placed(tokens: DataFrame) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = materialise(totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset")),
                           "packing-offsets")
-    return tokens.join(offsets, "part").select("key", "n", "ids", (F.col("offset") + F.col("at")).alias("start"))
+    return tokens.join(offsets, "part").select("key", "n", "ids", "width", (F.col("offset") + F.col("at")).alias("start"))
 
 
 def pieces(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -106,14 +111,15 @@ def pieces(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
     c = F.col
     first = F.floor(c("start") / window)
     last = F.floor((c("start") + c("n") - 1) / window)
-    cut = p.select("key", "n", "ids", c("start").alias("__start"), F.explode(F.sequence(first, last)).alias("sequence_id"))
+    held = ("key", "n", "ids", "width")
+    cut = p.select(*held, c("start").alias("__start"), F.explode(F.sequence(first, last)).alias("sequence_id"))
     lo = F.greatest(c("__start"), c("sequence_id") * window)
     hi = F.least(c("__start") + c("n"), (c("sequence_id") + 1) * window)
-    at = cut.select("key", "n", "ids", "sequence_id", (lo - c("__start")).alias("start"), (hi - lo).alias("length"),
+    at = cut.select(*held, "sequence_id", (lo - c("__start")).alias("start"), (hi - lo).alias("length"),
                     (lo - c("sequence_id") * window).alias("offset"))
-    return at.select("key", "start", "length", F.col("n").alias("doc_tokens"), "sequence_id", "offset",
-                     F.substring("ids", (c("start") * ID_BYTES + 1).cast("int"),
-                                 (c("length") * ID_BYTES).cast("int")).alias("ids"))
+    own = F.substring("ids", (c("start") * c("width") + 1).cast("int"), (c("length") * c("width")).cast("int"))
+    wide = F.when(c("width") == ID_BYTES, own).otherwise(F.unhex(F.regexp_replace(F.hex(own), "(.{4})", "$10000")))
+    return at.select("key", "start", "length", F.col("n").alias("doc_tokens"), "sequence_id", "offset", wide.alias("ids"))
 
 
 def id_crc32(ids: str) -> Column:
