@@ -8,7 +8,8 @@ however long, is ever gathered into one task.  ``records`` gathers them where
 records are known to fit.
 
 The first difference is a minimum over aggregated turn fingerprints, so the
-common prefix costs one partially aggregated shuffle of hashes; a pair that
+common prefix costs one partially aggregated shuffle of hashes, and texts move
+once, to their pair; a pair that
 holds a third of all turns is split by Spark's skew join.
 
 Cases: null roles read "unknown", null texts are empty; a null turn comes
@@ -30,7 +31,7 @@ LAST = (1 << 63) - 1
 def neighbours(turns: DataFrame, conv: str = "conv_id") -> DataFrame:
     """``turns`` with pair_id and side: of two neighbouring ids 2k and 2k + 1,
     the even one is chosen and the odd one rejected."""
-    return turns.withColumns({"pair_id": F.floor(F.col(conv) / 2).cast("long"),
+    return turns.withColumns({"pair_id": F.shiftright(F.col(conv).cast("long"), 1),
                               "side": F.when(F.pmod(F.col(conv), F.lit(2)) == 1, "rejected").otherwise("chosen")})
 
 
@@ -39,17 +40,17 @@ def preference_turns(turns: DataFrame) -> DataFrame:
     rejected), turn, role, rendered, loss, paired."""
     c = F.col
     t = turns.select("pair_id", "side", F.coalesce(c("turn").cast("long"), F.lit(LAST)).alias("turn"),
-                     F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    marks = t.select("pair_id", "turn", "side", F.sha2(F.concat_ws("\0", "role", "text"), 256).alias("h"))
-    same = marks.groupBy("pair_id", "turn", "h").agg(F.max(c("side") == "chosen").alias("l"), F.max(c("side") == "rejected").alias("r"))
+                     F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    t = t.withColumn("h", F.sha2(F.concat_ws("\0", "role", "text"), 256))
+    same = t.groupBy("pair_id", "turn", "h").agg(F.max(c("side") == "chosen").alias("l"), F.max(c("side") == "rejected").alias("r"))
     pairs = same.groupBy("pair_id").agg(
         F.min(F.when(~(c("l") & c("r")), c("turn"))).alias("first"), F.max("l").alias("l"), F.max("r").alias("r"))
     pairs = pairs.select("pair_id", "first", (c("l") & c("r") & c("pair_id").isNotNull()).alias("paired"))
     j = t.join(pairs.withColumnRenamed("pair_id", "p"), c("pair_id").eqNullSafe(c("p")))
     common = c("first").isNull() | (c("turn") < c("first"))
     prompt = common & c("paired")
-    # the prompt is rendered from the chosen side only
-    j = j.where(~prompt | (c("side") == "chosen"))
+    # the prompt is rendered from the chosen side only; repeated rows are dropped where the join has put their pair
+    j = j.where(~prompt | (c("side") == "chosen")).dropDuplicates(["pair_id", "side", "turn", "h"])
     part = F.when(prompt, "prompt").otherwise(c("side"))
     return j.select("pair_id", part.alias("part"), F.nullif("turn", F.lit(LAST)).alias("turn"), "role",
                     F.concat(F.lit("<|im_start|>"), "role", F.lit("\n"), "text", F.lit("<|im_end|>\n")).alias("rendered"),

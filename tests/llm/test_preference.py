@@ -41,3 +41,10 @@ def test_long_hot_conversation_and_empty_table(spark):
     got = P.preference_turns(turns(spark, rows))
     assert {r.part: r["count"] for r in got.groupBy("part").count().collect()} == {"prompt": 2999, "chosen": 1}
     assert P.preference_turns(turns(spark, rows[:1]).where("false")).count() == 0
+
+
+def test_neighbours_of_large_and_negative_ids(spark):
+    ids = [2**54 + 2, 2**54 + 3, -1, -2, -3, None]
+    got = P.neighbours(spark.createDataFrame([(i,) for i in ids], "conv_id long")).collect()
+    assert [r.pair_id for r in got] == [2**53 + 1, 2**53 + 1, -1, -1, -2, None]
+    assert [r.side for r in got][:4] == ["chosen", "rejected", "rejected", "chosen"]
