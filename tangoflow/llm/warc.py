@@ -215,8 +215,9 @@ READ = ("id string, url string, record_type string, refers_to string, payload_by
         "verified boolean, error string, payload binary")
 
 
-def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """All records under ``path``, verified; ids as the archives have them."""
+def read_warc(spark: SparkSession, path: str, payloads: bool = True, names: str = "*") -> DataFrame:
+    """All records of the files under ``path`` whose names match the glob
+    ``names``, verified; ids as the archives have them."""
     schema = pa.schema([("id", pa.string()), ("url", pa.string()), ("record_type", pa.string()),
                         ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
                         ("verified", pa.bool_()), ("error", pa.string()), ("payload", pa.binary())])
@@ -234,7 +235,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
                 if held:
                     yield pa.RecordBatch.from_pylist(held, schema=schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", names).load(path).select("content")
     return files.mapInArrow(run, READ)
 
 
