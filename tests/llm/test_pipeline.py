@@ -60,3 +60,21 @@ def test_run_is_the_stages_in_order(spark, folder):
     out = C.run(spark, path)
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert out.count() > 0 and C.ORACLE_SQL is None
+
+
+def test_stages_take_odd_tables(spark, docs_of):
+    """Nulls in every column, repeated rows, extra columns with the names the
+    operators use, and no rows at all, through every stage."""
+    rng = random.Random(13)
+    good = prose(rng, 80)
+    full = docs_of([(1, good, "a"), (1, good, "a"), (2, prose(rng, 90), None), (None, prose(rng, 70), "b"), (3, None), (4, "")])
+    full = full.withColumn("digest", full["text"]).withColumn("id", full["doc_id"]).withColumn("__row", full["size"])
+    for docs, last in ((full, 3), (full.where("false"), 0)):
+        columns, types = docs.columns, docs.dtypes
+        for name, stage in C.STAGES[:-1]:
+            docs = stage(spark, docs, "").cache()
+            assert docs.columns == columns and docs.dtypes == types, name
+            if name == "near_dedup":
+                assert docs.count() == last
+        out = C.STAGES[-1][1](spark, docs, "").collect()
+        assert bool(out) == bool(last)
