@@ -4,6 +4,13 @@ Every stage takes ``(spark, docs, sf_dir)`` and works on all that its
 predecessor kept; ``run`` writes each stage's result as Parquet under the
 shared checkpoint folder and reads it back, so a lost executor or a failed
 stage never costs an earlier one.
+
+Cases, for every stage: null and empty texts have no words (the quality rules
+reject them; a later stage keeps them as they are), null ids and sources are
+values of their own; rows that repeat are rejected or kept alike by the rules,
+are one document of their class to the deduplication, and are mixed and packed
+one by one; an empty table gives an empty result with the stage's columns;
+extra columns, whatever their names, are carried to the last stage.
 """
 
 from __future__ import annotations
