@@ -96,3 +96,11 @@ def with_next(rows: DataFrame, keys, order: list[str], at: Column, carried: dict
     out = local.join(nxt, on, "left")
     return out.select(*rows.columns, *[F.when(F.col("_end"), F.col(f"_first.{old}")).otherwise(F.col(new)).alias(new)
                                        for old, new in carried.items()])
+
+
+def positions(rows: DataFrame, keys, name: str = "position") -> DataFrame:
+    """``rows``, which are sorted, with their place (from 1) in their group in
+    the order in which they come: a global sort's partitions are in order."""
+    placed = rows.withColumn("_at", F.monotonically_increasing_id())
+    w = Window.partitionBy(*keys).orderBy("_at")
+    return placed.withColumn(name, F.row_number().over(w).cast("bigint")).drop("_at")

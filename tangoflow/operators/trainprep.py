@@ -6,12 +6,15 @@ from __future__ import annotations
 import math
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tangoflow import params as P
 from tangoflow.functions.text import seeded_key
+from tangoflow.operators import split
 
 PAIR_JSON = T.StructType([
     T.StructField("input_text", T.StringType()), T.StructField("target_text", T.StringType()),
@@ -104,14 +107,68 @@ def tokens(text: F.Column) -> F.Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
-def fit_vocab(pairs: DataFrame, size: int, cols=("input_text", "target_text")) -> DataFrame:
+SUMMARY_TOKENS = 65_536
+
+
+def token_summary(pairs: DataFrame, cols, capacity: int) -> DataFrame:
+    """Frequent tokens in bounded space: (token, low), and a row with a null
+    token whose ``low`` is the error.  A token's number is at least its low and
+    at most low + error; a token without row has at most the error.
+
+    Each task counts in a table of at most 2 * capacity tokens.  When it is
+    full, the count of the first token beyond ``capacity`` is taken off all (and
+    added to the task's error), which leaves at most ``capacity``.  The tables
+    add up, so at most capacity rows a task are shuffled."""
+    both = [F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")).alias(f"t{i}") for i, c in enumerate(cols)]
+
+    def run(batches):
+        counts, error = {}, 0
+        for batch in batches:
+            for column in batch.columns:
+                seen = pc.value_counts(pc.list_flatten(column))
+                for token, n in zip(seen.field("values").to_pylist(), seen.field("counts").to_pylist(), strict=True):
+                    counts[token] = counts.get(token, 0) + n
+                if len(counts) > 2 * capacity:
+                    cut = sorted(counts.values(), reverse=True)[capacity]
+                    counts, error = {t: n - cut for t, n in counts.items() if n > cut}, error + cut
+        if len(counts) > capacity:
+            cut = sorted(counts.values(), reverse=True)[capacity]
+            counts, error = {t: n - cut for t, n in counts.items() if n > cut}, error + cut
+        yield pa.RecordBatch.from_arrays([pa.array([*counts, None], pa.string()), pa.array([*counts.values(), error], pa.int64())],
+                                         names=["token", "low"])
+
+    return pairs.select(*both).mapInArrow(run, "token string, low long").groupBy("token").agg(F.sum("low").alias("low"))
+
+
+def fit_vocab(pairs: DataFrame, size: int, cols=("input_text", "target_text"), capacity: int | None = None) -> DataFrame:
     """M2 — token → id (1..size) for the ``size`` most frequent tokens (ties by
-    token); 0 is the padding id, size+1 the unknown id.  Counting is a
-    partially aggregated group-by; only the ≤ size survivors are ranked."""
-    both = F.concat(*[F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")) for c in cols])
-    toks = pairs.select(F.explode_outer(both).alias("token")).where(F.col("token").isNotNull())
-    counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("count"))
-    top = counts.orderBy(F.desc("count"), "token").limit(size)
+    token); 0 is the padding id, size+1 the unknown id.
+
+    Pass one is a mergeable summary (``token_summary``).  If it made no error,
+    its counts are exact.  Else, let ``bound`` be the size-th largest low: if
+    the error is less, no token without row can be among the most frequent,
+    and pass two recounts the candidates, those with low + error >= bound.  If
+    not, the summary is widened and made again.  So what is shuffled is bounded
+    by the summary, however many different tokens there are."""
+    capacity = capacity or max(SUMMARY_TOKENS, 8 * size)
+    c = F.col
+    while True:
+        summary = split.written(token_summary(pairs, cols, capacity), "token-summary")
+        error = (summary.where(c("token").isNull()).first() or (None, 0))[1]
+        lows = summary.where(c("token").isNotNull()).withColumnRenamed("low", "count")
+        first = lows.orderBy(F.desc("count"), "token").limit(size)
+        if not error:
+            top = first
+            break
+        kept, bound = first.agg(F.count(F.lit(1)), F.min("count")).first()
+        if kept == size and bound > error:
+            some = split.written(lows.where(c("count") + error >= bound).select("token"), "token-candidates")
+            both = F.concat(*[F.coalesce(tokens(c(x)), F.array().cast("array<string>")) for x in cols])
+            counts = pairs.select(F.explode(both).alias("token")).join(some, "token", "left_semi").groupBy("token").agg(
+                F.count(F.lit(1)).alias("count"))
+            top = counts.orderBy(F.desc("count"), "token").limit(size)
+            break
+        capacity *= 4
     # Bounded single-partition window over the ≤ size kept tokens.
     w = Window.orderBy(F.desc("count"), "token")
     return top.withColumn("id", F.row_number().over(w).cast("int")).select("token", "id", "count")

@@ -72,9 +72,11 @@ _SYS = ("You are a patient Japanese tutor. Learner level: %s. Conversation topic
 
 @query("build_chat_prompts", with_fixtures(
     f"SELECT user_id, conv_id, printf('{_SYS}', COALESCE(level, 'Beginner'), COALESCE(topic, 'Free Conversation')) "
-    "AS system_prompt, user_message AS user_prompt FROM chats", "chats"))
+    "AS system_prompt, user_message AS user_prompt, CAST(to_json([{'role': 'system', 'content': system_prompt}, "
+    "{'role': 'user', 'content': user_prompt}]) AS VARCHAR) AS messages FROM chats", "chats"))
 def q_build_chat_prompts(spark, sf_dir):
-    return ch.build_chat_prompts(fx.chats(spark, sf_dir), DEFAULT).drop("messages")
+    """The prompts and the messages built of them (as JSON text)."""
+    return ch.build_chat_prompts(fx.chats(spark, sf_dir), DEFAULT).withColumn("messages", F.to_json("messages"))
 
 
 @query("has_vocab_flag", with_fixtures(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tangoflow.functions.schedule import next_review_date, review_interval
-from tangoflow.operators import due, reviews as rv
+from tangoflow.operators import due, reviews as rv, split
 from tangoflow.params import DEFAULT
 from tangoflow.plans.oracle_fixtures import TODAY, interval_sql, with_fixtures
 from tangoflow.plans.registry import query
@@ -71,10 +71,13 @@ def q_due_words(spark, sf_dir):
 
 
 @query("due_priority", with_fixtures(
-    f"SELECT user_id, japanese, success_rate, {_STRICT} AS due_day FROM words "
+    f"SELECT user_id, japanese, success_rate, {_STRICT} AS due_day, row_number() OVER (PARTITION BY user_id "
+    f"ORDER BY success_rate NULLS FIRST, {_STRICT} NULLS FIRST, japanese) AS position FROM words "
     f"WHERE {_STRICT} IS NULL OR {_STRICT} <= {TODAY}", "words"))
 def q_due_priority(spark, sf_dir):
-    return due.due_priority(fx.words(spark, sf_dir), DEFAULT).select("user_id", "japanese", "success_rate", "due_day")
+    """The due list with each word's place in it."""
+    listed = due.due_priority(fx.words(spark, sf_dir), DEFAULT).select("user_id", "japanese", "success_rate", "due_day")
+    return split.positions(listed, ["user_id"])
 
 
 @query("quiz_session", with_fixtures(

@@ -7,7 +7,7 @@ import datetime as _dt
 from pyspark.sql import functions as F
 
 from tangoflow.functions.text import normalize_answer
-from tangoflow.operators import chats as ch, due, reviews as rv, store, vocab
+from tangoflow.operators import chats as ch, due, reviews as rv, search, split, store, vocab
 from tangoflow.params import DEFAULT
 from tangoflow.plans.oracle_fixtures import TODAY, with_fixtures, word_state_ctes
 from tangoflow.plans.registry import query
@@ -32,9 +32,20 @@ def q_vocab_search(spark, sf_dir):
     return vocab.vocab_search(_words(spark, sf_dir), SEARCH_TERM)
 
 
-@query("vocab_sort", with_fixtures(f"SELECT {_WC} FROM words", "words"))
+@query("vocab_search_index", with_fixtures(
+    f"SELECT {_WC} FROM words WHERE COALESCE(regexp_matches(japanese, '{SEARCH_TERM}', 'i'), false) "
+    f"OR COALESCE(regexp_matches(english, '{SEARCH_TERM}', 'i'), false)", "words"))
+def q_vocab_search_index(spark, sf_dir):
+    """The same search over a trigram index of the words."""
+    path = search.build_index(_words(spark, sf_dir), scratch_path(spark, "vocab-index"))
+    return search.search_index(spark, path, SEARCH_TERM).select(*WORD_COLS)
+
+
+@query("vocab_sort", with_fixtures(
+    f"SELECT {_WC}, row_number() OVER (PARTITION BY user_id ORDER BY english DESC NULLS LAST, japanese) AS position FROM words", "words"))
 def q_vocab_sort(spark, sf_dir):
-    return vocab.vocab_sort(_words(spark, sf_dir), "English", newest_first=True)
+    """Each learner's words with their place in the sorted table."""
+    return split.positions(vocab.vocab_sort(_words(spark, sf_dir), "English", newest_first=True), ["user_id"])
 
 
 @query("words_with_reviews", with_fixtures(f"SELECT {_WC} FROM words WHERE review_count > 0", "words"))
@@ -354,31 +365,54 @@ def q_import_backups(spark, sf_dir):
             .unionByName(row("reviews", F.col("word"), F.col("review_no"), F.col("correct"))))
 
 
-@query("load_words", with_fixtures("SELECT user_id, japanese, review_count FROM words", "words"))
+@query("load_words", with_fixtures(
+    "SELECT e.user_id, e.japanese, CAST(e.chunk AS BIGINT) AS chunk, CAST(len(e.r) AS BIGINT) AS reviews, "
+    "row_number() OVER (PARTITION BY e.user_id ORDER BY w.added_date DESC NULLS LAST, e.japanese, e.chunk) AS position FROM ("
+    "SELECT w.user_id, w.japanese, COALESCE(c.chunk, 0) AS chunk, COALESCE(c.r, []) AS r FROM words w LEFT JOIN ("
+    "SELECT user_id, word AS japanese, (review_no - 1) // 8 AS chunk, list(review_no) AS r FROM replay GROUP BY ALL) c "
+    "ON c.user_id = w.user_id AND c.japanese = w.japanese) e JOIN words w ON w.user_id = e.user_id AND w.japanese = e.japanese",
+    "words", "replay"))
 def q_load_words(spark, sf_dir):
     """Words stored the single-user way (review_sequence as JSON text), loaded
-    and decoded; per word, the number of reviews held."""
+    and decoded: per stored entry its reviews and its place in load order."""
     valid, _ = bk.validate_backups(bk.read_envelopes(spark, _export(spark, sf_dir)))
     e = valid.select("user_id", F.explode("learned_words").alias("w")).select(
-        "user_id", "w.japanese", F.to_date("w.added_date").alias("added_date"),
+        "user_id", "w.japanese", F.to_date("w.added_date").alias("added_date"), F.floor(F.col("w.review_offset") / 8).alias("chunk"),
         F.to_json("w.review_sequence").alias("review_sequence"))
-    loaded = bk.load_words(e)
-    return loaded.groupBy("user_id", "japanese").agg(
-        F.sum(F.size("review_sequence")).cast("bigint").alias("review_count"))
+    loaded = split.positions(bk.load_words(e, "chunk"), ["user_id"])
+    return loaded.select("user_id", "japanese", F.col("chunk").cast("bigint").alias("chunk"),
+                         F.size("review_sequence").cast("bigint").alias("reviews"), "position")
+
+
+_ALL_TABLES = ("SELECT 'words' AS kind, user_id, japanese || '=' || COALESCE(english, '') AS item, review_count AS n FROM words UNION ALL "
+               "SELECT 'chats', user_id, CAST(conv_id AS VARCHAR) || '=' || ai_response, NULL FROM chats UNION ALL "
+               "SELECT 'settings', user_id, setting_key || '=' || setting_value, NULL FROM settings_kv")
 
 
-@query("save_tables", with_fixtures(f"SELECT {_CHAT_COLS} FROM chats", "chats"))
+def _store_tables(spark, sf_dir):
+    return {"words": _words(spark, sf_dir), "chats": fx.chats(spark, sf_dir), "settings": fx.settings_kv(spark, sf_dir)}
+
+
+def _tagged(tables):
+    """The rows of all stored tables."""
+    pair = lambda a, b: F.concat(F.col(a).cast("string"), F.lit("="), F.coalesce(b, F.lit("")))
+    of = {"words": (pair("japanese", "english"), F.col("review_count")), "chats": (pair("conv_id", "ai_response"), F.lit(None)),
+          "settings": (pair("setting_key", "setting_value"), F.lit(None))}
+    rows = [tables[k].select(F.lit(k).alias("kind"), "user_id", item.alias("item"), n.cast("bigint").alias("n")) for k, (item, n) in of.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query("save_tables", with_fixtures(_ALL_TABLES, "words", "chats", "settings_kv"))
 def q_save_tables(spark, sf_dir):
-    paths = bk.save_tables({"chats": fx.chats(spark, sf_dir)}, scratch_path(spark, "store-v1"))
-    return spark.read.parquet(paths["chats"])
+    """Every table of the store, saved and read back."""
+    paths = bk.save_tables(_store_tables(spark, sf_dir), scratch_path(spark, "store-v1"))
+    return _tagged({k: spark.read.parquet(p) for k, p in paths.items()})
 
 
-@query("snapshot_backup", with_fixtures(f"SELECT {_WC} FROM words", "words"))
+@query("snapshot_backup", with_fixtures(_ALL_TABLES, "words", "chats", "settings_kv"))
 def q_snapshot_backup(spark, sf_dir):
-    tables = {"words": _words(spark, sf_dir), "chats": fx.chats(spark, sf_dir),
-              "settings": fx.settings_kv(spark, sf_dir)}
-    snap = bk.snapshot_backup(spark, tables, scratch_path(spark, "snapshots"), EXPORT_AT)
-    return snap["words"]
+    """Every table of the snapshot, as read back."""
+    return _tagged(bk.snapshot_backup(spark, _store_tables(spark, sf_dir), scratch_path(spark, "snapshots"), EXPORT_AT))
 
 
 @query("export_vocab_csv", with_fixtures(

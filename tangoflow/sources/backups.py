@@ -229,13 +229,13 @@ def import_backups(stored: dict, valid: DataFrame, mode: str = "merge") -> dict:
             "reviews": reviews}
 
 
-def load_words(words: DataFrame) -> DataFrame:
+def load_words(words: DataFrame, *then: str) -> DataFrame:
     """S5 — stored words with review_sequence JSON text decoded (empty or
-    NULL → []), newest added first, then the word."""
+    NULL → []), newest added first, then the word (and ``then``)."""
     arr = T.ArrayType(REVIEW_ENTRY)
     seq = F.coalesce(F.from_json(F.nullif(F.col("review_sequence"), F.lit("")), arr), F.array().cast(arr))
     return (words.withColumn("review_sequence", seq)
-                 .orderBy(F.col("added_date").desc_nulls_last(), F.col("japanese")))
+                 .orderBy(F.col("added_date").desc_nulls_last(), F.col("japanese"), *then))
 
 
 def save_tables(tables: dict, base: str, fmt: str = "parquet") -> dict:

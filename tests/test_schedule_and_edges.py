@@ -261,3 +261,25 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
 
     with pytest.raises(ValueError, match="share"):
         session.scratch_path(Session(), "x")
+
+
+def test_vocabulary_by_a_small_summary_is_exact(spark):
+    """Far more different tokens than the summary holds: error, recount, and
+    widening where the proof fails; the same ids as by counting all."""
+    import random
+    from collections import Counter
+
+    from tangoflow.operators import trainprep as tp
+
+    rng = random.Random(4)
+    common = [f"c{i}" for i in range(30)]
+    rows = [(" ".join([*rng.choices(common, weights=range(40, 10, -1), k=20), *[f"rare{rng.randrange(10**6)}" for _ in range(6)]]), f"t{i % 7}") for i in range(900)]
+    df = spark.createDataFrame([*rows, (None, "")], "input_text string, target_text string").repartition(3)
+    counts = Counter(t for r in rows for text in r for t in text.split())
+    want = [(t, k, n) for k, (t, n) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:20], 1)]
+    for capacity in (None, 400, 40, 8):
+        assert [tuple(r) for r in tp.fit_vocab(df, 20, capacity=capacity).orderBy("id").collect()] == want
+    summary = {r.token: r.low for r in tp.token_summary(df, ("input_text", "target_text"), 40).collect()}
+    error = summary.pop(None)
+    assert error > 0 and len(summary) <= 3 * 40
+    assert all(summary.get(t, 0) <= n <= summary.get(t, 0) + error for t, n in counts.items())
