@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,19 +132,63 @@ def template_pairs(spark: SparkSession, draws: int = P.TEMPLATE_DRAWS, params: P
                     F.lit(P.TEMPLATE_LEVEL).alias("difficulty_level"))
 
 
-def inject_errors(sentences: DataFrame, rules) -> DataFrame:
-    """C5 — apply (language, error_type, right form, wrong form, level) rules
-    to the sentences of their language: every sentence containing a rule's
-    right form yields a pair with all its occurrences replaced, identified by
-    document, position and rule.  A per-row projection (``array`` of
-    conditional structs + ``inline``): no join, no shuffle."""
+COLUMN_RULES = 64  # so many rules are tested one by one in a column expression
+
+
+def _matched(sentences: DataFrame, rules) -> DataFrame:
+    """``sentences`` with ``rule_nos``, the rules of their language whose right
+    form they contain: one pass of an automaton over all right forms, whatever
+    the number of rules."""
+    columns = sentences.columns
+    lang, text = columns.index("lang"), columns.index("sentence")
+
+    def run(batches):
+        import ahocorasick
+
+        nos: dict[tuple, list[int]] = {}
+        for no, (language, _, right, _, _) in enumerate(rules):
+            if right:
+                nos.setdefault((language, right), []).append(no)
+        automata = {}
+        for (language, right), some in nos.items():
+            automata.setdefault(language, ahocorasick.Automaton()).add_word(right, some)
+        for a in automata.values():
+            a.make_automaton()
+        for batch in batches:
+            found = [sorted({no for _, some in automata[x].iter(t) for no in some}) if t and x in automata else []
+                     for x, t in zip(batch.column(lang).to_pylist(), batch.column(text).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], names=[*columns, "rule_nos"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sentences.schema.fields)
+    return sentences.mapInArrow(run, f"{fields}, rule_nos array<int>")
+
+
+def _injected_by_automaton(sentences: DataFrame, rules) -> DataFrame:
+    hits = _matched(sentences.select("doc_id", "pos", "lang", "sentence"), rules).select(
+        "doc_id", "pos", F.col("sentence").alias("correct_text"), F.explode("rule_nos").alias("rule_no"))
+    of = lambda k, kind="string": F.get(F.array(*[F.lit(r[k]).cast(kind) for r in rules]), F.col("rule_no"))
+    return hits.select("doc_id", "pos", "correct_text", "rule_no", of(1).alias("error_type"),
+                       F.replace("correct_text", of(2), of(3)).alias("incorrect_text"), of(4, "int").alias("difficulty_level"))
+
+
+def _injected_by_columns(sentences: DataFrame, rules) -> DataFrame:
     cands = F.array_compact(F.array(*[
         F.when((F.col("lang") == lang) & F.col("sentence").contains(right),
                F.struct(F.lit(no).alias("rule_no"), F.lit(et).alias("error_type"),
                         F.replace(F.col("sentence"), F.lit(right), F.lit(wrong)).alias("incorrect_text"),
                         F.lit(level).cast("int").alias("difficulty_level")))
-        for no, (lang, et, right, wrong, level) in enumerate(rules)]))
-    out = sentences.select("doc_id", "pos", F.col("sentence").alias("correct_text"), F.inline(cands))
+        for no, (lang, et, right, wrong, level) in enumerate(rules) if right]))
+    return sentences.select("doc_id", "pos", F.col("sentence").alias("correct_text"), F.inline(cands))
+
+
+def inject_errors(sentences: DataFrame, rules) -> DataFrame:
+    """C5 — apply (language, error_type, right form, wrong form, level) rules
+    to the sentences of their language: every sentence containing a rule's
+    right form yields a pair with all its occurrences replaced, identified by
+    document, position and rule.  Per row, no join, no shuffle: a column
+    expression (``array`` of conditional structs + ``inline``) for few rules,
+    an automaton for many."""
+    out = (_injected_by_columns if len(rules) <= COLUMN_RULES else _injected_by_automaton)(sentences, rules)
     src = seed.SOURCES["injected"]
     return out.select(F.concat_ws("#", F.lit(src), "doc_id", "pos", "rule_no").alias("pair_id"),
                       "incorrect_text", "correct_text", "error_type", F.lit(src).alias("source"),

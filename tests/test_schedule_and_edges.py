@@ -76,7 +76,7 @@ def test_breakdowns_count_every_value(spark):
     assert {(str(r.day), r.level, r.conversations) for r in pg.daily_by_level(chats).collect()} == {
         ("2024-01-01", "Beginner", 1), ("2024-01-01", "Expert", 1)}
     assert {(str(r.day), r.topic, r.conversations) for r in pg.daily_by_topic(chats).collect()} == {
-        ("2024-01-01", "Travel", 1), ("2024-01-01", "Hobbies", 1), ("2024-01-02", "Travel", 1)}
+        ("2024-01-01", "Travel", 1), ("2024-01-01", "Hobbies", 1), ("2024-01-02", "Travel", 1), ("2024-01-02", "Hobbies", 0)}
 
 
 def test_ladder_survives_long_histories(spark):
@@ -283,3 +283,19 @@ def test_vocabulary_by_a_small_summary_is_exact(spark):
     error = summary.pop(None)
     assert error > 0 and len(summary) <= 3 * 40
     assert all(summary.get(t, 0) <= n <= summary.get(t, 0) + error for t, n in counts.items())
+
+
+def test_many_error_rules_by_one_automaton(spark, monkeypatch):
+    """Overlapping and repeated right forms, several languages, null texts:
+    the automaton and the column expression give the same pairs."""
+    from tangoflow.operators import corpus as cp
+
+    rules = [("en", "a", " the ", " a ", 1), ("en", "b", "he", "she", None), ("en", "c", " the ", " an ", 2), ("de", "d", "the", "x", 3),
+             ("en", "e", "there is", "there are", 2), ("fr", "f", "é", "e", 1), ("en", "g", "here", "hear", 1)]
+    rows = [(1, 0, "en", "over there is the the end"), (1, 1, "de", "the the"), (2, 0, "en", None), (2, 1, "fr", "été"), (3, 0, "xx", "the"), (3, 1, "en", "")]
+    df = spark.createDataFrame(rows, "doc_id long, pos int, lang string, sentence string")
+    plain = sorted(map(str, cp.inject_errors(df, rules).collect()))
+    monkeypatch.setattr(cp, "COLUMN_RULES", 0)
+    assert sorted(map(str, cp.inject_errors(df, rules).collect())) == plain and len(plain) == 7
+    many = rules + [("en", "z", f"never {i} seen", "x", 1) for i in range(1000)]
+    assert sorted(map(str, cp.inject_errors(df, many).collect())) == plain
