@@ -14,7 +14,7 @@ row per vector, with its number of links there and the smallest vector that
 it reached by links inside the comparison.
 
 Cases: null vectors, vectors with null or non-finite components, zero
-vectors and vectors with a null label link with nothing; vectors of different
+vectors and vectors with a null label or a null id link with nothing; vectors of different
 lengths don't compare; repeated rows (same id and vector) are copies of each
 other and count as links; an empty table gives an empty result; extra columns
 are ignored.
@@ -84,7 +84,7 @@ def distinct_vectors(rows: DataFrame, key: str, vector: str, label: str) -> tupl
     distinct (label, v) with their smallest id and number of rows."""
     c = F.col
     v = c(vector)
-    fine = (c(label).isNotNull() & v.isNotNull() & (F.size(v) > 0)
+    fine = (c(key).isNotNull() & c(label).isNotNull() & v.isNotNull() & (F.size(v) > 0)
             & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0))
     # minus zero and zero are one component value
     plain = F.transform(v, lambda x: F.when(x == 0, F.abs(x)).otherwise(x))

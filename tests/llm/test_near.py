@@ -219,3 +219,11 @@ def test_unfinished_components_are_an_error(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
     with pytest.raises(RuntimeError, match="unfinished"):
         components(path, "a", "b", max_rounds=1)
+
+
+def test_vectors_with_a_null_id_link_with_nothing(spark):
+    rows = [(1, [1.0, 0.0], 0), (None, [1.0, 0.0], 0), (None, [1.0, 0.01], 0), (3, [1.0, 0.02], 0)]
+    got = V.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(map(str, got)) == sorted([
+        "Row(vec_id=1, n_links=1, component_id=1, kept=True)", "Row(vec_id=3, n_links=1, component_id=1, kept=False)",
+        "Row(vec_id=None, n_links=0, component_id=None, kept=True)", "Row(vec_id=None, n_links=0, component_id=None, kept=True)"])
