@@ -22,7 +22,8 @@ Spark's own broadcast threshold) is joined to them, and so is the table of the
 fill's keys (written too; a source's have fewer words than one document).
 
 Cases: null and empty texts have size 0 and take 0 words; a null source is a
-source of its own, last; repeated rows (same id and size) are rounded alike;
+source of its own, last; repeated rows (same id and size) are rounded alike, and so
+are rows of one size with a null id;
 an empty table gives an empty mix; extra columns are ignored or, by
 ``mix_documents``, kept.
 """

@@ -9,7 +9,7 @@ with column expressions only; a document that spans windows gives one piece
 in each, and the windows at partition borders join pieces of both.
 
 Cases: null and empty texts are the end id alone; every id lies in exactly
-one piece, whatever a text's length; repeated rows are packed one by one; an
+one piece, whatever a text's length; repeated rows and rows with a null id are packed one by one; an
 empty table gives no pieces; extra columns are ignored.
 """
 

@@ -99,3 +99,11 @@ def test_repeated_rows_are_filled_together(docs_of):
     for r in M.mix(docs_of(rows)).collect():
         copies.setdefault(r.doc_id, set()).add(r.copies)
     assert all(len(c) == 1 for c in copies.values())
+
+
+def test_null_ids_are_mixed_like_others(docs_of):
+    rng = random.Random(3)
+    rows = [(None if i % 3 == 0 else i, prose(rng, 20), "ab"[i % 2]) for i in range(120)]
+    got = M.mix(docs_of(rows)).collect()
+    assert len(got) == 120 and all(0 <= r.taken <= 3 * r.size for r in got)
+    assert len({(r.source_size, r.taken) for r in got if r.doc_id is None}) <= 2  # rounded alike in a source

@@ -66,3 +66,8 @@ def test_sequences_and_padding(docs_of):
 
 def test_empty_table(docs_of):
     assert P.pack(docs_of([(1, "")]).where("false"), PATH).count() == 0
+
+
+def test_null_ids_are_packed(docs_of):
+    got = P.pack(docs_of([(None, "a b"), (None, None), (3, "c")]), PATH).collect()
+    assert sorted((r.doc_id or 0, r.length) for r in got) == sorted([(0, len(P.encode("a b", PATH)) + 1), (0, 1), (3, len(P.encode("c", PATH)) + 1)])

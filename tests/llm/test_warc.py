@@ -81,3 +81,13 @@ def test_member_ends_in_zero_beyond_16_mib():
 
 def test_empty_table(spark):
     assert W.archive(pages_of(spark, PAGES).where("false")).count() == 0
+
+
+def test_null_ids_and_foreign_file_names(spark, tmp_path):
+    got = W.archive(pages_of(spark, [(None, "u", "same"), (4, "v", "same"), (None, "w", "other")])).collect()
+    assert sorted((r.id or "", r.record_type, r.refers_to) for r in got) == [
+        ("", "response", None), ("", "revisit", "4"), ("4", "response", None)]
+    (tmp_path / "crawl-0001.warc.gz").write_bytes(record() + record(b"two"))
+    (tmp_path / "notes.txt").write_bytes(b"no archive")
+    assert W.read_warc(spark, str(tmp_path), names="*.warc.gz").count() == 2
+    assert {r.error is None for r in W.read_warc(spark, str(tmp_path)).collect()} == {True, False}
