@@ -80,31 +80,35 @@ def progress_summary(chats: DataFrame, words: DataFrame, params: Params = DEFAUL
                          F.coalesce("day_streak", F.lit(0)).alias("day_streak")))
 
 
-WORD_TEXT = ("japanese", "english", "next_review")
-CHAT_TEXT = ("user_message", "ai_response", "timestamp", "level", "topic")
+# What a stored row holds, serialised as JSON to tell its size.
+WORD_ROW = ("japanese", "english", "added_date", "last_reviewed", "next_review", "review_count", "correct_count", "streak")
+CHAT_ROW = ("user_message", "ai_response", "timestamp", "level", "topic")
+MEBIBYTE = 1048576
 
 
-def _text_bytes(cols) -> F.Column:
-    return sum((F.octet_length(F.coalesce(F.col(c), F.lit(""))).cast("bigint") for c in cols), F.lit(0).cast("bigint"))
+def row_bytes(cols) -> F.Column:
+    """UTF-8 octets of the row as JSON, nulls written."""
+    return F.octet_length(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})).cast("bigint")
 
 
 def store_statistics(words: DataFrame, chats: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """A3 — per learner: total words, total chats, words with reviews, today's
-    chats and stored text size in bytes (UTF-8 octets of the text columns)."""
+    chats and the size of the serialised rows, in bytes and in MB (two decimals)."""
     w = words.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("total_words"),
         F.count_if(F.col("review_count") > 0).alias("words_with_reviews"),
-        F.sum(_text_bytes(WORD_TEXT)).alias("word_bytes"))
+        F.sum(row_bytes(WORD_ROW)).alias("word_bytes"))
     today = F.col("timestamp").startswith(params.today.isoformat())
     c = chats.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("total_conversations"),
         F.count_if(today).alias("today_conversations"),
-        F.sum(_text_bytes(CHAT_TEXT)).alias("chat_bytes"))
+        F.sum(row_bytes(CHAT_ROW)).alias("chat_bytes"))
     j = w.join(c, "user_id", "full")
+    size = F.coalesce(F.col("word_bytes"), F.lit(0)) + F.coalesce(F.col("chat_bytes"), F.lit(0))
     return j.select(
         "user_id",
         F.coalesce("total_words", F.lit(0)).cast("bigint").alias("total_words"),
         F.coalesce("total_conversations", F.lit(0)).cast("bigint").alias("total_conversations"),
         F.coalesce("words_with_reviews", F.lit(0)).cast("bigint").alias("words_with_reviews"),
         F.coalesce("today_conversations", F.lit(0)).cast("bigint").alias("today_conversations"),
-        (F.coalesce("word_bytes", F.lit(0)) + F.coalesce("chat_bytes", F.lit(0))).cast("bigint").alias("size_bytes"))
+        size.cast("bigint").alias("size_bytes"), F.round(size / MEBIBYTE, 2).alias("size_mb"))

@@ -181,7 +181,10 @@ def q_progress_summary(spark, sf_dir):
 
 
 def _bytes_sql(cols):
-    return " + ".join(f"strlen(COALESCE({c}, ''))" for c in cols)
+    return "strlen(CAST(to_json({" + ", ".join(f"'{c}': {c}" for c in cols) + "}) AS VARCHAR))"
+
+
+_SIZE = "(COALESCE(w.b, 0) + COALESCE(c.b, 0))"
 
 
 @query("store_statistics", with_fixtures(
@@ -189,11 +192,11 @@ def _bytes_sql(cols):
     "CAST(COALESCE(c.total_conversations, 0) AS BIGINT) AS total_conversations, "
     "CAST(COALESCE(w.words_with_reviews, 0) AS BIGINT) AS words_with_reviews, "
     "CAST(COALESCE(c.today_conversations, 0) AS BIGINT) AS today_conversations, "
-    "CAST(COALESCE(w.b, 0) + COALESCE(c.b, 0) AS BIGINT) AS size_bytes FROM "
+    f"CAST({_SIZE} AS BIGINT) AS size_bytes, round({_SIZE} / {pg.MEBIBYTE}.0, 2)::DOUBLE AS size_mb FROM "
     f"(SELECT user_id, count(*) AS total_words, count_if(review_count > 0) AS words_with_reviews, "
-    f"sum({_bytes_sql(pg.WORD_TEXT)}) AS b FROM words GROUP BY user_id) w FULL JOIN "
+    f"sum({_bytes_sql(pg.WORD_ROW)}) AS b FROM words GROUP BY user_id) w FULL JOIN "
     f"(SELECT user_id, count(*) AS total_conversations, count_if(starts_with(timestamp, '2024-01-30')) "
-    f"AS today_conversations, sum({_bytes_sql(pg.CHAT_TEXT)}) AS b FROM chats GROUP BY user_id) c "
+    f"AS today_conversations, sum({_bytes_sql(pg.CHAT_ROW)}) AS b FROM chats GROUP BY user_id) c "
     "ON w.user_id = c.user_id", "chats", "words"))
 def q_store_statistics(spark, sf_dir):
     return pg.store_statistics(fx.words(spark, sf_dir), fx.chats(spark, sf_dir), DEFAULT)
