@@ -42,15 +42,18 @@ def preference_turns(turns: DataFrame) -> DataFrame:
     t = turns.select("pair_id", "side", F.coalesce(c("turn").cast("long"), F.lit(LAST)).alias("turn"),
                      F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     t = t.withColumn("h", F.sha2(F.concat_ws("\0", "role", "text"), 256))
-    same = t.groupBy("pair_id", "turn", "h").agg(F.max(c("side") == "chosen").alias("l"), F.max(c("side") == "rejected").alias("r"))
-    pairs = same.groupBy("pair_id").agg(
+    # the pair as two columns without nulls, so that the join and the drop of repeated rows share one partitioning
+    kind = turns.schema["pair_id"].dataType
+    t = t.withColumns({"k": F.coalesce("pair_id", F.lit(0).cast(kind)), "none": c("pair_id").isNull()})
+    same = t.groupBy("k", "none", "turn", "h").agg(F.max(c("side") == "chosen").alias("l"), F.max(c("side") == "rejected").alias("r"))
+    pairs = same.groupBy("k", "none").agg(
         F.min(F.when(~(c("l") & c("r")), c("turn"))).alias("first"), F.max("l").alias("l"), F.max("r").alias("r"))
-    pairs = pairs.select("pair_id", "first", (c("l") & c("r") & c("pair_id").isNotNull()).alias("paired"))
-    j = t.join(pairs.withColumnRenamed("pair_id", "p"), c("pair_id").eqNullSafe(c("p")))
+    pairs = pairs.select("k", "none", "first", (c("l") & c("r") & ~c("none")).alias("paired"))
+    j = t.join(pairs, ["k", "none"])
     common = c("first").isNull() | (c("turn") < c("first"))
     prompt = common & c("paired")
     # the prompt is rendered from the chosen side only; repeated rows are dropped where the join has put their pair
-    j = j.where(~prompt | (c("side") == "chosen")).dropDuplicates(["pair_id", "side", "turn", "h"])
+    j = j.where(~prompt | (c("side") == "chosen")).dropDuplicates(["k", "none", "side", "turn", "h"])
     part = F.when(prompt, "prompt").otherwise(c("side"))
     return j.select("pair_id", part.alias("part"), F.nullif("turn", F.lit(LAST)).alias("turn"), "role",
                     F.concat(F.lit("<|im_start|>"), "role", F.lit("\n"), "text", F.lit("<|im_end|>\n")).alias("rendered"),
