@@ -4,7 +4,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -108,52 +110,136 @@ def tokens(text: F.Column) -> F.Column:
 
 
 SUMMARY_TOKENS = 65_536
+SLICE_BYTES = 1 << 22  # a batch's texts are cut into tokens so many bytes at a time
+_BLANK, _RUN, _SINGLE, _REST = range(4)
+_KIND = np.full(256, _SINGLE, np.uint8)  # of a UTF-8 byte: blank, of a run, first or other byte of any other character
+_KIND[[9, 10, 11, 12, 13, 32]] = _BLANK
+_KIND[[b for b in range(128) if chr(b).isalnum()]] = _RUN
+_KIND[0x80:0xC0] = _REST
+
+
+def lowered(text: str) -> F.Column:
+    """What ``token_slices`` takes: a text in lower case, empty where null."""
+    return F.coalesce(F.lower(F.col(text)), F.lit(""))
+
+
+def token_slices(texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """The tokens (``tokens``) of lowered texts, slice by slice: all tokens of
+    some texts as one array, and each text's bounds in it.  A token is a span
+    of bytes, and all but the blanks lie in one, so spans are found with a few
+    vector operations and no regular expression."""
+    wide = pa.types.is_large_string(texts.type)
+    offset = np.int64 if wide else np.int32
+    at = np.frombuffer(texts.buffers()[1], offset)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, offset)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(at, int(at[first]) + SLICE_BYTES, "right")) - 1)
+        begin = at[first:last + 1] - at[first]
+        chars = data[at[first]:at[last]]
+        kind = _KIND[chars]
+        run = kind == _RUN
+        start = run.copy()
+        start[1:] &= ~run[:-1]
+        heads = begin[:-1][begin[:-1] < begin[1:]]
+        start[heads] = run[heads]
+        start |= kind == _SINGLE
+        kept = kind != _BLANK
+        spans = np.append(np.flatnonzero(start[kept]), np.count_nonzero(kept)).astype(offset)
+        out = (pa.LargeStringArray if wide else pa.StringArray).from_buffers(len(spans) - 1, pa.py_buffer(spans), pa.py_buffer(chars[kept]))
+        yield out, np.searchsorted(np.flatnonzero(start), begin)
+        first = last
+
+
+def added(tables: list[pa.Table]) -> pa.Table:
+    """Tables of tokens and numbers as one without repeats."""
+    return pa.concat_tables(tables).group_by("token").aggregate([("n", "sum")]).rename_columns(["token", "n"])
+
+
+def token_counts(pairs: DataFrame, cols, limit: int) -> DataFrame:
+    """Numbers of the tokens of some columns, (token, n), added up in the tasks
+    alone: a task counts in tables of at most 4 * limit rows and one batch, and
+    lets a table go, whole, when it has more than ``limit`` tokens."""
 
-
-def token_summary(pairs: DataFrame, cols, capacity: int) -> DataFrame:
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            for column in batch.columns:
+                for some, _ in token_slices(column):
+                    seen = pc.value_counts(some)
+                    held.append(pa.table({"token": seen.field("values").cast(pa.string()), "n": seen.field("counts")}))
+                    rows += len(seen)
+                    if rows > 4 * limit:
+                        held = [added(held)]
+                        rows = len(held[0])
+                        if rows > limit:
+                            yield from held[0].to_batches()
+                            held, rows = [], 0
+        if held:
+            yield from added(held).to_batches()
+
+    return pairs.select(*[lowered(c).alias(f"t{i}") for i, c in enumerate(cols)]).mapInArrow(run, "token string, n long")
+
+
+def summary_of(counts: DataFrame, capacity: int) -> DataFrame:
     """Frequent tokens in bounded space: (token, low), and a row with a null
     token whose ``low`` is the error.  A token's number is at least its low and
     at most low + error; a token without row has at most the error.
 
-    Each task counts in a table of at most 2 * capacity tokens.  When it is
-    full, the count of the first token beyond ``capacity`` is taken off all (and
-    added to the task's error), which leaves at most ``capacity``.  The tables
-    add up, so at most capacity rows a task are shuffled."""
-    both = [F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")).alias(f"t{i}") for i, c in enumerate(cols)]
+    Each task adds up numbers (``token_counts``) in a table of at most
+    8 * capacity rows and one batch.  When it is full, the count of the first
+    token beyond ``capacity`` is taken off all (and added to the task's error),
+    which leaves at most ``capacity``.  The tables add up, so at most capacity
+    rows a task are shuffled."""
 
     def run(batches):
-        counts, error = {}, 0
+        held, rows, error = [], 0, 0
+
+        def cut(most):
+            nonlocal error
+            table = added(held)
+            n = table["n"].to_numpy()
+            if len(n) <= most:
+                return table
+            off = int(np.partition(n, len(n) - capacity - 1)[len(n) - capacity - 1])
+            error += off
+            return pa.table({"token": table["token"], "n": pa.array(n - off)}).filter(pa.array(n > off))
+
         for batch in batches:
-            for column in batch.columns:
-                seen = pc.value_counts(pc.list_flatten(column))
-                for token, n in zip(seen.field("values").to_pylist(), seen.field("counts").to_pylist(), strict=True):
-                    counts[token] = counts.get(token, 0) + n
-                if len(counts) > 2 * capacity:
-                    cut = sorted(counts.values(), reverse=True)[capacity]
-                    counts, error = {t: n - cut for t, n in counts.items() if n > cut}, error + cut
-        if len(counts) > capacity:
-            cut = sorted(counts.values(), reverse=True)[capacity]
-            counts, error = {t: n - cut for t, n in counts.items() if n > cut}, error + cut
-        yield pa.RecordBatch.from_arrays([pa.array([*counts, None], pa.string()), pa.array([*counts.values(), error], pa.int64())],
-                                         names=["token", "low"])
+            held.append(pa.Table.from_batches([batch]))
+            rows += len(batch)
+            if rows > 8 * capacity:
+                held = [cut(2 * capacity)]
+                rows = len(held[0])
+        if held:
+            yield from cut(capacity).rename_columns(["token", "low"]).to_batches()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([error], pa.int64())], names=["token", "low"])
+
+    return counts.mapInArrow(run, "token string, low long").groupBy("token").agg(F.sum("low").alias("low"))
 
-    return pairs.select(*both).mapInArrow(run, "token string, low long").groupBy("token").agg(F.sum("low").alias("low"))
+
+def token_summary(pairs: DataFrame, cols, capacity: int) -> DataFrame:
+    """``summary_of`` the tokens of some columns."""
+    return summary_of(token_counts(pairs, cols, 2 * capacity), capacity)
 
 
 def fit_vocab(pairs: DataFrame, size: int, cols=("input_text", "target_text"), capacity: int | None = None) -> DataFrame:
     """M2 — token → id (1..size) for the ``size`` most frequent tokens (ties by
     token); 0 is the padding id, size+1 the unknown id.
 
-    Pass one is a mergeable summary (``token_summary``).  If it made no error,
-    its counts are exact.  Else, let ``bound`` be the size-th largest low: if
-    the error is less, no token without row can be among the most frequent,
-    and pass two recounts the candidates, those with low + error >= bound.  If
-    not, the summary is widened and made again.  So what is shuffled is bounded
-    by the summary, however many different tokens there are."""
+    The pairs are read once: each task's own numbers of tokens are written.
+    What follows reads those.  First a mergeable summary (``summary_of``).  If
+    it made no error, its counts are exact.  Else, let ``bound`` be the size-th
+    largest low: if the error is less, no token without row can be among the
+    most frequent, and the candidates, those with low + error >= bound, are
+    added up exactly.  If not, the summary is widened and made again.  So what
+    is shuffled is bounded by the summary, however many different tokens there
+    are."""
     capacity = capacity or max(SUMMARY_TOKENS, 8 * size)
     c = F.col
+    counts = split.written(token_counts(pairs, cols, 2 * capacity), "token-counts")
     while True:
-        summary = split.written(token_summary(pairs, cols, capacity), "token-summary")
+        summary = split.written(summary_of(counts, capacity), "token-summary")
         error = (summary.where(c("token").isNull()).first() or (None, 0))[1]
         lows = summary.where(c("token").isNotNull()).withColumnRenamed("low", "count")
         first = lows.orderBy(F.desc("count"), "token").limit(size)
@@ -163,10 +249,8 @@ def fit_vocab(pairs: DataFrame, size: int, cols=("input_text", "target_text"), c
         kept, bound = first.agg(F.count(F.lit(1)), F.min("count")).first()
         if kept == size and bound > error:
             some = split.written(lows.where(c("count") + error >= bound).select("token"), "token-candidates")
-            both = F.concat(*[F.coalesce(tokens(c(x)), F.array().cast("array<string>")) for x in cols])
-            counts = pairs.select(F.explode(both).alias("token")).join(some, "token", "left_semi").groupBy("token").agg(
-                F.count(F.lit(1)).alias("count"))
-            top = counts.orderBy(F.desc("count"), "token").limit(size)
+            exact = counts.join(some, "token", "left_semi").groupBy("token").agg(F.sum("n").alias("count"))
+            top = exact.orderBy(F.desc("count"), "token").limit(size)
             break
         capacity *= 4
     # Bounded single-partition window over the ≤ size kept tokens.

@@ -285,6 +285,24 @@ def test_vocabulary_by_a_small_summary_is_exact(spark):
     assert all(summary.get(t, 0) <= n <= summary.get(t, 0) + error for t, n in counts.items())
 
 
+def test_a_vocabulary_reads_its_pairs_once(spark):
+    """Also when the summary is widened and its candidates are recounted."""
+    from tangoflow.operators import trainprep as tp
+
+    read = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    rows = [(f"a a a b b c r{i}", f"b a s{i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "input_text string, target_text string").mapInArrow(passed, "input_text string, target_text string")
+    got = [tuple(r) for r in tp.fit_vocab(df, 3, capacity=2).orderBy("id").collect()]
+    assert got == [("a", 1, 800), ("b", 2, 600), ("c", 3, 200)]
+    assert read.value == len(rows)
+
+
 def test_many_error_rules_by_one_automaton(spark, monkeypatch):
     """Overlapping and repeated right forms, several languages, null texts:
     the automaton and the column expression give the same pairs."""
