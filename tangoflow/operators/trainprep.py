@@ -7,7 +7,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -258,28 +257,38 @@ def fit_vocab(pairs: DataFrame, size: int, cols=("input_text", "target_text"), c
     return top.withColumn("id", F.row_number().over(w).cast("int")).select("token", "id", "count")
 
 
+def token_ids(texts: pa.Array, vocab: pa.Array, ids: np.ndarray, max_len: int) -> pa.Array:
+    """The ids of each lowered text's first ``max_len`` tokens; the last of
+    ``ids`` is that of a token which is not in ``vocab``."""
+    sizes, found = [np.zeros(1, np.int32)], [np.zeros(0, np.int32)]
+    for some, bounds in token_slices(texts):
+        n = np.diff(bounds)
+        taken = np.arange(len(some)) - np.repeat(bounds[:-1], n) < max_len
+        known = pc.fill_null(pc.index_in(some.cast(vocab.type), value_set=vocab), len(vocab)).to_numpy(zero_copy_only=False)
+        found.append(ids[known[taken]])
+        sizes.append(np.minimum(n, max_len))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)), pa.int32()), pa.array(np.concatenate(found), pa.int32()))
+
+
 def encode_pairs(pairs: DataFrame, vocab: DataFrame, size: int, max_len: int = P.MAX_SEQ_LEN,
                  id_col: str = "pair_id") -> DataFrame:
     """M3 — input ids / attention mask / labels, each exactly ``max_len`` long:
     truncated, padded with 0; labels use −100 where padded.
 
-    Tokens are cut to ``max_len`` first.  The vocabulary is limited to
-    ``size`` rows here, whatever the caller passes, and sent to the tasks as a
-    dictionary that an Arrow-batched function looks tokens up in: no shuffle,
-    no regroup of exploded tokens, and two pairs with one id stay two rows.
+    The vocabulary is limited to ``size`` rows here, whatever the caller
+    passes, and sent to the tasks, where an Arrow function cuts a batch of
+    texts into tokens and looks them up: no shuffle, no regroup of exploded
+    tokens, and two pairs with one id stay two rows.
     """
-    ids = {r["token"]: r["id"] for r in vocab.orderBy("id").limit(size).select("token", "id").collect()}
-    known = pairs.sparkSession.sparkContext.broadcast(ids)
-
-    @F.pandas_udf("array<int>")
-    def look_up(column: pd.Series) -> pd.Series:
-        get, unknown = known.value.get, size + 1
-        return column.map(lambda ts: [get(t, unknown) for t in ts])
+    table = {r["token"]: r["id"] for r in vocab.orderBy("id").limit(size).select("token", "id").collect()}
+    known = pairs.sparkSession.sparkContext.broadcast((list(table), [*table.values(), size + 1]))
 
-    def coded(text):
-        return look_up(F.coalesce(F.slice(tokens(F.col(text)), 1, max_len), F.array().cast("array<string>")))
+    @F.arrow_udf("array<int>")
+    def coded(texts: pa.Array) -> pa.Array:
+        words, ids = known.value
+        return token_ids(texts, pa.array(words, pa.string()), np.array(ids, np.int32), max_len)
 
-    g = pairs.select(id_col, coded("input_text").alias("_s"), coded("target_text").alias("_t"))
+    g = pairs.select(id_col, coded(lowered("input_text")).alias("_s"), coded(lowered("target_text")).alias("_t"))
     ns, nt = F.size("_s"), F.size("_t")
 
     def fill(v, k):

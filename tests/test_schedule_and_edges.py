@@ -303,6 +303,36 @@ def test_a_vocabulary_reads_its_pairs_once(spark):
     assert read.value == len(rows)
 
 
+def test_pairs_are_encoded_from_token_slices(spark, monkeypatch):
+    """All blanks, control and joined characters, characters of one to four
+    bytes, empty and null texts, large strings, slices of any size: the tokens
+    of the column expression, their ids, cut and padded."""
+    import random
+
+    import pyarrow as pa
+
+    from tangoflow.operators import trainprep as tp
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("aZ09 \t\n\x0b\x0c\r\x1c.é日𝒳İΣ-_\u3000", k=rng.randrange(30))) for _ in range(300)]
+    df = spark.createDataFrame([(i, t, texts[-(i % 300)]) for i, t in enumerate([*texts, "", None])], "pair_id long, input_text string, target_text string")
+    rows = df.select("pair_id", tp.lowered("input_text"), tp.tokens(F.col("input_text")), tp.tokens(F.col("target_text"))).orderBy("pair_id").collect()
+    for size in (1 << 22, 40, 1):
+        monkeypatch.setattr(tp, "SLICE_BYTES", size)
+        for kind in (pa.string(), pa.large_string()):
+            low = pa.array([r[1] for r in rows], kind)
+            for some, want in ((low, rows), (low.slice(5, 90), rows[5:95]), (low.slice(0, 0), [])):
+                got = [found.to_pylist()[a:b] for found, at in tp.token_slices(some) for a, b in zip(at[:-1], at[1:])]
+                assert got == [r[2] or [] for r in want]
+    vocab = tp.fit_vocab(df, 8)
+    ids = {r.token: r.id for r in vocab.collect()}
+    cut = lambda ts, fill: ([ids.get(t, 9) for t in ts or []] + [fill] * 12)[:12]
+    got = {r.pair_id: r for r in tp.encode_pairs(df, vocab, 8, max_len=12).collect()}
+    for no, _, source, target in rows:
+        assert (got[no].input_ids, got[no].labels) == (cut(source, 0), cut(target, -100))
+        assert got[no].attention_mask == ([1] * len(source or []) + [0] * 12)[:12]
+
+
 def test_many_error_rules_by_one_automaton(spark, monkeypatch):
     """Overlapping and repeated right forms, several languages, null texts:
     the automaton and the column expression give the same pairs."""
