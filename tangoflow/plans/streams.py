@@ -63,12 +63,14 @@ def q_stream_word_state(spark, sf_dir):
     """Reviews streamed in micro-batches, 1/7 of them delivered twice and 1/20
     late by a slice; the final state per key equals the batch state."""
     src, out, ckpt = (scratch_path(spark, n) for n in ("review-stream", "t1-updates", "ckpt-t1"))
+    reviews = fx.reviews(spark, sf_dir)
+    buckets = jobs.state_buckets(reviews.count())
 
     def take():
-        events = jobs.review_events(spark, src, 10_000)
-        jobs.run_available(jobs.stream_word_state(events, HORIZON).writeStream.outputMode("update").foreachBatch(_each(out)), ckpt)
+        stream = jobs.stream_word_state(jobs.review_events(spark, src, 10_000), HORIZON, buckets=buckets)
+        jobs.run_available(stream.writeStream.outputMode("update").foreachBatch(_each(out)), ckpt)
 
-    _deliver(fx.reviews(spark, sf_dir), "reviewed_at", src, 7, 20, after=take, bucketed=True)
+    _deliver(reviews, "reviewed_at", src, 7, 20, after=take, bucketed=True)
     log = spark.read.schema(jobs.LOG_SCHEMA).parquet(src)
     return jobs.finish_state(spark.read.schema(jobs.STATE_OUT).parquet(out), log).select(*_WS_COLS)
 

@@ -1,7 +1,8 @@
 """Structured Streaming jobs (T1, T2; T3 is in ``streaming.store``).
 
 * T1 ``stream_word_state`` — review events → running learning state, one
-  keyed state per (user, word) with ``transformWithState``.  A key's state
+  state per (user, word) with ``transformWithState``, which is called once per
+  bucket of keys and appends the states it changed to a list.  A key's state
   holds a settled summary and its reviews of the last ``horizon``, in order,
   so a late or repeated review inside the horizon costs its own key only and
   is exact.  Reviews behind the horizon come out as rows of a side table
@@ -34,6 +35,10 @@ REVIEW_SCHEMA = T.StructType([
 LOG_SCHEMA = T.StructType([*REVIEW_SCHEMA.fields, T.StructField("bucket", T.IntegerType())])
 KEYS = ("user_id", "word")
 LOG_BUCKETS = 32
+STATE_BUCKETS = 1024
+#: Reviews a bucket of T1's state is meant for: enough to share a call to the
+#: state server, few enough that a micro-batch of some keys reads little more.
+BUCKET_REVIEWS = 256
 
 # ---- T1 ----------------------------------------------------------------
 
@@ -51,6 +56,7 @@ STATE_OUT = T.StructType([
     T.StructField("streak", T.LongType()), T.StructField("first_us", T.LongType()), T.StructField("last_us", T.LongType()),
     T.StructField("repeated", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("correct", T.BooleanType()),
 ])
+ENTRY_SCHEMA = T.StructType([*REVIEW_SCHEMA.fields[:2], *STATE_SCHEMA.fields])
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -60,14 +66,81 @@ def composed(n: int, ok: int, run: int, flags: list[bool]) -> tuple[int, int, in
     return n + len(flags), ok + sum(flags), run + len(flags) if tail is None else tail
 
 
-def _out(key, *values) -> Row:
-    return Row(**dict(zip(STATE_OUT.names, (*key, *values), strict=True)))
+_Out = Row(*STATE_OUT.names)
+
+
+def replayed(held: tuple | None, reviews: list[tuple[int, int, bool]], horizon_us: int) -> tuple[tuple, int, list]:
+    """A key's state after a micro-batch's reviews (time, seq, correct), how
+    many of them it had already, and those from behind its horizon."""
+    n, ok, run, first, last, floor = held[:6] if held else (0, 0, 0, None, None, None)
+    open_ = list(zip(*held[6:9], strict=True)) if held else []
+    known, repeated, late = {(us, seq) for us, seq, _ in open_}, 0, []
+    for us, seq, correct in reviews:
+        if floor is not None and us <= floor:
+            late.append((us, seq, correct))
+        elif (us, seq) in known:
+            repeated += 1
+        else:
+            known.add((us, seq))
+            open_.append((us, seq, correct))
+    open_.sort()
+    if open_:
+        first = open_[0][0] if first is None else min(first, open_[0][0])
+        last = open_[-1][0] if last is None else max(last, open_[-1][0])
+    if last is not None:
+        bound = last - horizon_us
+        done = [x for x in open_ if x[0] <= bound]
+        n, ok, run = composed(n, ok, run, [x[2] for x in done])
+        open_ = open_[len(done):]
+        floor = bound if floor is None else max(floor, bound)
+    return (n, ok, run, first, last, floor, *([x[k] for x in open_] for k in range(3))), repeated, late
+
+
+def _emitted(key, state: tuple, repeated: int, late: list) -> Iterator[Row]:
+    now = composed(*state[:3], state[8])
+    yield _Out(*key, "state", *now, state[3], state[4], repeated, None, None)
+    for us, seq, correct in late:
+        yield _Out(*key, "late", None, None, None, us, us, None, seq, correct)
+
+
+class BucketReplay(StatefulProcessor):
+    """States of a bucket of (user, word), as a list of entries of which a
+    key's newest counts: a micro-batch reads the list and appends the states of
+    its own keys, each in one call to the state server.  A list that is mostly
+    outdated entries is written anew, so it stays within twice its keys."""
+
+    def __init__(self, horizon_us: int) -> None:
+        self.horizon_us = horizon_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.entries = handle.getListState("entries", ENTRY_SCHEMA)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        taken: dict[tuple, list] = {}
+        for r in rows:
+            taken.setdefault((r["user_id"], r["word"]), []).append((r["us"], r["seq"], bool(r["correct"])))
+        held, length = {}, len(taken)
+        for e in self.entries.get():
+            held[e[:2]] = e[2:]
+            length += 1
+        changed = {}
+        for word, reviews in taken.items():
+            changed[word], repeated, late = replayed(held.get(word), reviews, self.horizon_us)
+            yield from _emitted(word, changed[word], repeated, late)
+        held.update(changed)
+        outdated = length > 2 * len(held) + 8
+        entries = [(*word, *state) for word, state in (held if outdated else changed).items()]
+        (self.entries.put if outdated else self.entries.appendList)(entries)
+
+    def close(self) -> None:
+        pass
 
 
 class WordReplay(StatefulProcessor):
-    """State of one (user, word).  ``horizon_us``: how far behind its newest
-    review a key's reviews stay open; ``idle_ms``: after so long without an
-    event (processing time) all of them are settled."""
+    """State of one (user, word), for streams with timers, which Spark keeps
+    per group.  ``horizon_us``: how far behind its newest review a key's
+    reviews stay open; ``idle_ms``: after so long without an event (processing
+    time) all of them are settled."""
 
     def __init__(self, horizon_us: int, idle_ms: int | None = None) -> None:
         self.horizon_us, self.idle_ms = horizon_us, idle_ms
@@ -77,50 +150,22 @@ class WordReplay(StatefulProcessor):
         self.state = handle.getValueState("state", STATE_SCHEMA)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held = self.state.get()
-        n, ok, run, first, last, floor = held[:6] if held else (0, 0, 0, None, None, None)
-        open_ = list(zip(*held[6:9], strict=True)) if held else []
-        known, repeated, late = {(us, seq) for us, seq, _ in open_}, 0, []
-        for r in rows:
-            us, seq, correct = r["us"], r["seq"], bool(r["correct"])
-            if floor is not None and us <= floor:
-                late.append((us, seq, correct))
-            elif (us, seq) in known:
-                repeated += 1
-            else:
-                known.add((us, seq))
-                open_.append((us, seq, correct))
-        open_.sort()
-        if open_:
-            first = open_[0][0] if first is None else min(first, open_[0][0])
-            last = open_[-1][0] if last is None else max(last, open_[-1][0])
-        if last is not None:
-            bound = last - self.horizon_us
-            done = [x for x in open_ if x[0] <= bound]
-            n, ok, run = composed(n, ok, run, [x[2] for x in done])
-            open_ = open_[len(done):]
-            floor = bound if floor is None else max(floor, bound)
-        self._keep(n, ok, run, first, last, floor, open_)
+        reviews = [(r["us"], r["seq"], bool(r["correct"])) for r in rows]
+        state, repeated, late = replayed(self.state.get(), reviews, self.horizon_us)
+        self.state.update(state)
         if self.idle_ms:
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t[0] if isinstance(t, (tuple, list)) else t)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        now = composed(n, ok, run, [x[2] for x in open_])
-        yield _out(key, "state", *now, first, last, repeated, None, None)
-        for us, seq, correct in late:
-            yield _out(key, "late", None, None, None, us, us, None, seq, correct)
+        yield from _emitted(key, state, repeated, late)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         held = self.state.get()
         if held:
             n, ok, run = composed(*held[:3], list(held[8]))
-            self._keep(n, ok, run, held[3], held[4], held[4], [])
+            self.state.update((n, ok, run, held[3], held[4], held[4], [], [], []))
         yield from ()
 
-    def _keep(self, n, ok, run, first, last, floor, open_) -> None:
-        us, seq, correct = ([x[k] for x in open_] for k in range(3))
-        self.state.update((n, ok, run, first, last, floor, us, seq, correct))
-
     def close(self) -> None:
         pass
 
@@ -135,19 +180,30 @@ def review_events(spark: SparkSession, path: str, files_per_trigger: int = 1) ->
     return spark.readStream.schema(REVIEW_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def stream_word_state(events: DataFrame, horizon: dt.timedelta = dt.timedelta(days=30), idle: dt.timedelta | None = None) -> DataFrame:
+def state_buckets(reviews: int) -> int:
+    """Buckets of T1's state for a log of so many reviews."""
+    return max(64, -(-reviews // BUCKET_REVIEWS))
+
+
+def stream_word_state(events: DataFrame, horizon: dt.timedelta = dt.timedelta(days=30), idle: dt.timedelta | None = None,
+                      buckets: int = STATE_BUCKETS) -> DataFrame:
     """T1 — in update mode, per micro-batch and touched key, the key's state
     (``kind`` "state") and its reviews from behind the horizon ("late").  Keys
-    live in RocksDB, whose change log holds the written keys alone.  With
-    ``idle`` the stream has processing-time timers; such a stream runs until it
+    live in RocksDB, whose change log holds the written keys alone.  A
+    checkpoint keeps to its number of ``buckets`` (``state_buckets``).  With ``idle`` the stream
+    has processing-time timers and a group per key; such a stream runs until it
     is stopped (Spark gives it no last micro-batch)."""
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     us = F.unix_micros(F.col("reviewed_at").cast("timestamp"))
-    return events.select(*KEYS, us.alias("us"), "seq", F.coalesce("correct", F.lit(False)).alias("correct")).groupBy(*KEYS).transformWithState(
-        WordReplay(horizon // dt.timedelta(microseconds=1), idle and idle // dt.timedelta(milliseconds=1)),
-        STATE_OUT, "Update", "ProcessingTime" if idle else "None")
+    reviews = events.select(*KEYS, us.alias("us"), "seq", F.coalesce("correct", F.lit(False)).alias("correct"))
+    horizon_us = horizon // dt.timedelta(microseconds=1)
+    if idle:
+        return reviews.groupBy(*KEYS).transformWithState(
+            WordReplay(horizon_us, idle // dt.timedelta(milliseconds=1)), STATE_OUT, "Update", "ProcessingTime")
+    return reviews.withColumn("bucket", key_bucket(buckets)).groupBy("bucket").transformWithState(
+        BucketReplay(horizon_us), STATE_OUT, "Update", "None")
 
 
 def late_reviews(rows: DataFrame) -> DataFrame:

@@ -129,6 +129,61 @@ def test_an_idle_key_settles_by_its_timer():
     assert [(r.kind, r.review_count, r.streak, r.seq) for r in out] == [("state", 5, 3, None), ("late", None, None, 9)]
 
 
+class _Entries:
+    """A bucket's list of entries in memory, for the processor alone."""
+
+    def __init__(self):
+        self.list, self.calls = [], []
+
+    def getListState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls.append(("get", len(self.list)))
+        return iter(self.list)
+
+    def appendList(self, entries):
+        self.calls.append(("append", len(entries)))
+        self.list += entries
+
+    def put(self, entries):
+        self.calls.append(("put", len(entries)))
+        self.list = entries
+
+
+def test_the_keys_of_a_bucket_share_their_calls_and_write_their_own_states():
+    bucket, replay = _Entries(), jobs.BucketReplay(10)
+    replay.init(bucket)
+
+    def take(*xs):
+        rows = [dict(zip(("user_id", "word", "us", "seq", "correct"), x, strict=True)) for x in xs]
+        return [(r.user_id, r.word, r.kind, r.review_count, r.streak, r.repeated, r.seq)
+                for r in replay.handleInputRows((0,), iter(rows), None)]
+
+    many = [(u, w, 100, u, True) for u in range(50) for w in ("a", None)]
+    assert len(take(*many)) == 100 and bucket.calls == [("get", 0), ("append", 100)]
+    # a key again: an open review, a repeated one, one from behind its horizon
+    got = take((7, "a", 105, 1, False), (7, "a", 100, 7, True), (7, "a", 90, 2, True), (7, None, 100, 9, True))
+    assert got == [(7, "a", "state", 2, 0, 1, None), (7, "a", "late", None, None, None, 2), (7, None, "state", 2, 2, 0, None)]
+    assert bucket.calls[2:] == [("get", 100), ("append", 2)]
+    for i in range(120):  # the list stays within twice its keys
+        take((7, "a", 106 + i, 100 + i, True))
+    assert len(bucket.list) <= 208 and ("put", 100) in bucket.calls
+    assert take((7, "a", 300, 999, True)) == [(7, "a", "state", 123, 121, 0, None)]
+
+
+def test_keys_in_few_buckets_are_exact_over_many_batches(spark):
+    rows = [(u, w, 0, _hours(9 * i), 1000 * (u or 0) + 100 * k + i, (u or 0) % 3 != i % 3)
+            for u in (1, 2, 3, None) for k, w in enumerate(("a", "b", None)) for i in range(12)]
+    src, out, ckpt = _folders(spark, "t1-src", "t1-out", "t1-ck")
+    for i in range(4):  # a third of each part is repeated in the next
+        _write(spark, [r for r in rows if i in (r[4] % 4, r[4] % 4 + (r[4] % 3 == 0))], src)
+    _take(spark, src, out, ckpt, buckets=2)
+    emitted = spark.read.schema(jobs.STATE_OUT).parquet(out)
+    got, want = jobs.finish_state(emitted), rv.word_state(spark.createDataFrame(rows, SCHEMA))
+    assert {tuple(r) for r in got.select(*WS).collect()} == {tuple(r) for r in want.select(*WS).collect()}
+
+
 # ---- T3 ----------------------------------------------------------------
 
 def _batch(spark, rows):
