@@ -18,6 +18,7 @@ Every job writes its checkpoint under the shared ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -38,7 +39,7 @@ LOG_BUCKETS = 32
 STATE_BUCKETS = 1024
 #: Reviews a bucket of T1's state is meant for: enough to share a call to the
 #: state server, few enough that a micro-batch of some keys reads little more.
-BUCKET_REVIEWS = 256
+BUCKET_REVIEWS = 1024
 
 # ---- T1 ----------------------------------------------------------------
 
@@ -56,7 +57,9 @@ STATE_OUT = T.StructType([
     T.StructField("streak", T.LongType()), T.StructField("first_us", T.LongType()), T.StructField("last_us", T.LongType()),
     T.StructField("repeated", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("correct", T.BooleanType()),
 ])
-ENTRY_SCHEMA = T.StructType([*REVIEW_SCHEMA.fields[:2], *STATE_SCHEMA.fields])
+# States a micro-batch left in a bucket, as a JSON array: the columns of the
+# key and of STATE_SCHEMA, in order.  As one value they cross to Python at once.
+ENTRY_SCHEMA = T.StructType([T.StructField("states", T.StringType())])
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -104,10 +107,10 @@ def _emitted(key, state: tuple, repeated: int, late: list) -> Iterator[Row]:
 
 
 class BucketReplay(StatefulProcessor):
-    """States of a bucket of (user, word), as a list of entries of which a
-    key's newest counts: a micro-batch reads the list and appends the states of
-    its own keys, each in one call to the state server.  A list that is mostly
-    outdated entries is written anew, so it stays within twice its keys."""
+    """States of a bucket of (user, word), as a list of which a key's newest
+    state counts: a micro-batch reads the list and appends the states of its
+    own keys, each in one call to the state server.  A list of mostly outdated
+    states is written anew, so it stays within twice its keys."""
 
     def __init__(self, horizon_us: int) -> None:
         self.horizon_us = horizon_us
@@ -120,17 +123,18 @@ class BucketReplay(StatefulProcessor):
         for r in rows:
             taken.setdefault((r["user_id"], r["word"]), []).append((r["us"], r["seq"], bool(r["correct"])))
         held, length = {}, len(taken)
-        for e in self.entries.get():
-            held[e[:2]] = e[2:]
-            length += 1
+        for (states,) in self.entries.get():
+            for user_id, word, *state in json.loads(states):
+                held[user_id, word] = state
+                length += 1
         changed = {}
         for word, reviews in taken.items():
             changed[word], repeated, late = replayed(held.get(word), reviews, self.horizon_us)
             yield from _emitted(word, changed[word], repeated, late)
         held.update(changed)
         outdated = length > 2 * len(held) + 8
-        entries = [(*word, *state) for word, state in (held if outdated else changed).items()]
-        (self.entries.put if outdated else self.entries.appendList)(entries)
+        states = json.dumps([(*word, *state) for word, state in (held if outdated else changed).items()])
+        (self.entries.put if outdated else self.entries.appendList)([(states,)])
 
     def close(self) -> None:
         pass
