@@ -99,18 +99,19 @@ def replayed(held: tuple | None, reviews: list[tuple[int, int, bool]], horizon_u
     return (n, ok, run, first, last, floor, *([x[k] for x in open_] for k in range(3))), repeated, late
 
 
-def _emitted(key, state: tuple, repeated: int, late: list) -> Iterator[Row]:
+def _emitted(key, state: tuple, repeated: int, late: list) -> Iterator[tuple]:
     now = composed(*state[:3], state[8])
-    yield _Out(*key, "state", *now, state[3], state[4], repeated, None, None)
+    yield (*key, "state", *now, state[3], state[4], repeated, None, None)
     for us, seq, correct in late:
-        yield _Out(*key, "late", None, None, None, us, us, None, seq, correct)
+        yield (*key, "late", None, None, None, us, us, None, seq, correct)
 
 
 class BucketReplay(StatefulProcessor):
     """States of a bucket of (user, word), as a list of which a key's newest
     state counts: a micro-batch reads the list and appends the states of its
     own keys, each in one call to the state server.  A list of mostly outdated
-    states is written anew, so it stays within twice its keys."""
+    states is written anew, so it stays within twice its keys.  Reviews come
+    and rows leave as JSON, as Spark hands values to Python one by one."""
 
     def __init__(self, horizon_us: int) -> None:
         self.horizon_us = horizon_us
@@ -121,20 +122,22 @@ class BucketReplay(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         taken: dict[tuple, list] = {}
         for r in rows:
-            taken.setdefault((r["user_id"], r["word"]), []).append((r["us"], r["seq"], bool(r["correct"])))
+            x = json.loads(r["review"])
+            taken.setdefault((x["user_id"], x["word"]), []).append((x["us"], x["seq"], x["correct"]))
         held, length = {}, len(taken)
         for (states,) in self.entries.get():
             for user_id, word, *state in json.loads(states):
                 held[user_id, word] = state
                 length += 1
-        changed = {}
+        changed, out = {}, []
         for word, reviews in taken.items():
             changed[word], repeated, late = replayed(held.get(word), reviews, self.horizon_us)
-            yield from _emitted(word, changed[word], repeated, late)
+            out += (dict(zip(STATE_OUT.names, x, strict=True)) for x in _emitted(word, changed[word], repeated, late))
         held.update(changed)
         outdated = length > 2 * len(held) + 8
         states = json.dumps([(*word, *state) for word, state in (held if outdated else changed).items()])
         (self.entries.put if outdated else self.entries.appendList)([(states,)])
+        yield Row(rows=json.dumps(out))
 
     def close(self) -> None:
         pass
@@ -161,7 +164,7 @@ class WordReplay(StatefulProcessor):
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t[0] if isinstance(t, (tuple, list)) else t)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        yield from _emitted(key, state, repeated, late)
+        yield from (_Out(*x) for x in _emitted(key, state, repeated, late))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         held = self.state.get()
@@ -206,8 +209,10 @@ def stream_word_state(events: DataFrame, horizon: dt.timedelta = dt.timedelta(da
     if idle:
         return reviews.groupBy(*KEYS).transformWithState(
             WordReplay(horizon_us, idle // dt.timedelta(milliseconds=1)), STATE_OUT, "Update", "ProcessingTime")
-    return reviews.withColumn("bucket", key_bucket(buckets)).groupBy("bucket").transformWithState(
-        BucketReplay(horizon_us), STATE_OUT, "Update", "None")
+    packed = reviews.select(key_bucket(buckets).alias("bucket"),
+                            F.to_json(F.struct(*reviews.columns), {"ignoreNullFields": "false"}).alias("review"))
+    out = packed.groupBy("bucket").transformWithState(BucketReplay(horizon_us), "rows string", "Update", "None")
+    return out.select(F.inline(F.from_json("rows", T.ArrayType(STATE_OUT), {"mode": "FAILFAST"})))
 
 
 def late_reviews(rows: DataFrame) -> DataFrame:

@@ -160,9 +160,10 @@ def test_the_keys_of_a_bucket_share_their_calls_and_write_their_own_states():
     replay.init(bucket)
 
     def take(*xs):
-        rows = [dict(zip(("user_id", "word", "us", "seq", "correct"), x, strict=True)) for x in xs]
-        return [(r.user_id, r.word, r.kind, r.review_count, r.streak, r.repeated, r.seq)
-                for r in replay.handleInputRows((0,), iter(rows), None)]
+        rows = [{"review": json.dumps(dict(zip(("user_id", "word", "us", "seq", "correct"), x, strict=True)))} for x in xs]
+        (out,) = replay.handleInputRows((0,), iter(rows), None)
+        return [tuple(r[k] for k in ("user_id", "word", "kind", "review_count", "streak", "repeated", "seq"))
+                for r in json.loads(out.rows)]
 
     many = [(u, w, 100, u, True) for u in range(50) for w in ("a", None)]
     assert len(take(*many)) == 100 and bucket.calls == [("get", 0), ("append", 100)]
